@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from busloom.llm import bytepair, mixing, sharding
+from busloom.llm import bytepair, mixing, rans, sharding, tokencount
 
 
 def queries():
     return {
         "op3_sharding": sharding.op3,
         "op5_byte_bpe": bytepair.op5,
+        "op6_token_counts": tokencount.op6,
+        "op7_rans_files": rans.op7,
         "op9_poisson_mix": mixing.op9,
     }
 
