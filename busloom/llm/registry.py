@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from busloom.llm import bytepair, mixing, rans, sharding, tokencount
+from busloom.llm import bytepair, mixing, rans, sharding, tokencount, toxicity
 
 
 def queries():
     return {
+        "op1_toxicity_fm": toxicity.op1,
         "op3_sharding": sharding.op3,
         "op5_byte_bpe": bytepair.op5,
         "op6_token_counts": tokencount.op6,
