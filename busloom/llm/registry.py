@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from busloom.llm import bytepair, mixing, rans, sharding, tokencount, toxicity
+from busloom.llm import bytepair, jaccard, mixing, rans, sharding, tokencount, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op6_token_counts": tokencount.op6,
         "op7_rans_files": rans.op7,
         "op9_poisson_mix": mixing.op9,
+        "op10_jaccard_join": jaccard.op10,
     }
 
 
