@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from busloom.llm import bytepair, jaccard, mixing, rans, sharding, tokencount, toxicity
+from busloom.llm import bytepair, jaccard, mixing, rans, sharding, tokencount, topk, toxicity, vectorlinks
 
 
 def queries():
     return {
         "op1_toxicity_fm": toxicity.op1,
+        "op2_topk_cover_tree": topk.op2,
         "op3_sharding": sharding.op3,
+        "op4_embedding_links": vectorlinks.op4,
         "op5_byte_bpe": bytepair.op5,
         "op6_token_counts": tokencount.op6,
         "op7_rans_files": rans.op7,
