@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from busloom.llm import bytepair, jaccard, mixing, rans, sharding, tokencount, topk, toxicity, vectorlinks
+from busloom.llm import bytepair, jaccard, kneserney, mixing, rans, sharding, tokencount, topk, toxicity, vectorlinks
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_byte_bpe": bytepair.op5,
         "op6_token_counts": tokencount.op6,
         "op7_rans_files": rans.op7,
+        "op8_kneser_ney": kneserney.op8,
         "op9_poisson_mix": mixing.op9,
         "op10_jaccard_join": jaccard.op10,
     }
