@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from busloom.operators import evaluation, messages, profile, rules, splits, windows
 from busloom.settings import SPARSE, Settings
 from busloom.sources.frames import event_frames
+from busloom.sources.sinks import scratch, write_store
 
 KEYS = ["target", "scope", "capture", "family", "widx", "y", "is_calib", "is_eval"]
 
 
 class Bus:
-    """Lazily built DataFrames of one input folder; nothing runs until a result is asked for."""
+    """Lazily built DataFrames of one input folder. The feature store and the rule scores are written when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = SPARSE):
         self.spark, self.s = spark, settings
@@ -60,8 +61,9 @@ class Bus:
         return windows.window_seconds(self.frames, self.s)
 
     def make_split(self):
-        """Features with labels, quarters and the cross-vehicle flags."""
-        return self.features.join(splits.cross(self.labelled), windows.WINDOW)
+        """Features with labels, quarters and the cross-vehicle flags: the feature store, written once by vehicle."""
+        joined = self.features.join(splits.cross(self.labelled), windows.WINDOW)
+        return write_store(joined, scratch(self.spark, "features")).select(joined.columns)
 
     def make_long(self):
         features = list(dict.fromkeys([*rules.HIGH, *rules.TWO_SIDED]))
@@ -81,7 +83,9 @@ class Bus:
         return mine.join(self.reference, ["target", "feature"]).withColumn("z", (F.col("x") - F.col("med")) / F.col("scale")).drop("med", "scale")
 
     def make_scores(self):
-        return named(rules.rule_scores(self.z, KEYS))
+        """Rule scores to six places, written once: what thresholds and rankings see doesn't hang on an engine's last bits."""
+        scores = named(rules.rule_scores(self.z, KEYS)).withColumn("score", F.round("score", 6))
+        return write_store(scores, scratch(self.spark, "rule-scores"), "target").select(scores.columns)
 
     def make_quantile_scores(self):
         fitted = rules.z_scores(self.fitted_on, self.reference, ["target", "scope"]).withColumn("is_ref", F.lit(True))
@@ -105,6 +109,17 @@ class Bus:
         return evaluation.ranking(self.scores.where("is_eval"))
 
 
+_KNOWN: dict[tuple[str, str], Bus] = {}
+
+
+def bus(spark: SparkSession, sf_dir: str) -> Bus:
+    """The application's one Bus of an input folder, so that its feature store serves every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KNOWN:
+        _KNOWN[key] = Bus(spark, sf_dir)
+    return _KNOWN[key]
+
+
 def named(scores: DataFrame) -> DataFrame:
     """The scope goes into the model's name."""
     return scores.withColumn("model", F.when(F.col("scope") == "target", F.concat("model", F.lit("@target"))).otherwise(F.col("model"))).drop("scope")

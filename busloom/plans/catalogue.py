@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from busloom.operators import evaluation, learners, messages, reports, rules, splits, windows
 from busloom.operators.profile import benign
 from busloom.operators.windows import FS_A_RAW, FS_B, FS_B34
-from busloom.plans.bus import Bus, union_all
+from busloom.plans.bus import bus, union_all
 from busloom.plans.oracle import K, N, with_pieces
 from busloom.sources import frames as src
 from busloom.sources import sinks
@@ -21,7 +21,7 @@ W = "vehicle, capture, family, widx"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None = None):
@@ -50,7 +50,7 @@ def shared(name: str, sql: str, duck: str | None = None) -> None:
 
 
 def r6(*names: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in names)
+    return ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in names)
 
 
 def big(*names: str) -> str:
@@ -92,13 +92,13 @@ def _(spark, d):
 
 @query("s8_feature_store", f"SELECT vehicle, count(*) AS n, {r6('dt')} FROM (SELECT vehicle, avg(dt_mean_norm) AS dt, widx FROM fsb WHERE vehicle = 'v1' GROUP BY vehicle, widx) GROUP BY vehicle, dt")
 def _(spark, d):
-    store = sinks.write_store(Bus(spark, d).features.select("vehicle", "capture", "widx", "dt_mean_norm"), sinks.scratch(spark, "store"))
+    store = sinks.write_store(bus(spark, d).features.select("vehicle", "capture", "widx", "dt_mean_norm"), sinks.scratch(spark, "store"))
     return store.where("vehicle = 'v1'").groupBy("vehicle", "widx").agg(F.avg("dt_mean_norm").alias("dt")).groupBy("vehicle", F.round("dt", 6).alias("dt")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s7_s10_score_archive", "SELECT target, model, 'ev' AS side, count(*) AS n FROM scores WHERE is_eval AND model LIKE 'Rule:B%' GROUP BY target, model")
 def _(spark, d):
-    scores = Bus(spark, d).scores
+    scores = bus(spark, d).scores
     sides = scores.where("is_eval").withColumn("side", F.lit("ev")).unionByName(scores.where("is_calib").withColumn("side", F.lit("cal")))
     archive = sinks.write_store(sides.select("target", "model", "side", "capture", "widx", "y", F.col("score").cast("float")), sinks.scratch(spark, "scores"), "side")
     return archive.where((F.col("side") == "ev") & F.col("model").startswith("Rule:B")).groupBy("target", "model", "side").agg(F.count(F.lit(1)).alias("n"))
@@ -111,20 +111,20 @@ def _(spark, d):
 
 @query("s11_partial_rewrite", "SELECT model, count(*) AS n FROM (SELECT 'fresh' AS model FROM scores WHERE model = 'Rule:Hamming' UNION ALL SELECT model FROM scores WHERE model NOT LIKE 'Rule:H%') GROUP BY model")
 def _(spark, d):
-    rows = Bus(spark, d).scores.select("target", "model", "score")
+    rows = bus(spark, d).scores.select("target", "model", "score")
     fresh = rows.where("model = 'Rule:Hamming'").withColumn("model", F.lit("fresh"))
     return sinks.replace_rows(rows, fresh, F.col("model").startswith("Rule:H"), sinks.scratch(spark, "patched")).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s12_summary_json", "SELECT vehicle, n_frames, n_ids::BIGINT AS n_ids FROM vp")
 def _(spark, d):
-    text = sinks.summary_json(Bus(spark, d).vehicles.select("vehicle", "n_frames", "n_ids"))  # three vehicles
+    text = sinks.summary_json(bus(spark, d).vehicles.select("vehicle", "n_frames", "n_ids"))  # three vehicles
     return spark.createDataFrame([(text,)], "j string").select(F.inline(F.from_json("j", "array<struct<vehicle:string,n_frames:long,n_ids:long>>")))
 
 
 @query("s14_plot_table", f"SELECT target, model, {r6('pr_auc')} FROM auc WHERE model IN ('Rule:Combined', 'Rule:BusLoad')")
 def _(spark, d):
-    return Bus(spark, d).ranking.where(F.col("model").isin("Rule:Combined", "Rule:BusLoad")).select("target", "model", "pr_auc")
+    return bus(spark, d).ranking.where(F.col("model").isin("Rule:Combined", "Rule:BusLoad")).select("target", "model", "pr_auc")
 
 
 @query("s15_pending_jobs", "SELECT c_mktsegment AS segment, n_name FROM (SELECT DISTINCT c_mktsegment FROM customer) CROSS JOIN nation WHERE (c_mktsegment, n_name) NOT IN (SELECT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0)")
@@ -151,7 +151,7 @@ def _(spark, d):
 
 @query("f3_f4_whole_windows", "SELECT capture, max(widx)::BIGINT + 1 AS windows, count(*) AS n FROM wl GROUP BY capture")
 def _(spark, d):
-    return Bus(spark, d).windows.groupBy("capture").agg((F.max("widx") + 1).alias("windows"), F.count(F.lit(1)).alias("n"))
+    return bus(spark, d).windows.groupBy("capture").agg((F.max("widx") + 1).alias("windows"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -165,7 +165,7 @@ def _(spark, d):
 
 @query("f6_feature_prefix", f"SELECT {W.replace('widx', 'widx::BIGINT AS widx')}, {r6(*[c for c in FS_B34 if c.startswith('id')])} FROM fsb")
 def _(spark, d):
-    return Bus(spark, d).features.select(*windows.WINDOW, *[c for c in FS_B34 if c.startswith("id")])
+    return bus(spark, d).features.select(*windows.WINDOW, *[c for c in FS_B34 if c.startswith("id")])
 
 
 @query("f7_positive_gaps", "SELECT capture, count(*) AS n FROM gaps WHERE gap > 0 GROUP BY capture")
@@ -183,13 +183,13 @@ def _(spark, d):
 @query("f10_f11_model_names", "SELECT model, replace(model, '@target', '') AS base, model LIKE '%@target' AS is_target, count(*) AS n FROM scores WHERE starts_with(model, 'Rule:') AND contains(model, 'I') GROUP BY model")
 def _(spark, d):
     m = F.col("model")
-    rows = Bus(spark, d).scores.where(m.startswith("Rule:") & m.contains("I")).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    rows = bus(spark, d).scores.where(m.startswith("Rule:") & m.contains("I")).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     return rows.select("model", F.regexp_replace("model", "@target$", "").alias("base"), m.endswith("@target").alias("is_target"), "n")
 
 
 @query("f12_without_family", f"SELECT target, model, {r6('pr_auc')} FROM (SELECT target, model, sum(p * (tp / (tp + fp)::DOUBLE)) / nullif(sum(p), 0) AS pr_auc FROM (SELECT *, sum(p) OVER d AS tp, sum(m) OVER d AS fp FROM (SELECT target, model, score, sum(y) AS p, sum(1 - y) AS m FROM scores WHERE is_eval AND family <> 'dos' GROUP BY target, model, score) WINDOW d AS (PARTITION BY target, model ORDER BY score DESC)) GROUP BY target, model)")
 def _(spark, d):
-    return evaluation.ranking(Bus(spark, d).scores.where("is_eval AND family <> 'dos'")).select("target", "model", "pr_auc")
+    return evaluation.ranking(bus(spark, d).scores.where("is_eval AND family <> 'dos'")).select("target", "model", "pr_auc")
 
 
 shared("f13_clip", "SELECT event_id, greatest(10e0, least(value, 60e0)) AS clipped FROM {events}")
@@ -203,7 +203,7 @@ def _(spark, d):
 # ---- joins
 @query("j1_profile_lookup", f"SELECT seq, {r6('period_ratio')}, unseen, dlc_mismatch FROM msg")
 def _(spark, d):
-    return Bus(spark, d).messages.select("seq", "period_ratio", "unseen", "dlc_mismatch")
+    return bus(spark, d).messages.select("seq", "period_ratio", "unseen", "dlc_mismatch")
 
 
 _hist = ", ".join(f"round(count(CASE WHEN coalesce(pos, {K}) = {i} THEN 1 END) / {N}e0, 6) AS h_{i:02d}" for i in range(K + 1))
@@ -211,19 +211,19 @@ _hist = ", ".join(f"round(count(CASE WHEN coalesce(pos, {K}) = {i} THEN 1 END) /
 
 @query("j2_a15_histogram_own", f"SELECT wl.vehicle, wl.capture, wl.family, widx::BIGINT AS widx, {_hist} FROM wl LEFT JOIN voc ON wl.vehicle = voc.vehicle AND wl.aid = voc.aid GROUP BY wl.vehicle, wl.capture, wl.family, widx")
 def _(spark, d):
-    b = Bus(spark, d)
+    b = bus(spark, d)
     return windows.histogram(b.messages, b.vocabulary, b.s)
 
 
 @query("a15_histogram_cross", f"SELECT wl.vehicle, wl.capture, wl.family, widx::BIGINT AS widx, {_hist} FROM wl LEFT JOIN pvoc ON wl.vehicle = pvoc.target AND wl.aid = pvoc.aid GROUP BY wl.vehicle, wl.capture, wl.family, widx")
 def _(spark, d):
-    b = Bus(spark, d)
+    b = bus(spark, d)
     return windows.histogram(b.messages, b.pooled, b.s, "target")
 
 
 @query("j3_staleness", f"SELECT capture, widx::BIGINT AS widx, {r6('stale_max', 'stale_frac')} FROM stale")
 def _(spark, d):
-    b = Bus(spark, d)
+    b = bus(spark, d)
     return windows.staleness(b.messages, b.windows, b.ids).select("capture", "widx", "stale_max", "stale_frac")
 
 
@@ -235,7 +235,7 @@ def _(spark, d):
 
 @query("j5_suspension_overlap", f"SELECT {W.replace('widx', 'widx::BIGINT AS widx')}, y::BIGINT AS y FROM lab")
 def _(spark, d):
-    return windows.labels(Bus(spark, d).windows)
+    return windows.labels(bus(spark, d).windows)
 
 
 _RES = "(SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'cross' ELSE 'within' END AS protocol, o_orderkey // 4 % 2 AS fold, CASE WHEN o_custkey % 2 = 0 THEN 'FS-A' ELSE 'FS-B' END AS feature_set, 'm' || (o_orderkey // 8 % 7) || CASE WHEN o_orderkey % 10 = 0 THEN '@target' ELSE '' END AS model, 'v' || (o_custkey % 5) AS vehicle, CASE WHEN o_orderkey // 2 % 2 = 0 THEN 'pr_auc' ELSE 'roc_auc' END AS metric, floor(o_totalprice) % 1000 / 1000e0 AS value FROM orders)"
@@ -300,7 +300,7 @@ def _(spark, d):
 
 @query("j10_eval_intersection", "SELECT c.vehicle, count(*) FILTER (WHERE e.widx IS NOT NULL) AS shared, count(*) AS n, round(count(*) FILTER (WHERE e.widx IS NOT NULL) / count(*)::DOUBLE, 6) AS covered FROM (SELECT * FROM infold WHERE fold = 0 AND f_eval) c LEFT JOIN (SELECT * FROM lq WHERE q >= 2 OR y = 1) e USING (vehicle, capture, widx) GROUP BY c.vehicle")
 def _(spark, d):
-    labelled = Bus(spark, d).labelled
+    labelled = bus(spark, d).labelled
     inner = splits.in_domain(labelled, 0).where("is_eval").select("vehicle", "capture", "widx")
     outer = splits.cross(labelled).where("is_eval").select("vehicle", "capture", "widx", F.lit(1).alias("hit"))
     g = inner.join(outer, ["vehicle", "capture", "widx"], "left").groupBy("vehicle").agg(F.count("hit").alias("shared"), F.count(F.lit(1)).alias("n"))
@@ -313,7 +313,7 @@ shared("j12_job_product", "SELECT v.r_name AS vehicle, f.fold FROM {region} v CR
 
 @query("j13_p6_pools", "SELECT target, vehicle, count(*) AS n, sum(y)::BIGINT AS n_pos FROM lab JOIN targets ON vehicle <> target GROUP BY target, vehicle")
 def _(spark, d):
-    return splits.pools(windows.labels(Bus(spark, d).windows)).groupBy("target", "vehicle").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
+    return splits.pools(windows.labels(bus(spark, d).windows)).groupBy("target", "vehicle").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
 
 
 @query("j14_count_aware_labels", "SELECT user_id, count(*) FILTER (WHERE o.i IS NULL) AS injected, count(*) AS n FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events) a LEFT JOIN (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events WHERE event_id % 3 <> 0) o USING (user_id, event_type, i) GROUP BY user_id")
@@ -324,29 +324,29 @@ def _(spark, d):
 
 @query("j15_w7_trailing", "SELECT capture, widx::BIGINT AS widx, array_to_string([greatest(widx - 7 + i, 0) FOR i IN range(8)], ',') AS trail FROM lab")
 def _(spark, d):
-    rows = windows.trailing(windows.labels(Bus(spark, d).windows), "widx", 8, "t")
+    rows = windows.trailing(windows.labels(bus(spark, d).windows), "widx", 8, "t")
     return rows.select("capture", "widx", F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("trail"))
 
 
 # ---- aggregations
 @query("a1_bus_rate", f"SELECT vehicle, n_frames, round(seconds / 3600, 6) AS hours, round(bus_rate * 3600, 6) AS per_hour, n_ids::BIGINT AS n_ids FROM vp")
 def _(spark, d):
-    return Bus(spark, d).vehicles.select("vehicle", "n_frames", (F.col("seconds") / 3600).alias("hours"), (F.col("bus_rate") * 3600).alias("per_hour"), "n_ids")
+    return bus(spark, d).vehicles.select("vehicle", "n_frames", (F.col("seconds") / 3600).alias("hours"), (F.col("bus_rate") * 3600).alias("per_hour"), "n_ids")
 
 
 @query("a2_a6_id_profile", "SELECT vehicle, aid::BIGINT AS aid, cnt, ref_dlc::BIGINT AS ref_dlc, round(period / 3600, 6) AS period_h, round(iqr / 3600, 6) AS iqr_h, is_periodic FROM idp")
 def _(spark, d):
-    return Bus(spark, d).ids.select("vehicle", "aid", "cnt", "ref_dlc", (F.col("period") / 3600).alias("period_h"), (F.col("iqr") / 3600).alias("iqr_h"), "is_periodic")
+    return bus(spark, d).ids.select("vehicle", "aid", "cnt", "ref_dlc", (F.col("period") / 3600).alias("period_h"), (F.col("iqr") / 3600).alias("iqr_h"), "is_periodic")
 
 
 @query("a7_k4_vocabulary", "SELECT vehicle, aid::BIGINT AS aid, cnt, pos::BIGINT AS pos FROM voc")
 def _(spark, d):
-    return Bus(spark, d).vocabulary
+    return bus(spark, d).vocabulary
 
 
 @query("a8_pooled_vocabulary", f"SELECT target, aid::BIGINT AS aid, {r6('share')}, pos::BIGINT AS pos FROM pvoc")
 def _(spark, d):
-    return Bus(spark, d).pooled
+    return bus(spark, d).pooled
 
 
 shared("a9_window_stats", "SELECT l_suppkey, round(avg(l_quantity), 6) AS m, round(stddev_pop(l_quantity), 6) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi FROM {lineitem} GROUP BY l_suppkey")
@@ -356,7 +356,7 @@ shared("a11_conditional_fraction", "SELECT user_id, avg(CASE WHEN value > 50e0 T
 
 @query("a12_a14_id_entropy", f"SELECT capture, widx::BIGINT AS widx, {r6('id_entropy', 'id_unique', 'id_max_share')} FROM ids")
 def _(spark, d):
-    b = Bus(spark, d)
+    b = bus(spark, d)
     return windows.identifier_stats(b.windows, b.s)
 
 
@@ -372,17 +372,17 @@ shared("a13_distinct_count", "SELECT l_orderkey, count(DISTINCT l_suppkey) AS n
 
 @query("a17_window_seconds", "SELECT vehicle, round(win_seconds / 3600, 6) AS h, round(win_seconds_all / 3600, 6) AS h_all FROM winsec")
 def _(spark, d):
-    return Bus(spark, d).seconds.select("vehicle", (F.col("win_seconds") / 3600).alias("h"), (F.col("win_seconds_all") / 3600).alias("h_all"))
+    return bus(spark, d).seconds.select("vehicle", (F.col("win_seconds") / 3600).alias("h"), (F.col("win_seconds_all") / 3600).alias("h_all"))
 
 
 @query("a18_confusion", f"SELECT target, model, tag, {big('tp', 'fp', 'pos', 'n')}, round(tp / greatest(pos, 1)::DOUBLE, 6) AS recall, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision, round(fp / greatest(n - pos, 1)::DOUBLE, 6) AS fpr, round(fp / greatest(n - pos, 1)::DOUBLE * 3600 / greatest(win_seconds, 1e-9), 6) AS fa_per_hour FROM conf")
 def _(spark, d):
-    return Bus(spark, d).confusion.drop("win_seconds")
+    return bus(spark, d).confusion.drop("win_seconds")
 
 
 @query("a19_family_recall", "SELECT target, model, tag, family, round(avg(pred), 6) AS recall, count(*) AS n FROM preds WHERE y = 1 GROUP BY target, model, tag, family")
 def _(spark, d):
-    return evaluation.family_recall(Bus(spark, d).predicted)
+    return evaluation.family_recall(bus(spark, d).predicted)
 
 
 _EV = "(SELECT target, model, tag, family, capture, max(pred) AS hit FROM preds WHERE y = 1 GROUP BY ALL)"
@@ -390,17 +390,17 @@ _EV = "(SELECT target, model, tag, family, capture, max(pred) AS hit FROM preds
 
 @query("a20_event_recall", f"SELECT target, model, tag, family, sum(hit)::BIGINT AS hits, count(*) AS events, round(avg(hit), 6) AS event_recall FROM (SELECT * FROM {_EV} UNION ALL SELECT target, model, tag, 'all', capture, hit FROM {_EV}) GROUP BY target, model, tag, family")
 def _(spark, d):
-    return evaluation.event_recall(Bus(spark, d).predicted)
+    return evaluation.event_recall(bus(spark, d).predicted)
 
 
 @query("a21_roc_auc", f"SELECT target, model, {r6('roc_auc')} FROM auc")
 def _(spark, d):
-    return Bus(spark, d).ranking.select("target", "model", "roc_auc")
+    return bus(spark, d).ranking.select("target", "model", "roc_auc")
 
 
 @query("a22_average_precision", f"SELECT target, model, {big('pos', 'neg')}, {r6('pr_auc')} FROM auc")
 def _(spark, d):
-    return Bus(spark, d).ranking.select("target", "model", "pos", "neg", "pr_auc")
+    return bus(spark, d).ranking.select("target", "model", "pos", "neg", "pr_auc")
 
 
 @query("a21_a22_text_length", "SELECT lang, round(sum(m * (tp - p / 2e0)) / (sum(p) * sum(m)), 6) AS roc_auc, round(sum(p * (tp / (tp + fp)::DOUBLE)) / sum(p), 6) AS pr_auc FROM (SELECT *, sum(p) OVER d AS tp, sum(m) OVER d AS fp FROM (SELECT lang, n_chars, sum(quality) AS p, sum(1 - quality) AS m FROM documents JOIN labels USING (doc_id) GROUP BY lang, n_chars) WINDOW d AS (PARTITION BY lang ORDER BY n_chars DESC)) GROUP BY lang HAVING sum(p) > 0 AND sum(m) > 0")
@@ -428,37 +428,37 @@ def _(spark, d):
 
 @query("a_rollup_report", "SELECT vehicle, family, count(*) AS n, sum(y)::BIGINT AS n_pos FROM lab GROUP BY ROLLUP (vehicle, family)")
 def _(spark, d):
-    return windows.labels(Bus(spark, d).windows).rollup("vehicle", "family").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
+    return windows.labels(bus(spark, d).windows).rollup("vehicle", "family").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
 
 
 # ---- ordered analytics
 @query("w1_w2_gaps", f"SELECT seq, {r6('dt', 'dt_id')} FROM m0")
 def _(spark, d):
-    return Bus(spark, d).messages.select("seq", "dt", "dt_id")
+    return bus(spark, d).messages.select("seq", "dt", "dt_id")
 
 
-@query("w3_hamming", "SELECT seq, ham FROM msg")
+@query("w3_hamming", "SELECT seq, coalesce(ham, -1e0) AS ham FROM msg")
 def _(spark, d):
-    return Bus(spark, d).messages.select("seq", "ham")
+    return bus(spark, d).messages.select("seq", F.coalesce("ham", F.lit(-1.0)).alias("ham"))
 
 
 @query("w4_ordinals", "SELECT seq, capture, widx::BIGINT AS widx FROM wl")
 def _(spark, d):
-    return Bus(spark, d).windows.select("seq", "capture", "widx")
+    return bus(spark, d).windows.select("seq", "capture", "widx")
 
 
 @query("w5_quarters", "SELECT capture, widx::BIGINT AS widx, y::BIGINT AS y, q::BIGINT AS q FROM lq")
 def _(spark, d):
-    return Bus(spark, d).labelled.select("capture", "widx", "y", "q")
+    return bus(spark, d).labelled.select("capture", "widx", "y", "q")
 
 
 shared("w5_quarters_orders", "SELECT o_orderkey, CAST(floor(4 * (row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) - 1) / count(*) OVER (PARTITION BY o_custkey, o_orderstatus)) AS BIGINT) AS q FROM {orders}")
 
 
-@query("w6_last_seen", "SELECT e.event_id, max(p.event_id) AS last_buy FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id <= e.event_id GROUP BY e.event_id")
+@query("w6_last_seen", "SELECT e.event_id, coalesce(max(p.event_id), -1) AS last_buy FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id <= e.event_id GROUP BY e.event_id")
 def _(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return src.table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("last_buy"))
+    return src.table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("last_buy")).fillna(-1)
 
 
 @query("w8_average_rank", f"SELECT model, vehicle, rank() OVER (PARTITION BY vehicle ORDER BY round(value, 2) DESC) + (count(*) OVER (PARTITION BY vehicle, round(value, 2)) - 1) / 2e0 AS r FROM {_FM} WHERE protocol = 'cross' AND metric = 'pr_auc' AND feature_set = 'FS-B'")
@@ -472,7 +472,7 @@ shared("w9_cumulative", "SELECT l_suppkey, l_quantity, sum(count(*)) OVER (PARTI
 
 @query("w10_window_ends", "SELECT capture, widx::BIGINT AS widx, arg_min(us, seq) AS first_us, arg_max(us, seq) AS last_us FROM wl GROUP BY capture, widx")
 def _(spark, d):
-    return Bus(spark, d).windows.groupBy("capture", "widx").agg(F.min_by("us", "seq").alias("first_us"), F.max_by("us", "seq").alias("last_us"))
+    return bus(spark, d).windows.groupBy("capture", "widx").agg(F.min_by("us", "seq").alias("first_us"), F.max_by("us", "seq").alias("last_us"))
 
 
 @query("w11_runs", "SELECT user_id, count(*) AS runs FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type GROUP BY user_id")
@@ -492,10 +492,10 @@ shared("k7_kth_with_ties", "SELECT l_suppkey, min(CASE WHEN ge <= 10 THEN l_quan
 shared("u1_union_all", "SELECT c_nationkey AS nation, c_acctbal AS bal FROM {customer} UNION ALL SELECT s_nationkey, s_acctbal FROM {supplier}", "SELECT c_nationkey::BIGINT AS nation, c_acctbal AS bal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier")
 
 
-@query("u2_ragged_union", "SELECT n_name AS name, n_regionkey::BIGINT AS region, NULL::BIGINT AS size FROM nation UNION ALL SELECT p_name, NULL, p_size FROM part")
+@query("u2_ragged_union", "SELECT n_name AS name, n_regionkey::BIGINT AS region, -1::BIGINT AS size FROM nation UNION ALL SELECT p_name, -1, p_size FROM part")
 def _(spark, d):
     a = src.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    return union_all([a, src.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"))])
+    return union_all([a, src.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"))]).fillna(-1)
 
 
 shared("u4_difference", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
@@ -524,7 +524,7 @@ shared("fn_math", "SELECT event_id, round(log2(value + 1e-9), 6) AS l2, round(ln
 
 @query("fn_payload", f"SELECT seq, {r6('ent')}, allzero, allff FROM msg")
 def _(spark, d):
-    return Bus(spark, d).messages.select("seq", "ent", "allzero", "allff")
+    return bus(spark, d).messages.select("seq", "ent", "allzero", "allff")
 
 
 @query("fn_json", "SELECT event_id, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k FROM events")
@@ -534,7 +534,7 @@ def _(spark, d):
 
 @query("fn_job_tags", "SELECT target, model, split_part(target || '_' || model, '_', 1) AS vehicle, lower(md5('f0' || '|' || target || '|' || model)) AS seed FROM (SELECT DISTINCT target, model FROM scores)")
 def _(spark, d):
-    tags = Bus(spark, d).scores.select("target", "model").distinct()
+    tags = bus(spark, d).scores.select("target", "model").distinct()
     return tags.select("target", "model", F.split(F.concat_ws("_", "target", "model"), "_")[0].alias("vehicle"), F.md5(F.concat_ws("|", F.lit("f0"), "target", "model")).alias("seed"))
 
 
@@ -544,30 +544,30 @@ def _(spark, d):
 
 
 # ---- feature tables
-@query("fs_b", f"SELECT {W.replace('widx', 'widx::BIGINT AS widx')}, {r6(*[c for c in FS_B if c not in ('dt_mean', 'dt_std', 'dt_p95', 'dt_max')])}, " + ", ".join(f"round({c} / 3600, 6) AS {c}" for c in ("dt_mean", "dt_std", "dt_p95", "dt_max")) + " FROM fsb")
+@query("fs_b", f"SELECT {W.replace('widx', 'widx::BIGINT AS widx')}, {r6(*[c for c in FS_B if c not in ('dt_mean', 'dt_std', 'dt_p95', 'dt_max')])}, " + ", ".join(f"round({c} / 3600, 6) + 0e0 AS {c}" for c in ("dt_mean", "dt_std", "dt_p95", "dt_max")) + " FROM fsb")
 def _(spark, d):
-    return Bus(spark, d).features.withColumns({c: F.col(c) / 3600 for c in ("dt_mean", "dt_std", "dt_p95", "dt_max")})
+    return bus(spark, d).features.withColumns({c: F.col(c) / 3600 for c in ("dt_mean", "dt_std", "dt_p95", "dt_max")})
 
 
 @query("fs_b_narrow", f"SELECT capture, widx::BIGINT AS widx, {r6('pr_mean', 'pr_lt_half', 'pr_gt_two', 'dtid_nan_frac', 'ham_mean', 'ent_mean')} FROM fsb")
 def _(spark, d):
-    return Bus(spark, d).features.select("capture", "widx", "pr_mean", "pr_lt_half", "pr_gt_two", "dtid_nan_frac", "ham_mean", "ent_mean")
+    return bus(spark, d).features.select("capture", "widx", "pr_mean", "pr_lt_half", "pr_gt_two", "dtid_nan_frac", "ham_mean", "ent_mean")
 
 
-@query("fs_a_raw", f"SELECT {W.replace('widx', 'widx::BIGINT AS widx')}, {r6(*[c for c in FS_A_RAW if not c.startswith('dt_')])}, " + ", ".join(f"round({c} / 3600, 6) AS {c}" for c in ("dt_mean", "dt_std", "dt_max")) + " FROM fsa")
+@query("fs_a_raw", f"SELECT {W.replace('widx', 'widx::BIGINT AS widx')}, {r6(*[c for c in FS_A_RAW if not c.startswith('dt_')])}, " + ", ".join(f"round({c} / 3600, 6) + 0e0 AS {c}" for c in ("dt_mean", "dt_std", "dt_max")) + " FROM fsa")
 def _(spark, d):
-    return Bus(spark, d).raw.withColumns({c: F.col(c) / 3600 for c in ("dt_mean", "dt_std", "dt_max")})
+    return bus(spark, d).raw.withColumns({c: F.col(c) / 3600 for c in ("dt_mean", "dt_std", "dt_max")})
 
 
 # ---- splits
 @query("p1_cross_split", "SELECT capture, widx::BIGINT AS widx, (y = 0 AND q <= 1) AS is_calib, (q >= 2 OR y = 1) AS is_eval FROM lq")
 def _(spark, d):
-    return splits.cross(Bus(spark, d).labelled).select("capture", "widx", "is_calib", "is_eval")
+    return splits.cross(bus(spark, d).labelled).select("capture", "widx", "is_calib", "is_eval")
 
 
 @query("p2_p3_in_domain_folds", "SELECT fold::BIGINT AS fold, capture, widx::BIGINT AS widx, f_train AS is_train, f_calib AS is_calib, f_eval AS is_eval FROM infold")
 def _(spark, d):
-    labelled = Bus(spark, d).labelled
+    labelled = bus(spark, d).labelled
     return union_all([splits.in_domain(labelled, f).select(F.lit(f).alias("fold"), "capture", "widx", "is_train", "is_calib", "is_eval") for f in (0, 1)])
 
 
@@ -577,19 +577,19 @@ _POOL = "(SELECT target, capture, widx::BIGINT AS widx, y, sum(y) OVER (PARTITIO
 
 @query("p4_capped_pool", f"SELECT target, capture, widx FROM (SELECT *, {_ORD} AS i FROM {_POOL}) WHERE i <= CASE WHEN n <= 100 THEN n WHEN y = 1 THEN least(p, 50) ELSE least(n - p, 100 - least(p, 50)) END")
 def _(spark, d):
-    pool = splits.pools(windows.labels(Bus(spark, d).windows))
+    pool = splits.pools(windows.labels(bus(spark, d).windows))
     return splits.capped(pool, ["target"], ["capture", "widx"], 100, "s1").select("target", "capture", "widx")
 
 
 @query("p5_matched_volume", f"SELECT target, capture, widx FROM (SELECT *, {_ORD} AS i FROM {_POOL}) WHERE i <= CASE WHEN y = 1 THEN least(p, 12) ELSE least(n - p, 60 - least(p, 12)) END")
 def _(spark, d):
-    pool = splits.pools(windows.labels(Bus(spark, d).windows))
+    pool = splits.pools(windows.labels(bus(spark, d).windows))
     return splits.matched(pool, ["target"], ["capture", "widx"], 60, 12, "s1").select("target", "capture", "widx")
 
 
 @query("p9_stratified_folds", "SELECT capture, widx, (row_number() OVER (PARTITION BY y ORDER BY md5('kf' || '|' || capture || '|' || widx), capture, widx) - 1) % 3 AS fold FROM (SELECT capture, widx::BIGINT AS widx, y FROM lab)")
 def _(spark, d):
-    return splits.stratified_folds(windows.labels(Bus(spark, d).windows), 3, ["capture", "widx"], "kf").select("capture", "widx", "fold")
+    return splits.stratified_folds(windows.labels(bus(spark, d).windows), 3, ["capture", "widx"], "kf").select("capture", "widx", "fold")
 
 
 @query("p7_bootstrap_vehicles")
@@ -600,21 +600,21 @@ def _(spark, d):
 
 @query("p8_bootstrap_captures")
 def _(spark, d):
-    return reports.bootstrap_ranking(Bus(spark, d).scores.where("is_eval AND model IN ('Rule:Combined', 'Rule:BusLoad')"), ["target", "model"], 200, "1")
+    return reports.bootstrap_ranking(bus(spark, d).scores.where("is_eval AND model IN ('Rule:Combined', 'Rule:BusLoad')"), ["target", "model"], 200, "1")
 
 
 # ---- detectors
 for _n, _m in (("r1_periodicity", "Rule:Periodicity"), ("r2_unseen", "Rule:UnseenID"), ("r3_bus_load", "Rule:BusLoad"), ("r4_id_entropy", "Rule:IDEntropy"), ("r5_hamming", "Rule:Hamming"), ("r6_staleness", "Rule:Staleness"), ("r7_combined", "Rule:Combined")):
 
     def _rule(spark, d, m=_m):
-        return Bus(spark, d).scores.where(F.col("model").isin(m, f"{m}@target")).select("target", "model", "capture", "widx", F.round("score", 4).alias("score"))
+        return bus(spark, d).scores.where(F.col("model").isin(m, f"{m}@target")).select("target", "model", "capture", "widx", "score")
 
-    query(_n, f"SELECT target, model, capture, widx::BIGINT AS widx, round(score, 4) AS score FROM scores WHERE model IN ('{_m}', '{_m}@target')")(_rule)
+    query(_n, f"SELECT target, model, capture, widx::BIGINT AS widx, score FROM scores WHERE model IN ('{_m}', '{_m}@target')")(_rule)
 
 
 @query("r_reference", f"SELECT target, scope, feature, {r6('med', 'scale')} FROM refs WHERE feature NOT LIKE 'dt%'")
 def _(spark, d):
-    return Bus(spark, d).reference.where("feature NOT LIKE 'dt%'")
+    return bus(spark, d).reference.where("feature NOT LIKE 'dt%'")
 
 
 @query(
@@ -624,20 +624,20 @@ def _(spark, d):
     FROM (SELECT *, CASE WHEN feature IN ('id_entropy', 'id_unique_frac', 'dt_mean_norm', 'ent_mean') THEN abs(z) ELSE z END AS v FROM zed) z JOIN ztop t USING (target, scope, feature)) GROUP BY target, model, capture, widx""",
 )
 def _(spark, d):
-    return Bus(spark, d).quantile_scores.select("target", "model", "capture", "widx", "score")
+    return bus(spark, d).quantile_scores.select("target", "model", "capture", "widx", "score")
 
 
-@query("r9_panel_b34", "SELECT target, capture, widx::BIGINT AS widx, round(score, 4) AS score FROM (SELECT target, capture, widx, max(CASE WHEN feature IN ('id_entropy', 'id_unique_frac', 'ent_mean') THEN abs(z) ELSE z END) AS score FROM zed WHERE scope = 'fleet' AND feature NOT IN ('stale_max', 'dt_mean_norm') GROUP BY target, capture, widx)")
+@query("r9_panel_b34", "SELECT target, capture, widx::BIGINT AS widx, round(score, 4) + 0e0 AS score FROM (SELECT target, capture, widx, max(CASE WHEN feature IN ('id_entropy', 'id_unique_frac', 'ent_mean') THEN abs(z) ELSE z END) AS score FROM zed WHERE scope = 'fleet' AND feature NOT IN ('stale_max', 'dt_mean_norm') GROUP BY target, capture, widx)")
 def _(spark, d):
     panel = rules.TWO_SIDED34[:2] + rules.TWO_SIDED34[3:]
-    z = Bus(spark, d).z.where("scope = 'fleet'")
+    z = bus(spark, d).z.where("scope = 'fleet'")
     scored = rules.rule_scores(z, ["target", "capture", "widx"], rules.HIGH34, panel)
-    return scored.where("model = 'Rule:Combined'").select("target", "capture", "widx", F.round("score", 4).alias("score"))
+    return scored.where("model = 'Rule:Combined'").select("target", "capture", "widx", "score")
 
 
 @query("g1_fit_scopes", "SELECT target, scope, count(*) AS n FROM (SELECT target, 'fleet' AS scope FROM lq JOIN targets ON vehicle <> target WHERE y = 0 UNION ALL SELECT vehicle, 'target' FROM lq WHERE y = 0 AND q <= 1) GROUP BY target, scope")
 def _(spark, d):
-    return Bus(spark, d).fitted_on.where("feature = 'id_entropy'").groupBy("target", "scope").agg(F.count(F.lit(1)).alias("n"))
+    return bus(spark, d).fitted_on.where("feature = 'id_entropy'").groupBy("target", "scope").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g2_detector_list")
@@ -651,7 +651,7 @@ LEARN = ["bus_rate_norm", "id_entropy", "id_unique_frac", "unseen_rate", "dlc_mi
 
 def _learning(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
     """Training pool and evaluation windows for the first vehicle."""
-    rows = Bus(spark, d).split.select(*windows.WINDOW, "y", "is_eval", *LEARN)
+    rows = bus(spark, d).split.select(*windows.WINDOW, "y", "is_eval", *LEARN)
     rows = sinks.write_store(rows, sinks.scratch(spark, "learn"))
     return rows.where("vehicle <> 'v0'"), rows.where("vehicle = 'v0' AND is_eval"), ["capture", "widx"]
 
@@ -695,22 +695,22 @@ def _(spark, d):
 # ---- evaluation and reports
 @query("m1_m2_operating_points", "SELECT target, model, tag, n_calib, k::BIGINT AS k, resolvable FROM points")
 def _(spark, d):
-    return Bus(spark, d).points.select("target", "model", "tag", "n_calib", "k", "resolvable")
+    return bus(spark, d).points.select("target", "model", "tag", "n_calib", "k", "resolvable")
 
 
 @query("m3_thresholds", "SELECT target, model, tag, round(thr, 4) AS thr, thr IS NULL AS above FROM limits")
 def _(spark, d):
-    return Bus(spark, d).limits.select("target", "model", "tag", F.round("thr", 4).alias("thr"), F.col("thr").isNull().alias("above"))
+    return bus(spark, d).limits.select("target", "model", "tag", F.round("thr", 4).alias("thr"), F.col("thr").isNull().alias("above"))
 
 
 @query("m4_resolvable", "SELECT tag, count(*) FILTER (WHERE resolvable) AS yes, count(*) AS n FROM points GROUP BY tag")
 def _(spark, d):
-    return Bus(spark, d).points.groupBy("tag").agg(F.count(F.when(F.col("resolvable"), 1)).alias("yes"), F.count(F.lit(1)).alias("n"))
+    return bus(spark, d).points.groupBy("tag").agg(F.count(F.when(F.col("resolvable"), 1)).alias("yes"), F.count(F.lit(1)).alias("n"))
 
 
 @query("m5_full_evaluation", f"SELECT target, model, tag, {big('tp', 'fp')}, {r6('roc_auc', 'pr_auc')} FROM conf JOIN auc USING (target, model)")
 def _(spark, d):
-    b = Bus(spark, d)
+    b = bus(spark, d)
     return b.confusion.select("target", "model", "tag", "tp", "fp").join(b.ranking.select("target", "model", "roc_auc", "pr_auc"), ["target", "model"])
 
 
@@ -721,7 +721,7 @@ def _(spark, d):
 
 @query("b3_per_family", "SELECT model, " + ", ".join(f"round(avg(CASE WHEN family = '{f}' THEN r END), 6) AS {f}" for f in ("dos", "fuzzing", "suspension")) + " FROM (SELECT target, model, family, avg(pred) AS r FROM preds WHERE y = 1 AND tag = 'fa10' GROUP BY target, model, family) GROUP BY model")
 def _(spark, d):
-    return evaluation.family_recall(Bus(spark, d).predicted.where("tag = 'fa10'")).groupBy("model").pivot("family", ["dos", "fuzzing", "suspension"]).agg(F.avg("recall"))
+    return evaluation.family_recall(bus(spark, d).predicted.where("tag = 'fa10'")).groupBy("model").pivot("family", ["dos", "fuzzing", "suspension"]).agg(F.avg("recall"))
 
 
 @query("b4_rank_instability", f"SELECT model, round(avg(r), 6) AS mean_rank, min(r) AS best_rank, max(r) AS worst_rank, max(r) - min(r) AS rank_range, round(avg(value), 6) AS mean_value FROM (SELECT *, rank() OVER (PARTITION BY vehicle ORDER BY value DESC) + (count(*) OVER (PARTITION BY vehicle, value) - 1) / 2e0 AS r FROM (SELECT model, vehicle, round(value, 3) AS value FROM {_FM} WHERE protocol = 'cross' AND metric = 'pr_auc' AND feature_set = 'FS-B')) GROUP BY model")
@@ -732,10 +732,10 @@ def _(spark, d):
 
 @query("b5_resolvability", "SELECT target, model, n_calib, round(3600 / win_seconds, 6) AS windows_per_hour, ceil(3600 / win_seconds)::BIGINT AS min_calib_fa1, ceil(3600 / win_seconds / 10)::BIGINT AS min_calib_fa10 FROM sizes")
 def _(spark, d):
-    return reports.resolvability(Bus(spark, d).points.select("target", "model", "n_calib", "win_seconds").distinct()).drop("win_seconds")
+    return reports.resolvability(bus(spark, d).points.select("target", "model", "n_calib", "win_seconds").distinct()).drop("win_seconds")
 
 
-_D = f"(SELECT metric, round(b - a, 4) AS d FROM {_PAIRS})"
+_D = f"(SELECT metric, round(b - a, 9) AS d FROM {_PAIRS})"
 
 
 @query(
@@ -745,7 +745,7 @@ _D = f"(SELECT metric, round(b - a, 4) AS d FROM {_PAIRS})"
     (SELECT metric, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, sum(t * t - 1) AS tie_sum FROM (SELECT metric, d, count(*) OVER (PARTITION BY metric, abs(d)) AS t, rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2e0 AS r FROM {_D} WHERE d <> 0) GROUP BY metric) USING (metric)""",
 )
 def _(spark, d):
-    diff = _pairs(spark, d).select("metric", F.round(F.col("b") - F.col("a"), 4).alias("x"), F.lit(0.0).alias("zero"))
+    diff = _pairs(spark, d).select("metric", F.round(F.col("b") - F.col("a"), 9).alias("x"), F.lit(0.0).alias("zero"))
     return reports.signed_ranks(diff, ["metric"], "x", "zero")
 
 
@@ -757,14 +757,14 @@ def _(spark, d):
 
 @query("b7_ablation", f"SELECT a.target, a.model, round(a.pr_auc, 6) AS pr_all, round(b.pr_auc, 6) AS pr_less FROM auc a JOIN (SELECT target, model, sum(p * (tp / (tp + fp)::DOUBLE)) / nullif(sum(p), 0) AS pr_auc FROM (SELECT *, sum(p) OVER d AS tp, sum(m) OVER d AS fp FROM (SELECT target, model, score, sum(y) AS p, sum(1 - y) AS m FROM scores WHERE is_eval AND family <> 'suspension' GROUP BY target, model, score) WINDOW d AS (PARTITION BY target, model ORDER BY score DESC)) GROUP BY target, model) b USING (target, model)")
 def _(spark, d):
-    b = Bus(spark, d)
+    b = bus(spark, d)
     less = evaluation.ranking(b.scores.where("is_eval AND family <> 'suspension'"))
     return b.ranking.select("target", "model", F.col("pr_auc").alias("pr_all")).join(less.select("target", "model", F.col("pr_auc").alias("pr_less")), ["target", "model"])
 
 
 @query("b8_identical_windows", "SELECT target, model, round(sum(p * (tp / (tp + fp)::DOUBLE)) / nullif(sum(p), 0), 6) AS pr_auc, sum(p + m)::BIGINT AS n_eval FROM (SELECT *, sum(p) OVER d AS tp, sum(m) OVER d AS fp FROM (SELECT s.target, s.model, s.score, sum(s.y) AS p, sum(1 - s.y) AS m FROM scores s JOIN infold i ON s.target = i.vehicle AND s.capture = i.capture AND s.widx = i.widx AND i.fold = 0 AND i.f_eval WHERE s.is_eval GROUP BY s.target, s.model, s.score) WINDOW d AS (PARTITION BY target, model ORDER BY score DESC)) GROUP BY target, model")
 def _(spark, d):
-    b = Bus(spark, d)
+    b = bus(spark, d)
     inner = splits.in_domain(b.labelled, 0).where("is_eval").select(F.col("vehicle").alias("target"), "capture", "widx")
     same = b.scores.where("is_eval").join(inner, ["target", "capture", "widx"], "left_semi")
     return evaluation.ranking(same).select("target", "model", "pr_auc", (F.col("pos") + F.col("neg")).alias("n_eval"))
@@ -814,7 +814,7 @@ def _(spark, d):
 
 @query("x1_checks", "SELECT 'negative gaps' AS check_name, count(*) AS bad FROM m0 WHERE dt < 0 UNION ALL SELECT 'unlabelled windows', count(*) FROM lq WHERE q IS NULL OR q > 3 UNION ALL SELECT 'calibrated and evaluated', count(*) FROM lq WHERE (y = 0 AND q <= 1) AND (q >= 2 OR y = 1) UNION ALL SELECT 'unresolvable', count(*) FROM points WHERE NOT resolvable")
 def _(spark, d):
-    b = Bus(spark, d)
+    b = bus(spark, d)
     split = splits.cross(b.labelled)
     bad = lambda name, rows: rows.agg(F.count(F.lit(1)).alias("bad")).select(F.lit(name).alias("check_name"), "bad")
     return union_all([bad("negative gaps", b.messages.where("dt < 0")), bad("unlabelled windows", split.where("q IS NULL OR q > 3")), bad("calibrated and evaluated", split.where("is_calib AND is_eval")), bad("unresolvable", b.points.where("NOT resolvable"))])
@@ -829,7 +829,7 @@ def _(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bus-load detector end to end: windows, profile, scores, thresholds, recall at each budget."""
-    b = Bus(spark, sf_dir)
+    b = bus(spark, sf_dir)
     return b.confusion.where("model IN ('Rule:BusLoad', 'Rule:BusLoad@target')")
 
 

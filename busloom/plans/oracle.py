@@ -134,7 +134,7 @@ piece(
     max(CASE WHEN feature IN ({_in(rules.HIGH)}) THEN z WHEN feature IN ({_in(rules.TWO_SIDED)}) THEN abs(z) END) AS "Rule:Combined" FROM zed GROUP BY ALL""",
 )
 _models = [*rules.SINGLE, "Rule:UnseenID", "Rule:Combined"]
-piece("scores", " UNION ALL ".join(f"SELECT target, CASE WHEN scope = 'target' THEN '{m}@target' ELSE '{m}' END AS model, capture, family, widx, y, is_calib, is_eval, \"{m}\" AS score FROM wide" for m in _models))
+piece("scores", " UNION ALL ".join(f"SELECT target, CASE WHEN scope = 'target' THEN '{m}@target' ELSE '{m}' END AS model, capture, family, widx, y, is_calib, is_eval, round(\"{m}\", 6) + 0e0 AS score FROM wide" for m in _models))
 piece("sizes", "SELECT target, model, count(*) AS n_calib, any_value(win_seconds) AS win_seconds FROM scores JOIN winsec ON target = vehicle WHERE is_calib GROUP BY target, model")
 piece(
     "points",
