@@ -159,17 +159,17 @@ def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return rows, np.array(ys, dtype=np.float64)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds score: double, from the whole text; null and empty texts have no terms. One pass, no shuffle."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """Adds out: double, from the whole text; null and empty texts have no terms. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    shape = docs.select("*", F.lit(0.0).alias("score")).schema
+    shape = docs.select("*", F.lit(0.0).alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         slots = m.slots()
         for batch in batches:
             scores = [m.score(slots, buckets(t.as_py())) for t in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, shape)
 

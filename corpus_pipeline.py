@@ -12,7 +12,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The documents that the factorization machine, fitted on the labelled ones among them, scores below 1/2."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(*toxicity.training(docs, labels))
-    return toxicity.scored(docs, model).where(F.col("score") < 0.5).drop("score")
+    return toxicity.scored(docs, model, out="_toxicity_score").where(F.col("_toxicity_score") < 0.5).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents, so that sources have their target shares in expectation, in globally shuffled order."""
-    return mixing.mixed(docs).sortWithinPartitions("position").select(docs.columns)
+    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))  # so that no other column's name matters
+    return mixing.mixed(whole).sortWithinPartitions("position").select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
