@@ -20,5 +20,36 @@ def queries():
     }
 
 
+_TOP_K = """WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding]::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score FROM v q JOIN v d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+_LINKS = """WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+_MIX = """WITH h AS (SELECT doc_id, source, ('0x' || substr(md5('mix-1|' || doc_id), 1, 15))::BIGINT / 1152921504606846976e0 AS u FROM documents),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, (n::DOUBLE ** 0.7e0) / (SELECT sum(n::DOUBLE ** 0.7e0) FROM n) * (SELECT sum(n)::BIGINT FROM n) / n AS rate FROM n),
+p AS (SELECT source, k, exp(-rate + k * ln(rate) - sum(ln(greatest(k, 1)::DOUBLE)) OVER (PARTITION BY source ORDER BY k)) AS p FROM r, range(0, 60) t(k)),
+f AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM p),
+c AS (SELECT doc_id, h.source, count(*) AS copies FROM h JOIN f ON h.source = f.source AND f.f <= h.u GROUP BY doc_id, h.source),
+e AS (SELECT doc_id, source, copies, unnest(range(copies)) AS copy FROM c)
+SELECT doc_id, source, copies::INT AS copies, copy::INT AS copy, row_number() OVER (ORDER BY substr(md5('mix-1-order|' || doc_id || '|' || copy), 1, 15), doc_id, copy) - 1 AS position FROM e"""
+
+_JACCARD = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE common / (x.n + y.n - common)::DOUBLE >= 0.8e0),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a), k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, coalesce(n_links, 0)::BIGINT AS n_links, class_id, doc_id = class_id AS kept FROM c LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql():
-    return {}
+    """DuckDB SQL of those that it can express: DuckDB has no crc32, no tokenizers and no fitted models."""
+    return {"op2_topk_cover_tree": _TOP_K, "op4_embedding_links": _LINKS, "op9_poisson_mix": _MIX, "op10_jaccard_join": _JACCARD}
