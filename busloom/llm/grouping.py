@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.llm.common import staged, workspace
 
 
 def distinct_buckets(rows: DataFrame) -> DataFrame:
-    """Of (key, node) rows, each node once a key: the keys of two nodes and more with their sizes n, keys of the same nodes once."""
+    """Of (key, node) rows, each node once a key: the keys of two nodes and more with their sizes n, keys of the same nodes once.
+
+    times is how many keys have those nodes.
+    """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    return sizes.where("n >= 2").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    return sizes.where("n >= 2").groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "n", "times")
 
 
 def block_pairs(rows: DataFrame, blocks) -> DataFrame:
@@ -75,7 +78,9 @@ def local_roots(near: np.ndarray) -> np.ndarray:
     """For a symmetric boolean matrix: each row's smallest reachable row number."""
     label = np.arange(len(near))
     while True:
-        low = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+        low = label.copy()
+        for a in range(0, len(near), 256):
+            np.minimum(low[a : a + 256], np.where(near[a : a + 256], label[None, :], len(near)).min(axis=1), out=low[a : a + 256])
         low = low[low]
         if (low == label).all():
             return label
@@ -85,11 +90,16 @@ def local_roots(near: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): for each node of edges (a, b), the smallest node it reaches.
 
-    Least labels pass along the edges, and each round a node also takes its label's label, so rounds grow with the
+    First each node a is tied to the least of its partners, and so are its other partners: nodes that share partners, as
+    those of one group do in many buckets, then share edges, which count once. Least labels pass along the edges, and each round a node also takes its label's label, so rounds grow with the
     logarithm of the longest path. Each round is written to the shared folder; a lost executor costs one round.
     """
     folder = workspace(edges.sparkSession, name)
-    both = staged(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct(), "edges", folder)
+    tied = edges.where("a <> b").select("a", "b").withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
+    pair = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+    few = tied.select(pair.alias("p")).select("p.a", "p.b").where("a <> b").distinct()
+    few = staged(few, "few", folder)
+    both = staged(few.union(few.select("b", "a")).distinct(), "edges", folder)
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"))
     label = staged(label, "round-0", folder)
     done, k = label.isEmpty(), 0

@@ -19,7 +19,7 @@ from busloom.llm.hashing import WordHasher, mixed
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.995
 #: Sampled tokens of a set (the least of a hash over its shingles, position by position).
 POSITIONS = 128
-#: A bucket of up to SMALL sets is compared by brute force; larger ones are split again, DEPTH times in all.
+#: A bucket of up to SMALL sets is compared by brute force; larger ones are split again, until they are DEPTH deep.
 SMALL, DEPTH = 512, 3
 #: Standard deviations of the estimate by POSITIONS tokens that a pair may lie below SIMILARITY and still be verified.
 SLACK = 5.0
@@ -137,11 +137,13 @@ def _candidates(sets: DataFrame, similarity: float, recall: float, folder: str)
     edges = []
     for level in range(1, DEPTH + 1):
         buckets = staged(distinct_buckets(rows), f"buckets-{level}", folder)
-        small = buckets if level == DEPTH else buckets.where(F.col("n") <= SMALL)
+        # sets that are together in two runs are a group that splits don't part: it is compared as it is, by blocks
+        done = (F.col("n") <= SMALL) | (F.col("times") > 1) if level < DEPTH else F.lit(True)
+        small = buckets.where(done).drop("times")
         members = rows.join(small, "key").join(tokens, "node")
-        pairs = block_pairs(members, F.ceil(F.col("n") / F.lit(float(SMALL))))
+        pairs = block_pairs(members, F.ceil(F.col("n") / F.lit(float(BLOCK_SETS))))
         edges.append(staged(together(pairs).mapInArrow(compare, "a long, b long").distinct(), f"edges-{level}", folder))
-        large = buckets.where(F.col("n") > SMALL)
+        large = buckets.where(~done).select("key")
         if level == DEPTH or large.isEmpty():
             break
         rows = staged(_split(rows.join(large, "key").join(tokens, "node"), similarity).distinct(), f"level-{level + 1}", folder)

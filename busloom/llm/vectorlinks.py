@@ -116,7 +116,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, id
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", folder)
     projections, tables = plan(nodes.count(), cosine, recall)
     keys = staged(_keys(nodes, projections, tables), "keys", folder)
-    buckets = distinct_buckets(keys.distinct())
+    buckets = distinct_buckets(keys.distinct()).drop("times")
     content = nodes.select("node", "copies", "vector")
     members = keys.distinct().join(buckets, "key").join(content, "node")
     found = staged(_edges(block_pairs(members, F.ceil(F.col("n") / F.lit(float(BLOCK)))), cosine, False).select("a", "b").distinct(), "found", folder)
