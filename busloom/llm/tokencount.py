@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from busloom.llm.common import staged, workspace
-from busloom.llm.wordpieces import Output, WordEncoder, filesystem, rounds
+from busloom.llm.wordpieces import Output, filesystem, rounds, word_encoder
 
 #: Tokens in a scanned block.
 BLOCK_TOKENS = 1 << 20
@@ -27,7 +27,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col
     shape = docs.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("ordinal"), F.col(id_col).alias("doc_id")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, name, out, n = WordEncoder(tokenizer), f"{uuid.uuid4().hex}.tok", None, 0
+        encoder, name, out, n = word_encoder(tokenizer), f"{uuid.uuid4().hex}.tok", None, 0
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
             out = out or Output(f"{folder}/{name}")
@@ -115,4 +115,4 @@ def op6(spark, sf_dir: str) -> DataFrame:
     names = staged(write_flat(docs, public_tokenizers.path("word_bpe_49k.json"), end_id, f"{folder}/files"), "names", folder)
     counts = stitch(scan_blocks(spark, f"{folder}/files", end_id))
     # a task that was run twice left a second file, which names doesn't mention
-    return names.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return names.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

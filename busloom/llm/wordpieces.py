@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import operator
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Distinct words a worker remembers before it starts afresh; words in one call's text; characters of texts in one round.
-MEMO_WORDS, CALL_WORDS, ROUND_CHARS = 600_000, 256, 1 << 20
+MEMO_WORDS, CALL_WORDS, ROUND_CHARS = 1_200_000, 256, 1 << 20
 _PUNCTUATION = (ord("."), ord(","))
 
 
@@ -77,6 +78,12 @@ class WordEncoder:
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str, dtype: str = "<u2") -> WordEncoder:
+    """A worker's encoder, kept from task to task with the words it has learnt."""
+    return WordEncoder(path, dtype)
+
+
 def rounds(ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
     """Rows in runs of about ROUND_CHARS characters; null texts are empty."""
     a, held, some = 0, 0, []
