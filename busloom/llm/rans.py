@@ -11,11 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from busloom.llm.common import staged, workspace
-from busloom.llm.wordpieces import Output, WordEncoder, filesystem, rounds
+from busloom.llm.wordpieces import Output, filesystem, rounds, word_encoder
 
 #: log2 of the sum of the scaled frequencies; interleaved states of a block; steps between checkpoints; those in a block.
 SCALE, LANES, STEPS, SEGMENTS = 20, 1024, 256, 4
@@ -186,7 +187,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> Data
     shape = "part int, file string, n_tokens long, doc_ids array<long>, lengths array<long>, counts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         size = encoder.library.get_vocab_size(with_added_tokens=True)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         now, out = None, None
@@ -208,7 +209,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> Data
                     if out:
                         yield done()
                     now, name = int(at[a]), f"{uuid.uuid4().hex}.ids"
-                    out, packer, ids, lengths, counts = Output(f"{folder}/{name}"), zlib.compressobj(1), [], [], np.zeros(size, dtype=np.int64)
+                    out, packer, ids, lengths, counts = Output(f"{folder}/{name}"), zstandard.ZstdCompressor(level=1).compressobj(), [], [], np.zeros(size, dtype=np.int64)
                 for some, texts in rounds(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist()):
                     coded = encoder.encode(texts)
                     ids += some
@@ -241,7 +242,7 @@ def write_files(ranges: DataFrame, staging: str, folder: str) -> tuple[DataFrame
             for row in frame.itertuples():
                 codec = codec or Codec(shared.value)
                 name = f"{uuid.uuid4().hex}.rans"
-                writer, unpacker, tail = Writer(f"{folder}/{name}", codec), zlib.decompressobj(), b""
+                writer, unpacker, tail = Writer(f"{folder}/{name}", codec), zstandard.ZstdDecompressor().decompressobj(), b""
                 fs, root = filesystem(staging)
                 with fs.open_input_stream(f"{root}/{row.file}") as f:
                     while data := f.read(1 << 20):
