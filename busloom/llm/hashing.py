@@ -8,7 +8,7 @@ import operator
 import numpy as np
 import xxhash
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 
 
 class WordHasher:
@@ -31,6 +31,7 @@ class WordHasher:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (shift and multiply, as in splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

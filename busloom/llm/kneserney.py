@@ -24,7 +24,7 @@ from busloom.llm.wordpieces import Output, filesystem
 #: Hashes of the beginning and the end of a text; words are hashed from their bytes, which hold neither.
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B27D4EB2F)
 #: Tokens a task counts before it sends them on; text bytes counted in one bucket, about; least number of buckets.
-CHUNK_TOKENS, BUCKET_BYTES, MIN_BUCKETS = 3 << 20, 16 << 20, 64
+CHUNK_TOKENS, BUCKET_BYTES, MIN_BUCKETS = 2 << 20, 16 << 20, 64
 #: How the two columns of words and previous words are kept: counts exactly, shares of probability in single precision.
 KINDS = ("<f8", "<f4")
 #: Words whose pairs are dealt over all buckets, at most.
