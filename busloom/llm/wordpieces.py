@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import functools
-import itertools
-import operator
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Distinct words a worker remembers before it starts afresh; words in one call's text; characters of texts in one round.
-MEMO_WORDS, CALL_WORDS, ROUND_CHARS = 1_200_000, 256, 1 << 20
+#: Distinct words a worker remembers before it starts afresh; longest word it remembers; characters of texts in one round.
+MEMO_WORDS, MEMO_BYTES, ROUND_CHARS = 1_200_000, 64, 1 << 20
 _PUNCTUATION = (ord("."), ord(","))
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of whole texts as the library gives them, for tokenizers that split at white space and drop it.
 
     A text is cut at ASCII white space, where such a tokenizer always cuts too; each distinct word is encoded once and
-    remembered. ASCII letters are lowered first, as the tokenizer's own normaliser does; a last dot or comma after an
-    ASCII letter is a token of its own and is looked up by itself. Special tokens' strings are ordinary text.
+    remembered here, packed as dtype. ASCII letters are lowered first, as the tokenizer's own normaliser does; a word of
+    these alone goes straight to its model, and a last dot or comma after one is a token of its own and is looked up by
+    itself. Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str, dtype: str = "<u2"):
@@ -28,54 +28,30 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.dtype = np.dtype(dtype)
         if self.library.get_vocab_size(with_added_tokens=True) > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"ids don't fit {dtype}")
-        self.memo: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.memo) + 2 * len(words) + 2 > MEMO_WORDS:
-            self.memo.clear()
-        ends = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in _PUNCTUATION and 97 <= w[-2] <= 122}
-        cores = {w for w in words if w not in ends} | set(ends.values()) | {bytes([p]) for p in _PUNCTUATION}
-        self._ask([c for c in cores if c not in self.memo])
-        for word, core in ends.items():
-            self.memo[word] = self.memo[core] + self.memo[word[-1:]]
-
-    def _ask(self, words: list[bytes]) -> None:
-        groups = [[w.decode() for w in words[i : i + CALL_WORDS]] for i in range(0, len(words), CALL_WORDS)]
-        for at, (group, found) in enumerate(zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True)):
-            begins = np.fromiter(itertools.accumulate((len(w) + 1 for w in group[:-1]), initial=0), dtype=np.int64, count=len(group))
-            ids = np.array(found.ids, dtype=self.dtype).tobytes()
-            starts = np.array([o[0] for o in found.offsets], dtype=np.int64)
-            cuts = np.searchsorted(starts, np.append(begins, np.iinfo(np.int64).max)) * self.dtype.itemsize
-            for w, a, b in zip(words[at * CALL_WORDS :], cuts.tolist(), cuts[1:].tolist(), strict=False):
-                self.memo[w] = ids[a:b]
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone
+            ids = array(self.dtype.char, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        elif len(word) > 1 and word[-1] in _PUNCTUATION and 97 <= word[-2] <= 122:
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = array(self.dtype.char, self.library.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed as dtype."""
-        runs = [t.encode().lower().split() for t in texts]
-        found = [list(map(self.memo.get, run)) for run in runs]
-        missing = {w for run, got in zip(runs, found, strict=True) if None in got for w in itertools.compress(run, map(operator.is_, got, itertools.repeat(None)))}
-        if missing:
-            if len(missing) > MEMO_WORDS // 4:  # a very long text: piece by piece
-                return [b"".join(self.encode_words(run[i : i + MEMO_WORDS // 4]) for i in range(0, len(run), MEMO_WORDS // 4)) for run in runs]
-            self._learn(list(missing))
-            found = [list(map(self.memo.get, run)) if None in got else got for run, got in zip(runs, found, strict=True)]
-        return [b"".join(got) if None not in got else self.encode_words(run) for run, got in zip(runs, found, strict=True)]
-
-    def encode_words(self, words: list[bytes]) -> bytes:
-        """For words that may outnumber the memo's room: at most MEMO_WORDS // 4 at once."""
-        out = []
-        for i in range(0, len(words), MEMO_WORDS // 4):
-            run = words[i : i + MEMO_WORDS // 4]
-            for _ in range(2):  # again, as the first round may have emptied the memo
-                if missing := [w for w in set(run) if w not in self.memo]:
-                    self._learn(missing)
-            out.append(b"".join(map(self.memo.__getitem__, run)))
-        return b"".join(out)
+        return [b"".join(map(self.__getitem__, t.encode().lower().split())) for t in texts]
 
 
 @functools.lru_cache(maxsize=2)

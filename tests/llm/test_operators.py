@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from busloom.llm import bytepair, grouping, jaccard, kneserney, mixing, rans, sharding, tokencount, topk, toxicity, vectorlinks  # noqa: E402
+from busloom.llm import bytepair, grouping, jaccard, kneserney, mixing, rans, sharding, tokencount, topk, toxicity, vectorlinks, wordpieces  # noqa: E402
 from busloom.llm.common import workspace  # noqa: E402
 from busloom.llm.wordpieces import WordEncoder  # noqa: E402
 
@@ -188,8 +188,12 @@ def test_token_counts(spark, docs, no_docs):
 def test_word_memo_is_the_librarys_result(monkeypatch):
     encoder = WordEncoder(WORDS)
     odd = ["x., y", "it's, DON'T.", "a,b", "...", "<|startoftext|>,", "ΟΔΟΣ, İ. é,", " a b."]
+    odd += ["wordy" * 50 + " " + "wordy" * 50 + ".", "", "a b c d e f a b c"]
     want = [e.ids for e in encoder.library.encode_batch(odd, add_special_tokens=False)]
     assert [np.frombuffer(e, "<u2").tolist() for e in encoder.encode(odd)] == want
+    assert max(map(len, encoder)) <= wordpieces.MEMO_BYTES
+    monkeypatch.setattr(wordpieces, "MEMO_WORDS", 4)  # starts afresh inside a text
+    assert [np.frombuffer(e, "<u2").tolist() for e in encoder.encode(odd)] == want
 
 
 def test_rans_round_trip():
