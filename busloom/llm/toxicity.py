@@ -67,11 +67,97 @@ def _sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, weights=values, minlength=n)
 
 
+def _divergence(m: np.ndarray, share: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """m times the relative entropy of share to q: the Chernoff exponent of that share of m texts being toxic where q is expected."""
+    q = np.clip(q, 1e-9, 1 - 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(share > 0, share * np.log(share / q), 0.0)
+        return m * (up + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - q)), 0.0))
+
+
+def _paired(row: np.ndarray, col: np.ndarray, y: np.ndarray, p: np.ndarray, terms: int, block: int = 1 << 21) -> np.ndarray:
+    """The terms of every pair that is toxic, or clean, more often than the additive p and than either term alone.
+
+    All pairs that occur together are counted. A pair's evidence must pass the logarithm of the number of tests. Terms whose
+    counts cannot give that much with any partner are left out first, which loses no pair and makes tests fewer.
+    """
+    seen = np.bincount(col, minlength=terms).astype(np.float64)
+    toxic = np.bincount(col, weights=y[row], minlength=terms)
+    share = toxic / np.maximum(seen, 1)
+    most = np.maximum(_divergence(toxic, np.ones(terms), share), _divergence(seen - toxic, np.zeros(terms), share))
+    falling = -np.sort(-most)
+    limits = 2 * np.log(np.arange(1, terms + 1))
+    short = np.flatnonzero(falling < limits)
+    limit = limits[short[0]] if len(short) else limits[-1] if terms else 0.0
+    able = np.flatnonzero(most >= limit)
+    renumber = np.full(terms, -1, dtype=np.int64)
+    renumber[able] = np.arange(len(able))
+    keep = renumber[col] >= 0
+    row, col = row[keep], renumber[col[keep]]
+    order = np.lexsort((col, row))
+    row, col = row[order], col[order]
+    t, share = len(able), share[able]
+    # an entry's partners are those that follow it in its row
+    after = np.searchsorted(row, row, side="right") - np.arange(len(row)) - 1
+    by_term = np.argsort(col, kind="stable")
+    by_term = by_term[after[by_term] > 0]
+    chosen = np.zeros(t, dtype=bool)
+    wide = max(1, block // max(t, 1))
+    for low in range(0, t, wide):
+        a, b = np.searchsorted(col[by_term], [low, low + wide])
+        m, k, expected = np.zeros((3, min(wide, t - low) * t))
+        ends = np.cumsum(after[by_term[a:b]])
+        while a < b:
+            done = ends[-(b - a) - 1] if len(ends) > b - a else 0
+            c = a + max(1, int(np.searchsorted(ends[-(b - a) :], done + block, side="right")))
+            own = by_term[a:c]
+            sizes = after[own]
+            first = np.repeat(own, sizes)
+            partner = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cell = (col[first] - low) * t + col[partner]
+            m += np.bincount(cell, minlength=len(m))
+            k += np.bincount(cell, weights=y[row[first]], minlength=len(m))
+            expected += np.bincount(cell, weights=p[row[first]], minlength=len(m))
+            a = c
+        cell = np.flatnonzero(m)
+        i, j, m = low + cell // t, cell % t, m[cell]
+        got, additive = k[cell] / m, expected[cell] / m
+        high, less = (f.reduce([additive, share[i], share[j]]) for f in (np.maximum, np.minimum))
+        sure = _divergence(m, got, np.where(got > high, high, np.where(got < less, less, got))) > limit
+        chosen[i[sure]] = chosen[j[sure]] = True
+    return able[chosen]
+
+
+def _adam(row: np.ndarray, col: np.ndarray, y: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Fits bias, weights and factors jointly over all rows, with a little L2. Also the rows' probabilities in the last step."""
+    n, p = len(y), np.zeros(len(y))
+    shrink = min(5e-4, 1.5 / n)  # a fixed number of texts: rare pairs must not fade as the training set grows
+    params = [np.array([bias]), w, v]
+    first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
+    for step in range(1, steps + 1):
+        bias_, w, v = params
+        z = bias_[0] + _sums(w[col], row, n)
+        sums = [_sums(v[col, f], row, n) for f in range(v.shape[1])]
+        if sums:
+            z = z + 0.5 * (np.square(sums).sum(axis=0) - _sums((v[col] ** 2).sum(axis=1), row, n))
+        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        e = (p - y) / n
+        grads = [np.array([e.sum()]), _sums(e[row], col, len(w)) + 2e-5 * w, np.zeros_like(v)]
+        for f, vx in enumerate(sums):
+            grads[2][:, f] = _sums(e[row] * (vx[row] - v[col, f]), col, len(w)) + shrink * v[:, f]
+        for k, g in enumerate(grads):
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g**2
+            params[k] = params[k] - 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    return float(params[0][0]), params[1], params[2], p
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Fits the machine: terms by an L1-regularised linear model, then weights and factors of those jointly.
+    """Fits the machine: terms by an L1-regularised linear model and by a test of all pairs, then weights and factors of those jointly.
 
     Each term's L1 penalty is SIGMAS standard deviations of its gradient under no effect, so that rare chance terms stay
-    at zero whatever the sample's size; interactions exist among the terms that remain. Without rows the score is 0 throughout.
+    at zero whatever the sample's size; terms without such an effect of their own come in by their pairs. Interactions
+    exist among all these. Without rows the score is 0 throughout.
     """
     n, none = len(rows), np.zeros(0, dtype=np.int64)
     if not n:
@@ -82,16 +168,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     flat = np.concatenate([*rows, none]).astype(np.int64)
     seen = np.bincount(flat, minlength=1 << BITS)
-    terms = np.flatnonzero((seen >= max(MIN_TEXTS, MIN_SHARE * n)) & (seen < n))
-    slot = np.full(1 << BITS, -1, dtype=np.int64)
-    slot[terms] = np.arange(len(terms))
-    keep = slot[flat] >= 0
-    row, col = row[keep], slot[flat[keep]]
+    candidates = np.flatnonzero((seen >= max(MIN_TEXTS, MIN_SHARE * n)) & (seen < n))
+
+    def entries(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = np.full(1 << BITS, -1, dtype=np.int64)
+        slot[terms] = np.arange(len(terms))
+        keep = slot[flat] >= 0
+        return row[keep], slot[flat[keep]]
+
+    terms = candidates
+    at, col = entries(terms)
     w, grown = np.zeros(len(terms)), np.full(len(terms), 1e-12)
     penalty = SIGMAS * np.sqrt(rate * (1 - rate) * seen[terms] / n / n)
     for step in range(120):
-        p = 1 / (1 + np.exp(-np.clip(bias + _sums(w[col], row, n), -60, 60)))
-        gradient = _sums((p - y)[row], col, len(terms)) / n
+        p = 1 / (1 + np.exp(-np.clip(bias + _sums(w[col], at, n), -60, 60)))
+        gradient = _sums((p - y)[at], col, len(terms)) / n
         grown += gradient**2
         rate_i = 0.5 / np.sqrt(grown)
         w = w - rate_i * gradient
@@ -99,28 +190,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         bias -= 0.5 * float((p - y).mean()) / max(0.05, rate * (1 - rate)) ** 0.5
         if step == 60:  # what is zero by now stays so
             live = np.flatnonzero(w)
-            renumber = np.full(len(terms), -1, dtype=np.int64)
-            renumber[live] = np.arange(len(live))
-            keep = renumber[col] >= 0
-            row, col = row[keep], renumber[col[keep]]
             terms, w, grown, penalty = terms[live], w[live], grown[live], penalty[live]
-    # jointly: Adam over all rows, a little L2
+            at, col = entries(terms)
+    # pairs are held against weights that the penalty doesn't shorten
+    bias, w, _, p = _adam(at, col, y, bias, w, np.zeros((len(terms), 0)), 150)
+    paired = candidates[_paired(*entries(candidates), y, p, len(candidates))]
+    weights = np.zeros(1 << BITS)
+    weights[terms] = w
+    terms = np.union1d(terms, paired)
     v = np.random.default_rng(seed).normal(0, 0.01, (len(terms), FACTORS))
-    params = [np.array([bias]), w, v]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, 401):
-        bias_, w, v = params
-        vx = np.stack([_sums(v[col, f], row, n) for f in range(FACTORS)], axis=1)
-        squares = _sums((v[col] ** 2).sum(axis=1), row, n)
-        p = 1 / (1 + np.exp(-np.clip(bias_[0] + _sums(w[col], row, n) + 0.5 * ((vx**2).sum(axis=1) - squares), -60, 60)))
-        e = (p - y) / n
-        pair = e[row][:, None] * (vx[row] - v[col])
-        grads = [np.array([e.sum()]), _sums(e[row], col, len(terms)) + 2e-5 * w, np.stack([_sums(pair[:, f], col, len(terms)) for f in range(FACTORS)], axis=1) + 5e-4 * v]
-        for k, g in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g**2
-            params[k] = params[k] - 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(float(params[0][0]), terms, params[1], params[2])
+    bias, w, v, _ = _adam(*entries(terms), y, bias, weights[terms], v, 400)
+    return Model(bias, terms, w, v)
 
 
 def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_TRAINING) -> tuple[list[np.ndarray], np.ndarray]:

@@ -73,6 +73,23 @@ def test_toxicity_interactions_and_no_labels(spark, no_docs):
     assert empty.score(empty.slots(), toxicity.buckets("x")) < 1e-9
 
 
+def test_toxicity_finds_pairs_of_neutral_terms():
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for i in range(4000):  # 5 and 6 are toxic together only; each alone is toxic as often as any term
+        kind = i % 100
+        found = rng.choice(np.arange(100, 400), 25, replace=False)
+        own = [5, 6] if kind == 0 else [5] if kind < 9 else [6] if kind < 17 else []
+        rows.append(np.sort(np.concatenate([own, found])).astype(np.int32))
+        y.append(float(kind == 0 or kind >= 89))
+    y = np.array(y)
+    model = toxicity.fit(rows, y)
+    scores = np.array([model.score(model.slots(), r) for r in rows])
+    both = np.array([{5, 6} <= set(r.tolist()) for r in rows])
+    assert (scores[both] > 0.5).all() and (scores[~both] > 0.5).mean() < 0.01
+    assert all(model.score(model.slots(), np.array([t])) < 0.5 for t in (5, 6))
+
+
 # 2
 def brute_top(vectors, k, every):
     q = {i: np.floor(64 * np.pad(np.array(v, float), (0, 6 - len(v)))) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
