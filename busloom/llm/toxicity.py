@@ -16,8 +16,8 @@ from busloom.llm.common import ordered_hash
 
 #: log2 of the hashed terms; interaction factors of a term; labelled documents that the model is fitted on, at most.
 BITS, FACTORS, MAX_TRAINING = 20, 8, 16_000
-#: A term is a candidate from this share of the training texts on, and this many of them.
-MIN_SHARE, MIN_TEXTS = 0.003, 4
+#: A term is a candidate from this many training texts on, however many there are.
+MIN_TEXTS = 4
 #: A term's weight must be worth this many standard deviations of its gradient under no effect.
 SIGMAS = 4.0
 #: Bytes of a word's stem.
@@ -168,7 +168,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     flat = np.concatenate([*rows, none]).astype(np.int64)
     seen = np.bincount(flat, minlength=1 << BITS)
-    candidates = np.flatnonzero((seen >= max(MIN_TEXTS, MIN_SHARE * n)) & (seen < n))
+    candidates = np.flatnonzero((seen >= MIN_TEXTS) & (seen < n))
 
     def entries(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = np.full(1 << BITS, -1, dtype=np.int64)

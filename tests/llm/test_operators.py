@@ -90,6 +90,19 @@ def test_toxicity_finds_pairs_of_neutral_terms():
     assert all(model.score(model.slots(), np.array([t])) < 0.5 for t in (5, 6))
 
 
+def test_toxicity_learns_rare_terms_of_large_training_sets():
+    rng = np.random.default_rng(4)
+    rows, y = [], []
+    for i in range(6000):  # term 5: 15 texts of 6000, all toxic
+        own = [5] if i % 400 == 0 else []
+        rows.append(np.sort(np.concatenate([own, rng.choice(np.arange(100, 2000), 20, replace=False)])).astype(np.int32))
+        y.append(float(i % 400 == 0 or i % 10 == 1))
+    model = toxicity.fit(rows, np.array(y))
+    slots = model.slots()
+    assert np.mean([model.score(slots, r) > 0.5 for r in rows[::400]]) == 1
+    assert np.mean([model.score(slots, r) > 0.5 for r in rows[2::10]]) < 0.01
+
+
 # 2
 def brute_top(vectors, k, every):
     q = {i: np.floor(64 * np.pad(np.array(v, float), (0, 6 - len(v)))) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
