@@ -67,6 +67,14 @@ def _sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, weights=values, minlength=n)
 
 
+def _gathered(values: np.ndarray, source: np.ndarray, target: np.ndarray, n: int, chunk: int = 1 << 18) -> np.ndarray:
+    """The sums of values[source] by target, in chunks that bound the memory."""
+    out = np.zeros(n)
+    for a in range(0, len(source), chunk):
+        out += np.bincount(target[a : a + chunk], weights=values[source[a : a + chunk]], minlength=n)
+    return out
+
+
 def _divergence(m: np.ndarray, share: np.ndarray, q: np.ndarray) -> np.ndarray:
     """m times the relative entropy of share to q: the Chernoff exponent of that share of m texts being toxic where q is expected."""
     q = np.clip(q, 1e-9, 1 - 1e-9)
@@ -75,14 +83,14 @@ def _divergence(m: np.ndarray, share: np.ndarray, q: np.ndarray) -> np.ndarray:
         return m * (up + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - q)), 0.0))
 
 
-def _paired(row: np.ndarray, col: np.ndarray, y: np.ndarray, p: np.ndarray, terms: int, block: int = 1 << 21) -> np.ndarray:
+def _paired(row: np.ndarray, col: np.ndarray, y: np.ndarray, p: np.ndarray, terms: int, block: int = 1 << 20) -> np.ndarray:
     """The terms of every pair that is toxic, or clean, more often than the additive p and than either term alone.
 
-    All pairs that occur together are counted. A pair's evidence must pass the logarithm of the number of tests. Terms whose
+    Entries come by row and term. All pairs that occur together are counted. A pair's evidence must pass the logarithm of the number of tests. Terms whose
     counts cannot give that much with any partner are left out first, which loses no pair and makes tests fewer.
     """
     seen = np.bincount(col, minlength=terms).astype(np.float64)
-    toxic = np.bincount(col, weights=y[row], minlength=terms)
+    toxic = _gathered(y, row, col, terms)
     share = toxic / np.maximum(seen, 1)
     most = np.maximum(_divergence(toxic, np.ones(terms), share), _divergence(seen - toxic, np.zeros(terms), share))
     falling = -np.sort(-most)
@@ -90,40 +98,56 @@ def _paired(row: np.ndarray, col: np.ndarray, y: np.ndarray, p: np.ndarray, term
     short = np.flatnonzero(falling < limits)
     limit = limits[short[0]] if len(short) else limits[-1] if terms else 0.0
     able = np.flatnonzero(most >= limit)
-    renumber = np.full(terms, -1, dtype=np.int64)
+    renumber = np.full(terms, -1, dtype=np.int32)
     renumber[able] = np.arange(len(able))
-    keep = renumber[col] >= 0
-    row, col = row[keep], renumber[col[keep]]
-    order = np.lexsort((col, row))
-    row, col = row[order], col[order]
+    col = renumber[col]
+    row, col = row[col >= 0], col[col >= 0].astype(np.int64)
     t, share = len(able), share[able]
     # an entry's partners are those that follow it in its row
-    after = np.searchsorted(row, row, side="right") - np.arange(len(row)) - 1
-    by_term = np.argsort(col, kind="stable")
+    after = (np.cumsum(np.bincount(row, minlength=len(y)))[row] - np.arange(len(row)) - 1).astype(np.int32)
+    by_term = np.argsort(col, kind="stable").astype(np.int32)
     by_term = by_term[after[by_term] > 0]
+    cuts = np.append(0, np.cumsum(np.bincount(col[by_term], minlength=t)))
     chosen = np.zeros(t, dtype=bool)
     wide = max(1, block // max(t, 1))
+
+    def cells(own: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in own, cell of the block) of every pair that begins in own, a part at a time."""
+        sizes = after[own].astype(np.int64)
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < len(own):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + block, side="right")))
+            place = np.repeat(np.arange(a, b), sizes[a:b])
+            partner = np.arange(len(place)) + np.repeat(own[a:b] + 1 - (ends[a:b] - sizes[a:b] - (ends[a] - sizes[a])), sizes[a:b])
+            yield place, np.repeat((col[own[a:b]] - low) * t, sizes[a:b]) + col[partner]
+            a = b
+
     for low in range(0, t, wide):
-        a, b = np.searchsorted(col[by_term], [low, low + wide])
-        m, k, expected = np.zeros((3, min(wide, t - low) * t))
-        ends = np.cumsum(after[by_term[a:b]])
-        while a < b:
-            done = ends[-(b - a) - 1] if len(ends) > b - a else 0
-            c = a + max(1, int(np.searchsorted(ends[-(b - a) :], done + block, side="right")))
-            own = by_term[a:c]
-            sizes = after[own]
-            first = np.repeat(own, sizes)
-            partner = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            cell = (col[first] - low) * t + col[partner]
+        own = by_term[cuts[low] : cuts[min(low + wide, t)]]
+        m, k = np.zeros(min(wide, t - low) * t, dtype=np.int64), np.zeros(min(wide, t - low) * t)
+        for _, cell in cells(own, low):
             m += np.bincount(cell, minlength=len(m))
-            k += np.bincount(cell, weights=y[row[first]], minlength=len(m))
-            expected += np.bincount(cell, weights=p[row[first]], minlength=len(m))
-            a = c
-        cell = np.flatnonzero(m)
-        i, j, m = low + cell // t, cell % t, m[cell]
-        got, additive = k[cell] / m, expected[cell] / m
-        high, less = (f.reduce([additive, share[i], share[j]]) for f in (np.maximum, np.minimum))
-        sure = _divergence(m, got, np.where(got > high, high, np.where(got < less, less, got))) > limit
+        marked = own[y[row[own]] > 0]
+        for place, cell in cells(marked, low):
+            k += np.bincount(cell, weights=y[row[marked]][place], minlength=len(k))
+        some = np.flatnonzero(m)
+        i, j, n, got = low + some // t, some % t, m[some], k[some] / m[some]
+
+        def evidence(high: np.ndarray, less: np.ndarray, n: np.ndarray, got: np.ndarray) -> np.ndarray:
+            return _divergence(n, got, np.where(got > high, high, np.where(got < less, less, got)))
+
+        # the additive probabilities can only lessen the evidence, so they are added up where it is enough without them
+        high, less = np.maximum(share[i], share[j]), np.minimum(share[i], share[j])
+        left = np.flatnonzero(evidence(high, less, n, got) > limit)
+        if not len(left):
+            continue
+        own = own[np.isin(col[own], i[left])]
+        expected = np.zeros(len(m))
+        for place, cell in cells(own, low):
+            expected += np.bincount(cell, weights=p[row[own]][place], minlength=len(m))
+        additive = expected[some[left]] / n[left]
+        sure = left[evidence(np.maximum(high[left], additive), np.minimum(less[left], additive), n[left], got[left]) > limit]
         chosen[i[sure]] = chosen[j[sure]] = True
     return able[chosen]
 
@@ -136,13 +160,13 @@ def _adam(row: np.ndarray, col: np.ndarray, y: np.ndarray, bias: float, w: np.nd
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, steps + 1):
         bias_, w, v = params
-        z = bias_[0] + _sums(w[col], row, n)
+        z = bias_[0] + _gathered(w, col, row, n)
         sums = [_sums(v[col, f], row, n) for f in range(v.shape[1])]
         if sums:
             z = z + 0.5 * (np.square(sums).sum(axis=0) - _sums((v[col] ** 2).sum(axis=1), row, n))
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         e = (p - y) / n
-        grads = [np.array([e.sum()]), _sums(e[row], col, len(w)) + 2e-5 * w, np.zeros_like(v)]
+        grads = [np.array([e.sum()]), _gathered(e, row, col, len(w)) + 2e-5 * w, np.zeros_like(v)]
         for f, vx in enumerate(sums):
             grads[2][:, f] = _sums(e[row] * (vx[row] - v[col, f]), col, len(w)) + shrink * v[:, f]
         for k, g in enumerate(grads):
@@ -165,24 +189,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     y = labels.astype(np.float64)
     rate = (y.sum() + 0.5) / (n + 1.0)
     bias = float(np.log(rate / (1 - rate)))
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    flat = np.concatenate([*rows, none]).astype(np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    flat = np.concatenate([*map(np.sort, rows), none]).astype(np.int32)
     seen = np.bincount(flat, minlength=1 << BITS)
     candidates = np.flatnonzero((seen >= MIN_TEXTS) & (seen < n))
 
     def entries(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = np.full(1 << BITS, -1, dtype=np.int64)
+        slot = np.full(1 << BITS, -1, dtype=np.int32)
         slot[terms] = np.arange(len(terms))
-        keep = slot[flat] >= 0
-        return row[keep], slot[flat[keep]]
+        found = slot[flat]
+        return row[found >= 0], found[found >= 0]
 
     terms = candidates
     at, col = entries(terms)
     w, grown = np.zeros(len(terms)), np.full(len(terms), 1e-12)
     penalty = SIGMAS * np.sqrt(rate * (1 - rate) * seen[terms] / n / n)
     for step in range(120):
-        p = 1 / (1 + np.exp(-np.clip(bias + _sums(w[col], at, n), -60, 60)))
-        gradient = _sums((p - y)[at], col, len(terms)) / n
+        p = 1 / (1 + np.exp(-np.clip(bias + _gathered(w, col, at, n), -60, 60)))
+        gradient = _gathered(p - y, at, col, len(terms)) / n
         grown += gradient**2
         rate_i = 0.5 / np.sqrt(grown)
         w = w - rate_i * gradient
@@ -194,6 +218,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
             at, col = entries(terms)
     # pairs are held against weights that the penalty doesn't shorten
     bias, w, _, p = _adam(at, col, y, bias, w, np.zeros((len(terms), 0)), 150)
+    del at, col
     paired = candidates[_paired(*entries(candidates), y, p, len(candidates))]
     weights = np.zeros(1 << BITS)
     weights[terms] = w
