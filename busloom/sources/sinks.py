@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
 import uuid
@@ -10,12 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _local_root() -> str:
+    """One folder for all local sessions of this process."""
+    return "file://" + tempfile.mkdtemp(prefix="busloom-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder that spark.checkpoint.dir names; where that is unset, a local one."""
+    """A new folder in the shared folder that spark.checkpoint.dir names.
+
+    Where that is unset, a local master gets a temporary folder, and a cluster an error. No setting is changed.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="busloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
