@@ -124,15 +124,64 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(table.limit(0), F.col("vec_id") % 10 == 0, 7).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_extra_columns(spark):
+    same = [(20, [1.0, 0.0])] * 2 + [(i, [1.0, 0.0]) for i in range(21, 61)] + [(i, [0.5, 0.1]) for i in range(100, 130)]
+    same += [(21, [1.0, 0.0])] * 3
+    table = spark.createDataFrame([(*r, "x", 1) for r in same], "vec_id long, embedding array<double>, score string, grp int")
+    got = [(r.rank, r.vec_id) for r in topk.top_k(table, F.col("vec_id") == 20, 20).orderBy("rank").collect()]
+    assert got == [(i + 1, v) for i, v in enumerate([21] * 4 + list(range(22, 38)))]
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_top_k_over_many_trees(spark, monkeypatch, spread):
+    monkeypatch.setattr(topk, "DATA_ROWS", 60)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 12)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6))
+    vectors = [(i, (centres[i % 12] + spread * rng.normal(size=6)).tolist()) for i in range(900)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = topk.top_k(table, F.col("vec_id") % 10 == 0, 7)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(vectors, 7, 10)
+
+
+def clustered(rng, n, centres, spread):
+    return np.floor(64 * (centres[rng.integers(0, len(centres), n)] + spread * rng.normal(size=(n, centres.shape[1]))))
+
+
 def test_cover_tree_holds_its_bounds():
     rng = np.random.default_rng(2)
-    points = np.concatenate([c + rng.normal(0, 0.5, (200, 3)) for c in rng.normal(0, 50, (9, 3))])
+    points = clustered(rng, 3000, np.repeat(rng.normal(0, 50, (9, 3)), 3, axis=0) + rng.normal(0, 2, (27, 3)), 0.3)
     tree = topk.CoverTree.build(np.arange(len(points)), points)
-    assert any(tree.children) and sorted(tree.ids) == list(range(len(points)))
-    for n, kids in enumerate(tree.children):
-        inside = tree.points[tree.begin[n] : tree.end[n]]
-        assert np.linalg.norm(inside - tree.centre[n], axis=1).max() <= tree.radius[n] + 1e-9
-        assert all(np.linalg.norm(tree.centre[a] - tree.centre[b]) > tree.radius[n] / 2 for a, b in itertools.combinations(kids, 2))
+    assert sorted(tree.ids) == list(range(len(points))) and (points[tree.ids] == tree.points).all()
+    depth = np.zeros(len(tree.begin), dtype=int)
+    for n in range(len(tree.begin)):
+        inside = tree.points[tree.begin[n] : tree.end[n]].astype(float)
+        assert np.linalg.norm(inside - inside[0], axis=1).max() <= tree.radius[n] + 1e-9
+        kids = np.arange(tree.child[n], tree.child[n] + tree.children[n])
+        depth[kids] = depth[n] + 1
+        if len(kids):
+            assert (tree.begin[kids[0]], tree.end[kids[-1]]) == (tree.begin[n], tree.end[n])
+            big = [tree.points[tree.begin[c]].astype(float) for c in kids if tree.end[c] - tree.begin[c] > topk.LEAF]
+            assert all(np.linalg.norm(x - y) > tree.radius[n] / 2 for x, y in itertools.combinations(big, 2))
+        else:
+            assert len(inside) <= topk.LEAF or tree.radius[n] == 0
+    assert depth.max() >= 3
+
+
+def test_dual_tree_leaves_products_out():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(80, 32))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    data, asked = clustered(rng, 4000, centres, 0.02), clustered(rng, 1500, centres, 0.02)
+    counted = {}
+    tree = topk.CoverTree.build(np.arange(4000), data)
+    queries = topk.CoverTree.build(np.arange(4000, 5500), asked)
+    place, ids, scores = topk.search(queries, tree, 20, np.full(1500, -np.inf), counted)
+    assert counted["products"] < 0.12 * 4000 * 1500
+    exact = asked @ data.T
+    for i in range(0, 1500, 50):
+        row = exact[queries.ids[i] - 4000]
+        assert ids[place == i].tolist() == np.lexsort((np.arange(4000), -row))[:20].tolist()
 
 
 # 3
