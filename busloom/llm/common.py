@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import tempfile
 import uuid
@@ -13,15 +14,23 @@ from pyspark.sql import functions as F
 HASH_BITS = 60
 
 
+@functools.cache
+def _local_root() -> str:
+    """One folder for all local sessions of this process."""
+    return "file://" + tempfile.mkdtemp(prefix="busloom-")
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder's URI inside the folder that driver and executors share.
 
-    The session's spark.checkpoint.dir names it; only where that is unset (tests, a laptop) a local folder is made.
+    The session's spark.checkpoint.dir names it. Where that is unset, a local master (tests, a laptop) gets a temporary
+    folder; on a cluster that is an error, as executors would not see the driver's folder. No setting is changed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="busloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

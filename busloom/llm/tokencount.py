@@ -27,7 +27,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col
     shape = docs.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("ordinal"), F.col(id_col).alias("doc_id")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, name, out, n = word_encoder(tokenizer), f"{uuid.uuid4().hex}.tok", None, 0
+        encoder, name, out, n = word_encoder(tokenizer, plain_specials=True), f"{uuid.uuid4().hex}.tok", None, 0
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
             out = out or Output(f"{folder}/{name}")

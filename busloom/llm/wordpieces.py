@@ -19,10 +19,11 @@ class WordEncoder(dict):
     A text is cut at ASCII white space, where such a tokenizer always cuts too; each distinct word is encoded once and
     remembered here, packed as dtype. ASCII letters are lowered first, as the tokenizer's own normaliser does; a word of
     these alone goes straight to its model, and a last dot or comma after one is a token of its own and is looked up by
-    itself. Special tokens' strings are ordinary text.
+    itself. As in the library by default, the strings of special tokens become their ids; with plain_specials they are
+    ordinary text. A text that holds such a string, in capitals or not, goes to the library as a whole.
     """
 
-    def __init__(self, path: str, dtype: str = "<u2"):
+    def __init__(self, path: str, dtype: str = "<u2", plain_specials: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,8 +31,9 @@ class WordEncoder(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain_specials
         self.model = self.library.model
+        self.specials = [] if plain_specials else [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype(dtype)
         if self.library.get_vocab_size(with_added_tokens=True) > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"ids don't fit {dtype}")
@@ -51,13 +53,18 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed as dtype."""
-        return [b"".join(map(self.__getitem__, t.encode().lower().split())) for t in texts]
+        return [self._encoded(t, t.encode().lower()) for t in texts]
+
+    def _encoded(self, text: str, lowered: bytes) -> bytes:
+        if any(s in lowered for s in self.specials):
+            return array(self.dtype.char, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, lowered.split()))
 
 
 @functools.lru_cache(maxsize=2)
-def word_encoder(path: str, dtype: str = "<u2") -> WordEncoder:
+def word_encoder(path: str, dtype: str = "<u2", plain_specials: bool = False) -> WordEncoder:
     """A worker's encoder, kept from task to task with the words it has learnt."""
-    return WordEncoder(path, dtype)
+    return WordEncoder(path, dtype, plain_specials)
 
 
 def rounds(ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
@@ -72,10 +79,14 @@ def rounds(ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
 
 
 def filesystem(uri: str):
-    """pyarrow's file system and the path inside it for a URI that driver and executors can open."""
+    """pyarrow's file system and the path inside it for a URI that driver and executors can open.
+
+    Hadoop's names of S3 are pyarrow's s3; credentials then come from the environment, as pyarrow reads them.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3{colon}{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 class Output:
