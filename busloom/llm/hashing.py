@@ -8,7 +8,7 @@ import operator
 import numpy as np
 import xxhash
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 
 class WordHasher:

@@ -11,6 +11,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -24,9 +25,9 @@ from busloom.llm.wordpieces import Output, filesystem
 #: Hashes of the beginning and the end of a text; words are hashed from their bytes, which hold neither.
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B27D4EB2F)
 #: Tokens a task counts before it sends them on; text bytes counted in one bucket, about; least number of buckets.
-CHUNK_TOKENS, BUCKET_BYTES, MIN_BUCKETS = 2_000_000, 16 << 20, 64
+CHUNK_TOKENS, BUCKET_BYTES, MIN_BUCKETS = 1_500_000, 16 << 20, 64
 #: Triples that a merging task holds before it adds them up; tokens scored at once.
-MERGE_ROWS, SCORE_TOKENS = 2_000_000, 400_000
+MERGE_ROWS, SCORE_TOKENS = 1_500_000, 300_000
 #: The most frequent words have two-byte codes while triples are moved; a word's least count in a chunk to be one of them.
 CODES, LEAST_COUNT = 65_535, 8
 #: Bits of a local word number; a chunk has fewer distinct words than that gives.
@@ -41,6 +42,18 @@ def tokens(text: str | None, hasher: WordHasher) -> np.ndarray:
     return np.append(hasher(words), END)
 
 
+def distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, each value's place among them), in no order."""
+    at, distinct = pd.factorize(x)
+    return distinct, at
+
+
+def first_places(at: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty(n, dtype=np.int64)
+    out[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+    return out
+
+
 def triples_of(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(last but one, last, word) of every token of texts; what lies before a text is BEGIN."""
     words = np.concatenate(found)
@@ -170,11 +183,19 @@ def _count(docs: DataFrame, buckets: int, top: np.ndarray, heavy: np.ndarray) ->
         hasher, held, size = WordHasher(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            whole = triples_of(held)
-            for low in range(0, len(whole[0]), CHUNK_TOKENS):
-                words, at = np.unique(np.concatenate([x[low : low + CHUNK_TOKENS] for x in whole]), return_inverse=True)
-                u, v, w = at.reshape(3, -1).astype(np.int64)
-                key, n = np.unique(v << 2 * _LOCAL | u << _LOCAL | w, return_counts=True)
+            whole = np.concatenate(held)
+            starts = np.concatenate(([0], np.cumsum([len(f) for f in held])))[:-1]
+            held.clear()
+            for low in range(0, len(whole), CHUNK_TOKENS):
+                part = starts[(starts >= low) & (starts < low + CHUNK_TOKENS)] - low
+                before = [BEGIN if at < 0 or np.searchsorted(starts, at, "right") != np.searchsorted(starts, low, "right") else whole[at] for at in (low - 1, low - 2)]
+                words, at = distinct_of(np.concatenate([whole[low : low + CHUNK_TOKENS], np.array([BEGIN, *before], dtype=np.uint64)]))
+                w, begin = at[:-3], at[-3]
+                v = np.append(at[-2], w[:-1])
+                v[part] = begin
+                u = np.append(at[-1], v[:-1])
+                u[part] = begin
+                key, n = np.unique(v.astype(np.int64) << 2 * _LOCAL | u.astype(np.int64) << _LOCAL | w, return_counts=True)
                 mask = (1 << _LOCAL) - 1
                 levels = [key >> 2 * _LOCAL, key >> _LOCAL & mask, key & mask]
                 bucket = bucket_of(pair_hash(words[levels[1]], words[levels[0]]), words[levels[0]], heavy, buckets)
@@ -192,7 +213,7 @@ def _count(docs: DataFrame, buckets: int, top: np.ndarray, heavy: np.ndarray) ->
                 size += len(held[-1])
                 if size >= CHUNK_TOKENS:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
 
@@ -267,9 +288,10 @@ def _count_keys(h: np.ndarray, n: np.ndarray) -> bytes:
 
 def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct keys with their sum of counts and their numbers of counts of 1, 2 and more."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    add = lambda x: np.bincount(at, weights=x, minlength=len(distinct)).astype(np.int64)
-    return distinct, [add(counts), add(counts == 1), add(counts == 2), add(counts >= 3)]
+    distinct, at = distinct_of(keys)
+    order = np.argsort(distinct)
+    add = lambda x: np.bincount(at, weights=x, minlength=len(distinct)).astype(np.int64)[order]
+    return distinct[order], [add(counts), add(counts == 1), add(counts == 2), add(counts >= 3)]
 
 
 def _context_keys(pair: np.ndarray, n: np.ndarray) -> bytes:
@@ -295,7 +317,7 @@ def _rows(kind: str, keys: np.ndarray, values: list[np.ndarray] = (), file: str
 def _word_rows(v: np.ndarray, w: np.ndarray, s: np.ndarray, words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of pairs (v, w) with s distinct words before them, and of words seen n times: rows 'word' of
     (times, distinct words before it, and as a context the pairs' sum of s, pairs of s 1, 2 and more)."""
-    keys, at = np.unique(np.concatenate([w, v, words]), return_inverse=True)
+    keys, at = distinct_of(np.concatenate([w, v, words]))
     as_word, as_context, seen = at[: len(w)], at[len(w) : len(w) + len(v)], at[len(w) + len(v) :]
     add = lambda i, x=None: np.bincount(i, weights=x, minlength=len(keys))
     values = [add(seen, n), add(as_word), add(as_context, s), add(as_context, s == 1), add(as_context, s == 2), add(as_context, s >= 3)]
@@ -365,7 +387,10 @@ def _merge(parts: DataFrame, buckets: int, top: np.ndarray, heavy: np.ndarray, f
             v, u, w, n, h = sums.take()
             out = Output(f"{folder}/{(name := f'triples-{bucket}-{uuid.uuid4().hex}')}")
             ends = pair_hash(v, w)
-            e, first, s = np.unique(ends, return_index=True, return_counts=True)
+            e, at = distinct_of(ends)
+            first, s = first_places(at, len(e)), np.bincount(at)
+            order = np.argsort(e)
+            e, first, s = e[order], first[order], s[order]
             ev, ew = v[first], w[first]
             spread = _is_in(ev, heavy)
             sections = [_count_keys(h, n), _context_keys(pair_hash(u, v), n), _count_keys(e[~spread], s[~spread])]
@@ -515,7 +540,7 @@ class Model:
         return [SortedKeys(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _lookup(self, kind: str, keys: np.ndarray, shards: np.ndarray, width: int, make, read) -> np.ndarray:
-        """read(opened, keys) of distinct sorted keys by their files, zeros where there is none."""
+        """read(opened, keys) of distinct keys by their files, zeros where there is none."""
         out, files = np.zeros((width, len(keys))), self.spec[kind]
         order = np.argsort(shards, kind="stable")
         cuts = np.searchsorted(shards[order], np.arange(len(files) + 1))
@@ -530,7 +555,7 @@ class Model:
         s, buckets = self.spec, len(self.spec["triples"])
         u, v, w = triples_of(found)
         starts = np.concatenate(([0], np.cumsum([len(f) for f in found])[:-1]))
-        distinct, at = np.unique(np.append(w, BEGIN), return_inverse=True)
+        distinct, at = distinct_of(np.append(w, BEGIN))
         shards = (distinct.view(np.int64) % len(s["words"])).astype(np.int64)
         n, lower, total1, left1 = self._lookup("words", distinct, shards, 4, lambda d: Words(d, s["once"]), lambda f, k: f(k))
         base = np.log10((n + 0.5) / (s["tokens"] + 0.5 * (s["types"] + 1)))
@@ -540,7 +565,8 @@ class Model:
         # pairs by their ends, and as contexts: a context is the pair that ended a token before
         ends = pair_hash(v, w)
         first_context = pair_hash(BEGIN[None], BEGIN[None])
-        distinct, first, back = np.unique(np.append(ends, first_context), return_index=True, return_inverse=True)
+        distinct, back = distinct_of(np.append(ends, first_context))
+        first = first_places(back, len(distinct))
         pv, pw = np.append(v, BEGIN)[first], np.append(w, BEGIN)[first]
         context = np.append(back[-1], back[:-2])
         context[starts] = back[-1]
@@ -557,7 +583,8 @@ class Model:
         d = s["discounts"]
         left2 = (d[0] * ones + d[1] * twos + d[2] * more) / np.maximum(total2, 1)
         h = triple_hash(distinct[context], w)
-        threes, first3, back3 = np.unique(h, return_index=True, return_inverse=True)
+        threes, back3 = distinct_of(h)
+        first3 = first_places(back3, len(threes))
         counts = self._lookup("triples", threes, by_context[context[first3]], 1, self._sections, lambda f, k: f[0].counts(k)[None])[0][back3]
         cut = lambda c, by: np.array([0.0, *by])[np.minimum(c, 3).astype(np.int64)]
         p = lower[at] + s["unseen"]
