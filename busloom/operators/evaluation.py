@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from busloom.operators import ordered
 from busloom.settings import ALARM_BUDGETS, RATE_TARGETS
 
 JOB = ["target", "model"]
@@ -35,8 +36,7 @@ def thresholds(calib: DataFrame, points: DataFrame, job: list[str] = JOB) -> Dat
     """
     kept = calib.where(finite(F.col("score")))
     steps = kept.groupBy(*job, "score").agg(F.count(F.lit(1)).alias("c"))
-    reach = F.sum("c").over(Window.partitionBy(*job).orderBy(F.desc("score")))
-    steps = steps.withColumn("ge", reach)
+    steps = ordered.running(steps, job, "score", {"ge": "c"}, descending=True)
     return (
         points.join(steps, job, "left")
         .groupBy(*points.columns)
@@ -83,8 +83,7 @@ def ranking(scored: DataFrame, job: list[str] = JOB, weight: str | None = None)
     w = F.col(weight) if weight else F.lit(1)
     s = F.when(finite(F.col("score")), F.col("score")).otherwise(F.lit(-1e30))
     steps = scored.withColumn("s", s).groupBy(*job, "s").agg(F.sum(w * F.col("y")).alias("p"), F.sum(w * (1 - F.col("y"))).alias("m"))
-    down = Window.partitionBy(*job).orderBy(F.desc("s"))
-    steps = steps.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("m").over(down))
+    steps = ordered.running(steps, job, "s", {"tp": "p", "fp": "m"}, descending=True)
     sums = steps.groupBy(*job).agg(
         F.sum("p").alias("pos"),
         F.sum("m").alias("neg"),

@@ -1,9 +1,12 @@
-"""Learned detectors: MLlib classifiers, an isolation forest, rank averages and stacking, and the detector registry."""
+"""Learned detectors: MLlib classifiers, forests of random cuts grown in tasks, rank averages and stacking, and the detector registry."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,8 +19,51 @@ from pyspark.sql import functions as F
 from busloom.operators import rules, splits
 from busloom.settings import EPS
 
-#: Attack-free windows that an isolation forest is fitted on, at most; points of a tree; trees.
-FOREST_ROWS, TREE_POINTS, TREES = 20_000, 256, 100
+#: Windows that an isolation forest, or extremely randomised trees, are fitted on, at most.
+FOREST_ROWS = 20_000
+#: Trees of an isolation forest and points of each, at most: fixed values of the detector.
+ISOLATION_TREES, TREE_POINTS = 200, 4096
+#: The families and their settings, fixed values of the detectors: trees, rounds or iterations, greatest depth, step, share of rows.
+SETTINGS = {
+    "LogReg": {"rounds": 3000},
+    "RandomForest": {"rounds": 300, "depth": 30},
+    "ExtraTrees": {"rounds": 300, "depth": 64},
+    "HistGB": {"rounds": 300, "depth": 5, "step": 0.08, "share": 1.0},
+    "XGBoost": {"rounds": 400, "depth": 6, "step": 0.08, "share": 0.85},
+    "LightGBM": {"rounds": 500, "depth": 6, "step": 0.06, "share": 0.85},
+    "CatBoost": {"rounds": 500, "depth": 6, "step": 0.08, "share": 1.0},
+    "NN:MLP": {"rounds": 200},
+}
+BOOSTED = ("HistGB", "XGBoost", "LightGBM", "CatBoost")
+#: The members of the ensembles. The hybrid's convolutional member has no counterpart here.
+ENSEMBLES = {
+    "Ens:RankAvg-Trees": ("XGBoost", "LightGBM", "RandomForest"),
+    "Ens:Stack-Trees": ("XGBoost", "LightGBM", "RandomForest", "ExtraTrees"),
+    "Ens:RankAvg-Hybrid": ("XGBoost", "LightGBM", "RandomForest", "NN:MLP"),
+}
+
+
+@dataclass(frozen=True)
+class Effort:
+    """share of the settings' rounds (3 at least) and a cap on depth; the default is the whole."""
+
+    share: float = 1.0
+    depth: int = 64
+
+    def rounds(self, kind: str) -> int:
+        return max(3, round(SETTINGS[kind]["rounds"] * self.share))
+
+    def levels(self, kind: str) -> int:
+        return min(self.depth, SETTINGS[kind]["depth"])
+
+
+FULL = Effort()
+
+
+def side_by_side(tasks: list[Callable], threads: int = 4) -> list:
+    """Results of independent Spark jobs that are submitted at the same time."""
+    with ThreadPoolExecutor(threads) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
 
 
 def scaling(fit_rows: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -38,31 +84,33 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("y") == 1, w1).otherwise(w0))
 
 
-def classifier(kind: str, seed: int, features: int):
-    """One of the supported families. Boosted trees stand for every gradient-boosting library; extremely randomised trees,
-    convolutional, recurrent and attention networks have no counterpart here."""
-    column = {"featuresCol": "vector", "labelCol": "y"}
-    if kind == "logistic":
-        return LogisticRegression(**column, weightCol="weight", maxIter=100, regParam=1e-3)
-    if kind == "forest":
-        return RandomForestClassifier(**column, weightCol="weight", numTrees=50, minInstancesPerNode=2, maxDepth=8, seed=seed)
-    if kind == "boosted":
-        return GBTClassifier(**column, weightCol="weight", maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.85, seed=seed)
-    if kind == "perceptron":
-        return MultilayerPerceptronClassifier(**column, layers=[features, 32, 16, 2], maxIter=60, seed=seed)
+def classifier(kind: str, seed: int, features: int, rows: int, effort: Effort = FULL):
+    """An MLlib estimator of the family. MLlib's boosted trees stand for all boosting libraries, with each one's rounds, depth,
+    step and share of rows; leaves are bounded by depth (31 and 63 leaves as 5 and 6 levels)."""
+    column, rounds = {"featuresCol": "vector", "labelCol": "y"}, effort.rounds(kind)
+    if kind == "LogReg":
+        return LogisticRegression(**column, weightCol="weight", maxIter=rounds, regParam=1 / max(rows, 1))  # C = 1
+    if kind == "RandomForest":
+        return RandomForestClassifier(**column, weightCol="weight", numTrees=rounds, minInstancesPerNode=2, maxDepth=min(30, effort.levels(kind)), featureSubsetStrategy="sqrt", seed=seed)
+    if kind in BOOSTED:
+        s = SETTINGS[kind]
+        return GBTClassifier(**column, weightCol="weight", maxIter=rounds, maxDepth=effort.levels(kind), stepSize=s["step"], subsamplingRate=s["share"], seed=seed)
+    if kind == "NN:MLP":
+        return MultilayerPerceptronClassifier(**column, layers=[features, 128, 64, 2], maxIter=rounds, seed=seed)
     raise ValueError(f"no learner is called {kind}")
 
 
 class Learner:
-    """fit(rows with features and y) then score(rows): adds score, the probability of y = 1 (the raw margin's sigmoid)."""
+    """fit(rows with features and y), then score(rows): adds score, the probability of y = 1 (the raw margin's sigmoid)."""
 
-    def __init__(self, kind: str, features: list[str], seed: int = 1):
-        self.kind, self.features, self.seed = kind, features, seed
+    def __init__(self, kind: str, features: list[str], seed: int = 1, effort: Effort = FULL):
+        self.kind, self.features, self.seed, self.effort = kind, features, seed, effort
         self.assembler = VectorAssembler(inputCols=features, outputCol="vector")
 
-    def fit(self, rows: DataFrame) -> Learner:
+    def fit(self, rows: DataFrame, key: list[str] | None = None) -> Learner:
         self.by = scaling(rows, self.features)
-        self.model = classifier(self.kind, self.seed, len(self.features)).fit(self.assembler.transform(balanced(scaled(rows, self.by))))
+        made = classifier(self.kind, self.seed, len(self.features), rows.count(), self.effort)
+        self.model = made.fit(self.assembler.transform(balanced(scaled(rows, self.by))))
         return self
 
     def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
@@ -71,65 +119,135 @@ class Learner:
         return scored.select("_row.*", vector_to_array("probability")[1].alias(out))
 
 
-class IsolationForest:
-    """Trees of random cuts on a bounded sample of attack-free windows; the score rises with the ease of isolation."""
+class _Trees:
+    """Trees of random cuts, grown side by side in tasks on one bounded, broadcast sample; each is arrays of (feature or -1, cut, left, right, value)."""
 
-    def __init__(self, features: list[str], seed: int = 1):
-        self.features, self.seed = features, seed
+    def __init__(self, features: list[str], seed: int = 1, effort: Effort = FULL):
+        self.features, self.seed, self.effort = features, seed, effort
 
-    def fit(self, rows: DataFrame, key: list[str]) -> IsolationForest:
-        """Fitted on the driver on up to FOREST_ROWS rows, the first by a seeded hash of the key."""
-        self.by = scaling(rows, self.features)
-        sample = scaled(rows, self.by).orderBy(splits.hash_order(*key, seed=str(self.seed)), *key).limit(FOREST_ROWS).select(*self.features).toPandas().to_numpy(dtype=np.float64)
-        rng = np.random.default_rng(self.seed)
-        self.points = max(2, min(TREE_POINTS, len(sample)))
-        self.trees = [self._grow(sample[rng.choice(len(sample), min(self.points, len(sample)), replace=False)], rng) for _ in range(TREES)] if len(sample) else []
-        return self
+    def _sample(self, rows: DataFrame, key: list[str], columns: list[str]) -> np.ndarray:
+        """Up to FOREST_ROWS rows, the first by a seeded hash of the key."""
+        first = rows.orderBy(splits.hash_order(*key, seed=str(self.seed)), *key).limit(FOREST_ROWS)
+        return first.select(*columns).toPandas().to_numpy(dtype=np.float64)
 
-    def _grow(self, x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-        limit, nodes = math.ceil(math.log2(self.points)), []
+    def _grow(self, spark, shared, trees: int, grow) -> list[tuple[np.ndarray, ...]]:
+        sample = spark.sparkContext.broadcast(shared)
 
-        def node(rows: np.ndarray, depth: int) -> int:
-            at = len(nodes)
-            nodes.append(None)
-            spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else np.zeros(0, dtype=int)
-            if depth >= limit or not len(spread):
-                nodes[at] = (-1, 0.0, depth + _average_depth(len(rows)), 0)
-                return at
-            f = int(rng.choice(spread))
-            cut = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
-            left = node(rows[rows[:, f] < cut], depth + 1)
-            right = node(rows[rows[:, f] >= cut], depth + 1)
-            nodes[at] = (f, cut, left, right)
-            return at
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                grown = [pickle.dumps(tuple(np.array(c) for c in zip(*grow(sample.value, np.random.default_rng([self.seed, int(i)])), strict=True))) for i in frame["id"]]
+                yield pd.DataFrame({"tree": grown})
 
-        node(x, 0)
-        return nodes
+        parts = min(trees, 2 * spark.sparkContext.defaultParallelism)
+        return [pickle.loads(r["tree"]) for r in spark.range(0, trees, 1, parts).mapInPandas(run, "tree binary").collect()]  # bounded by the parameters
 
-    def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
-        """Adds out; Arrow batches against the broadcast trees, whose size the parameters bound."""
-        shared = rows.sparkSession.sparkContext.broadcast((self.trees, self.by, self.features, self.points))
+    def _values(self, rows: DataFrame, out: str, mean_to_score, by: dict | None) -> DataFrame:
+        """Adds out: mean_to_score of the mean value of the leaves that a row falls into; Arrow batches against the broadcast trees."""
+        shared = rows.sparkSession.sparkContext.broadcast((self.trees, by, self.features))
         shape = rows.select("*", F.lit(0.0).alias(out)).schema
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trees, by, features, points = shared.value
-            arrays = [tuple(np.array(c, dtype=t) for c, t in zip(zip(*tree, strict=True), (np.int64, float, float, np.int64), strict=True)) for tree in trees]
+            trees, by, features = shared.value
             for frame in frames:
-                x = np.column_stack([(frame[f].to_numpy() - by[f][0]) / (by[f][1] if by[f][1] > EPS else 1.0) for f in features])
-                depth = np.zeros(len(x))
-                for f, cut, left, right in arrays:
+                x = np.column_stack([frame[f].to_numpy(dtype=np.float64) if by is None else (frame[f].to_numpy() - by[f][0]) / (by[f][1] if by[f][1] > EPS else 1.0) for f in features])
+                total = np.zeros(len(x))
+                for f, cut, left, right, value in trees:
                     at = np.zeros(len(x), dtype=np.int64)
                     while (inner := f[at] >= 0).any():
                         some = np.flatnonzero(inner)
                         n = at[some]
-                        at[some] = np.where(x[some, f[n]] < cut[n], left[n].astype(np.int64), right[n])
-                    depth += left[at]
-                mean = depth / max(len(trees), 1)
-                yield frame.assign(**{out: 2.0 ** (-mean / max(_average_depth(points), 1e-9))})
+                        at[some] = np.where(x[some, f[n]] < cut[n], left[n], right[n])
+                    total += value[at]
+                yield frame.assign(**{out: mean_to_score(total / max(len(trees), 1))})
 
         return rows.mapInPandas(run, shape)
 
 
+class IsolationForest(_Trees):
+    """Fitted on attack-free windows; the score rises with the ease of isolation by random cuts."""
+
+    def fit(self, rows: DataFrame, key: list[str]) -> IsolationForest:
+        self.by = scaling(rows, self.features)
+        sample = self._sample(scaled(rows, self.by), key, self.features)
+        self.points = points = max(2, min(TREE_POINTS, len(sample)))
+        limit = math.ceil(math.log2(points))
+
+        def grow(sample: np.ndarray, rng: np.random.Generator) -> list[tuple]:
+            nodes: list[tuple] = []
+
+            def node(x: np.ndarray, depth: int) -> int:
+                at = len(nodes)
+                nodes.append((-1, 0.0, 0, 0, depth + _average_depth(len(x))))
+                spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else []
+                if depth < limit and len(spread):
+                    f = int(rng.choice(spread))
+                    cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
+                    nodes[at] = (f, cut, node(x[x[:, f] < cut], depth + 1), node(x[x[:, f] >= cut], depth + 1), 0.0)
+                return at
+
+            node(sample[rng.choice(len(sample), min(points, len(sample)), replace=False)], 0)
+            return nodes
+
+        trees = max(3, round(ISOLATION_TREES * self.effort.share))
+        self.trees = self._grow(rows.sparkSession, sample, trees, grow) if len(sample) else []
+        return self
+
+    def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
+        usual = max(_average_depth(self.points), 1e-9)
+        return self._values(rows, out, lambda mean: 2.0 ** (-mean / usual), self.by)
+
+
+class ExtraTrees(_Trees):
+    """Extremely randomised trees: at each node one random cut for each of sqrt(features) features, the purest of which is taken."""
+
+    def fit(self, rows: DataFrame, key: list[str]) -> ExtraTrees:
+        sample = self._sample(rows, key, [*self.features, "y"])
+        positive = sample[:, -1].sum()
+        w = np.where(sample[:, -1] > 0, len(sample) / (2 * max(positive, 1)), len(sample) / (2 * max(len(sample) - positive, 1)))
+        tried, levels = max(1, round(math.sqrt(len(self.features)))), self.effort.levels("ExtraTrees")
+
+        def grow(shared: tuple, rng: np.random.Generator) -> list[tuple]:
+            x, y, w = shared
+            nodes, todo = [], [(0, np.arange(len(y)), 0)]
+            nodes.append(None)
+            while todo:
+                at, rows, depth = todo.pop()
+                all_, ones = w[rows].sum(), (w * y)[rows].sum()
+                nodes[at] = (-1, 0.0, 0, 0, ones / max(all_, EPS))
+                if len(rows) < 4 or depth >= levels or ones <= 0 or ones >= all_ * (1 - 1e-12):
+                    continue
+                tries = rng.permutation(x.shape[1])
+                own = x[rows]
+                tries = tries[own[:, tries].max(axis=0) > own[:, tries].min(axis=0)][:tried]
+                if not len(tries):
+                    continue
+                cuts = rng.uniform(own[:, tries].min(axis=0), own[:, tries].max(axis=0))
+                low = own[:, tries] < cuts
+                wl, ol, n = w[rows] @ low, (w * y)[rows] @ low, low.sum(axis=0)
+                wr, or_ = all_ - wl, ones - ol
+                impure = ol * (1 - ol / np.maximum(wl, EPS)) + or_ * (1 - or_ / np.maximum(wr, EPS))
+                impure[(n < 2) | (len(rows) - n < 2)] = np.inf
+                best = int(impure.argmin())
+                if not np.isfinite(impure[best]):
+                    continue
+                left, right = len(nodes), len(nodes) + 1
+                nodes += [None, None]
+                nodes[at] = (int(tries[best]), float(cuts[best]), left, right, 0.0)
+                todo += [(left, rows[low[:, best]], depth + 1), (right, rows[~low[:, best]], depth + 1)]
+            return nodes
+
+        shared = sample[:, :-1], sample[:, -1], w
+        self.trees = self._grow(rows.sparkSession, shared, self.effort.rounds("ExtraTrees"), grow) if len(sample) else []
+        return self
+
+    def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
+        return self._values(rows, out, lambda mean: mean, None)
+
+
+def learner(kind: str, features: list[str], seed: int = 1, effort: Effort = FULL):
+    return ExtraTrees(features, seed, effort) if kind == "ExtraTrees" else Learner(kind, features, seed, effort)
+
+
 def _average_depth(n: int) -> float:
     """The mean depth of an unsuccessful search in a random binary tree of n points."""
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
@@ -143,20 +261,30 @@ def rank_average(scored: DataFrame, reference: DataFrame, members: list[str], ke
     return counted.crossJoin(F.broadcast(sizes)).groupBy(*keys).agg(F.avg(F.col("below") / F.greatest("_n", F.lit(1))).alias(out))
 
 
-def stacked(train: DataFrame, test: DataFrame, kinds: list[str], features: list[str], key: list[str], folds: int = 3) -> DataFrame:
+def ranked_members(train: DataFrame, test: DataFrame, kinds: tuple[str, ...], features: list[str], key: list[str], effort: Effort = FULL) -> DataFrame:
+    """(key, y, score) of test: the members' scores as shares of their scores on the training rows, averaged."""
+    fitted = side_by_side([lambda k=k: learner(k, features, effort=effort).fit(train, key) for k in kinds])
+    members = [f"s_{i}" for i in range(len(kinds))]
+    for m, f in zip(members, fitted, strict=True):
+        train, test = f.score(train, m), f.score(test, m)
+    return rank_average(test, train, members, [*key, "y"])
+
+
+def stacked(train: DataFrame, test: DataFrame, kinds: tuple[str, ...], features: list[str], key: list[str], folds: int = 3, effort: Effort = FULL) -> DataFrame:
     """test with score: a logistic model of the members' scores, fitted on scores of rows that the member hasn't seen."""
     dealt = splits.stratified_folds(train, folds, key, seed="stack")
-    unseen, members = None, []
-    for k in kinds:
-        parts = None
-        for f in range(folds):
-            part = Learner(k, features).fit(dealt.where(F.col("fold") != f)).score(dealt.where(F.col("fold") == f), f"s_{k}").select(*key, "y", f"s_{k}")
-            parts = part if parts is None else parts.unionByName(part)
-        unseen = parts if unseen is None else unseen.join(parts.drop("y"), key)
-        members.append(f"s_{k}")
-    for k in kinds:
-        test = Learner(k, features).fit(train).score(test, f"s_{k}")
-    return Learner("logistic", members).fit(unseen).score(test)
+    jobs = [(k, f) for k in kinds for f in [*range(folds), None]]
+    part = lambda f: dealt if f is None else dealt.where(F.col("fold") != f)
+    fitted = dict(zip(jobs, side_by_side([lambda k=k, f=f: learner(k, features, effort=effort).fit(part(f), key) for k, f in jobs]), strict=True))
+    members, unseen = [f"s_{i}" for i in range(len(kinds))], None
+    for m, k in zip(members, kinds, strict=True):
+        parts = [fitted[k, f].score(dealt.where(F.col("fold") == f), m).select(*key, "y", m) for f in range(folds)]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        unseen = whole if unseen is None else unseen.join(whole.drop("y"), key)
+        test = fitted[k, None].score(test, m)
+    return Learner("LogReg", members, effort=effort).fit(unseen).score(test)
 
 
 def detectors(feature_set: str, cross: bool) -> list[tuple[str, str]]:
@@ -167,4 +295,4 @@ def detectors(feature_set: str, cross: bool) -> list[tuple[str, str]]:
     if feature_set == "FS-B":
         out += [("fleet", n) for n in names] + ([("target", f"{n}@target") for n in names] if cross else [])
     out += [("fleet", "IForest")] + ([("target", "IForest@target")] if cross else [])
-    return out + [("fleet", k) for k in ("logistic", "forest", "boosted", "perceptron", "rank-average", "stack")]
+    return out + [("fleet", k) for k in (*SETTINGS, *ENSEMBLES)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from busloom.operators import ordered
+
 #: Feature and sign of each single-feature rule; the panels of the combined rules: fixed values of the detectors.
 SINGLE = {
     "Rule:Periodicity": ("pr_absdev_max", 1),
@@ -46,9 +48,12 @@ def rule_scores(z: DataFrame, keys: list[str], high: list[str] = HIGH, two_sided
 
 
 def ecdf(rows: DataFrame, group: list[str], value: str, is_reference: str, out: str) -> DataFrame:
-    """Adds out: how many of the group's reference values are <= value. One sort a group, no range join."""
-    order = Window.partitionBy(*group).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(out, F.sum(F.col(is_reference).cast("long")).over(order))
+    """Adds out: how many of the group's reference values are <= value. A running sum over distinct values, no range join.
+
+    Null values stay, with no count.
+    """
+    steps = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.sum(F.col(is_reference).cast("long")).alias("_c"))
+    return rows.join(ordered.running(steps, group, value, {out: "_c"}).drop("_c"), [*group, value], "left")
 
 
 def quantile_scores(z: DataFrame, keys: list[str], group: list[str], high: list[str] = HIGH, two_sided: list[str] = TWO_SIDED) -> DataFrame:

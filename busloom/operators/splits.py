@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from busloom.operators import ordered
+
 
 def cross(labelled: DataFrame) -> DataFrame:
     """Leave-one-vehicle-out flags: calibration is attack-free and early, evaluation late or attacked."""
@@ -42,14 +44,14 @@ def matched(rows: DataFrame, group: list[str], key: list[str], total: int, posit
 
 
 def _taken(rows: DataFrame, group: list[str], key: list[str], seed: str) -> DataFrame:
-    order = Window.partitionBy(*group, "y").orderBy(hash_order(*key, seed=seed), *key)
-    return rows.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= F.col("_q")).drop("_i", "_q", "_p", "_n")
+    placed = ordered.numbered(rows, [*group, "y"], hash_order(*key, seed=seed), key, "_i")
+    return placed.where(F.col("_i") <= F.col("_q")).drop("_i", "_q", "_p", "_n")
 
 
 def stratified_folds(rows: DataFrame, folds: int, key: list[str], seed: str) -> DataFrame:
     """Adds fold: each class dealt evenly, in the order of a seeded hash."""
-    order = Window.partitionBy("y").orderBy(hash_order(*key, seed=seed), *key)
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    placed = ordered.numbered(rows, ["y"], hash_order(*key, seed=seed), key, "_i")
+    return placed.withColumn("fold", ((F.col("_i") - 1) % folds).cast("int")).drop("_i")
 
 
 def pools(windows: DataFrame) -> DataFrame:

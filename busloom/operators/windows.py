@@ -144,6 +144,28 @@ def histogram(messages: DataFrame, vocabulary: DataFrame, s: Settings, key: str
     return coded.groupBy(*by).agg(*[(F.count(F.when(at == i, 1)) / F.lit(float(s.window))).alias(f"h_{i:02d}") for i in range(k + 1)])
 
 
+def features_a(raw: DataFrame, messages: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
+    """The identifier-coupled table: target, WINDOW, FS_A_RAW and h_00 .. h_K, each window once for each target of places
+    (target, aid, pos).
+
+    Identifiers are counted once a window; a target's vocabulary is looked up from these counts.
+    """
+    k = s.vocabulary
+    counts = windowed(messages, s).groupBy(*WINDOW, "aid").agg(F.count(F.lit(1)).alias("c"))
+    hits = counts.join(places.select("target", "aid", "pos"), "aid").groupBy("target", *WINDOW)
+    hits = hits.agg(*[F.sum(F.when(F.col("pos") == i, F.col("c")).otherwise(0)).alias(f"h_{i:02d}") for i in range(k)])
+    every = raw.crossJoin(F.broadcast(places.select("target").distinct()))  # a row a vehicle
+    shares = [F.coalesce(F.col(f"h_{i:02d}"), F.lit(0)) for i in range(k)]
+    rest = F.lit(s.window) - sum(shares[1:], shares[0])
+    joined = every.join(hits, ["target", *WINDOW], "left")
+    return joined.select("target", *WINDOW, *FS_A_RAW, *[(c / F.lit(float(s.window))).alias(f"h_{i:02d}") for i, c in enumerate([*shares, rest])])
+
+
+def features_a_rank(raw: DataFrame, own: DataFrame) -> DataFrame:
+    """The same columns with places by each vehicle's own ranks: the statistics joined with the histogram of its own vocabulary."""
+    return raw.join(own, WINDOW)
+
+
 def labels(w: DataFrame) -> DataFrame:
     """WINDOW and y: 1 with an attacked message, or where the closed suspension interval meets the window."""
     hit = (F.max_by("us", "seq") >= F.first("s0")) & (F.min_by("us", "seq") <= F.first("s1"))

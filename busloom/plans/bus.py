@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,15 @@ class Bus:
         self.spark, self.s = spark, settings
         self.frames = event_frames(spark, sf_dir)
         self._made: dict[str, DataFrame] = {}
+        self._lock = threading.RLock()
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or not hasattr(type(self), f"make_{name}"):
             raise AttributeError(name)
-        if name not in self._made:
-            self._made[name] = getattr(self, f"make_{name}")()
-        return self._made[name]
+        with self._lock:  # jobs that run side by side make each once
+            if name not in self._made:
+                self._made[name] = getattr(self, f"make_{name}")()
+            return self._made[name]
 
     def make_ids(self):
         return profile.id_profile(self.frames, self.s)
@@ -37,7 +40,9 @@ class Bus:
         return profile.vehicle_profile(self.frames)
 
     def make_messages(self):
-        return messages.per_message(self.frames, self.ids)
+        """Written once: windows, identifier counts and arrivals read it, each its columns alone."""
+        made = messages.per_message(self.frames, self.ids)
+        return write_store(made, scratch(self.spark, "messages")).select(made.columns)
 
     def make_windows(self):
         return windows.windowed(self.messages, self.s)
@@ -48,6 +53,15 @@ class Bus:
     def make_raw(self):
         return windows.features_a_raw(self.messages, self.s)
 
+    def make_fs_a(self):
+        """The identifier-coupled table of every target with labels and quarters, written once by target."""
+        made = windows.features_a(self.raw, self.messages, self.pooled, self.s).join(self.labelled, windows.WINDOW)
+        return write_store(made, scratch(self.spark, "features-a"), "target").select(made.columns)
+
+    def make_fs_a_rank(self):
+        made = windows.features_a_rank(self.raw, windows.histogram(self.messages, self.vocabulary, self.s)).join(self.labelled, windows.WINDOW)
+        return write_store(made, scratch(self.spark, "features-a-rank")).select(made.columns)
+
     def make_vocabulary(self):
         return profile.vocabulary(self.frames, self.s.vocabulary)
 
@@ -66,7 +80,7 @@ class Bus:
         return write_store(joined, scratch(self.spark, "features")).select(joined.columns)
 
     def make_long(self):
-        features = list(dict.fromkeys([*rules.HIGH, *rules.TWO_SIDED]))
+        features = list(dict.fromkeys([*rules.HIGH, *rules.TWO_SIDED, *rules.TWO_SIDED34]))
         return rules.melted(self.split, [*windows.WINDOW, "y", "q", "is_calib", "is_eval"], features)
 
     def make_fitted_on(self):
@@ -87,10 +101,13 @@ class Bus:
         scores = named(rules.rule_scores(self.z, KEYS)).withColumn("score", F.round("score", 6))
         return write_store(scores, scratch(self.spark, "rule-scores"), "target").select(scores.columns)
 
-    def make_quantile_scores(self):
+    def make_quantile_rows(self):
+        """The windows to score, and those that the quantile union is fitted on (is_ref)."""
         fitted = rules.z_scores(self.fitted_on, self.reference, ["target", "scope"]).withColumn("is_ref", F.lit(True))
-        rows = self.z.withColumn("is_ref", F.lit(False)).unionByName(fitted, allowMissingColumns=True)
-        return named(rules.quantile_scores(rows, KEYS, ["target", "scope"]).withColumn("model", F.lit("Rule:CombinedQ")))
+        return self.z.withColumn("is_ref", F.lit(False)).unionByName(fitted, allowMissingColumns=True)
+
+    def make_quantile_scores(self):
+        return named(rules.quantile_scores(self.quantile_rows, KEYS, ["target", "scope"]).withColumn("model", F.lit("Rule:CombinedQ")))
 
     def make_points(self):
         calib = self.scores.where("is_calib").groupBy("target", "model").agg(F.count(F.lit(1)).alias("n_calib"))
@@ -109,12 +126,14 @@ class Bus:
         return evaluation.ranking(self.scores.where("is_eval"))
 
 
-_KNOWN: dict[tuple[str, str], Bus] = {}
+_KNOWN: dict[tuple, Bus] = {}
 
 
 def bus(spark: SparkSession, sf_dir: str) -> Bus:
-    """The application's one Bus of an input folder, so that its feature store serves every query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The application's one Bus of an input, so that its feature store serves every query; changed files make a new one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events.parquet")
+    state = files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first()  # of the listing, no content is read
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _KNOWN:
         _KNOWN[key] = Bus(spark, sf_dir)
     return _KNOWN[key]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from busloom.operators import evaluation, learners, messages, reports, rules, splits, windows
 from busloom.operators.profile import benign
 from busloom.operators.windows import FS_A_RAW, FS_B, FS_B34
+from busloom.plans import jobs
 from busloom.plans.bus import bus, union_all
 from busloom.plans.oracle import K, N, with_pieces
 from busloom.sources import frames as src
@@ -75,6 +76,19 @@ def _(spark, d):
     return src.read_manifest(spark, path).select(F.col("name").alias("capture"), "family", "vehicle")
 
 
+@query("s1_s3_captures", "SELECT vehicle, capture, family, count(*) AS n, sum(us)::BIGINT AS us, sum(aid)::BIGINT AS aids, sum(list_sum(b))::BIGINT AS bytes, sum(y)::BIGINT AS y, coalesce(max(s0), 0)::BIGINT AS s0 FROM fr GROUP BY vehicle, capture, family")
+def _(spark, d):
+    frames, path = src.event_frames(spark, d), sinks.scratch(spark, "captures")
+    columns = [(F.col("us") / 1e6).alias("t"), "aid", "dlc", *[F.col("b")[i].alias(f"b{i}") for i in range(8)], "y"]
+    frames.select("capture", *columns).repartition("capture").write.partitionBy("capture").parquet(path)  # a folder each
+    entries = frames.groupBy("vehicle", "family", "capture").agg(F.max("s0").alias("s0"), F.max("s1").alias("s1"))
+    entries = entries.select("vehicle", "family", F.col("capture").alias("name"), F.concat(F.lit("capture="), "capture").alias("file"), F.lit("events").alias("dataset"), F.when(F.col("s0").isNotNull(), F.array(F.col("s0") / 1e6, F.col("s1") / 1e6)).alias("susp_interval"))
+    entries.coalesce(1).write.json(f"{path}-manifest")  # an entry a capture
+    manifest = spark.read.schema(src.MANIFEST).json(f"{path}-manifest")
+    got = src.read_captures(spark, path, manifest)
+    return got.groupBy("vehicle", "capture", "family").agg(F.count(F.lit(1)).alias("n"), F.sum("us").alias("us"), F.sum("aid").alias("aids"), F.sum(F.aggregate("b", F.lit(0), lambda a, x: a + x)).alias("bytes"), F.sum("y").alias("y"), F.coalesce(F.max("s0"), F.lit(0)).alias("s0"))
+
+
 @query("s4_csv_source", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def _(spark, d):
     return sinks.write_csv(src.table(spark, d, "nation").select("n_nationkey", "n_name"), sinks.scratch(spark, "csv"))
@@ -96,12 +110,12 @@ def _(spark, d):
     return store.where("vehicle = 'v1'").groupBy("vehicle", "widx").agg(F.avg("dt_mean_norm").alias("dt")).groupBy("vehicle", F.round("dt", 6).alias("dt")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s7_s10_score_archive", "SELECT target, model, 'ev' AS side, count(*) AS n FROM scores WHERE is_eval AND model LIKE 'Rule:B%' GROUP BY target, model")
+@query("s7_s10_score_archive", "SELECT target, model, 'ev' AS side, count(*) AS n FROM scores WHERE is_eval AND model LIKE 'Rule:%' GROUP BY target, model")
 def _(spark, d):
     scores = bus(spark, d).scores
     sides = scores.where("is_eval").withColumn("side", F.lit("ev")).unionByName(scores.where("is_calib").withColumn("side", F.lit("cal")))
     archive = sinks.write_store(sides.select("target", "model", "side", "capture", "widx", "y", F.col("score").cast("float")), sinks.scratch(spark, "scores"), "side")
-    return archive.where((F.col("side") == "ev") & F.col("model").startswith("Rule:B")).groupBy("target", "model", "side").agg(F.count(F.lit(1)).alias("n"))
+    return archive.where((F.col("side") == "ev") & F.col("model").startswith("Rule:")).groupBy("target", "model", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s9_csv_sink", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -122,9 +136,9 @@ def _(spark, d):
     return spark.createDataFrame([(text,)], "j string").select(F.inline(F.from_json("j", "array<struct<vehicle:string,n_frames:long,n_ids:long>>")))
 
 
-@query("s14_plot_table", f"SELECT target, model, {r6('pr_auc')} FROM auc WHERE model IN ('Rule:Combined', 'Rule:BusLoad')")
+@query("s14_plot_table", f"SELECT target, model, {r6('pr_auc')} FROM auc")
 def _(spark, d):
-    return bus(spark, d).ranking.where(F.col("model").isin("Rule:Combined", "Rule:BusLoad")).select("target", "model", "pr_auc")
+    return bus(spark, d).ranking.select("target", "model", "pr_auc")
 
 
 @query("s15_pending_jobs", "SELECT c_mktsegment AS segment, n_name FROM (SELECT DISTINCT c_mktsegment FROM customer) CROSS JOIN nation WHERE (c_mktsegment, n_name) NOT IN (SELECT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0)")
@@ -559,6 +573,26 @@ def _(spark, d):
     return bus(spark, d).raw.withColumns({c: F.col(c) / 3600 for c in ("dt_mean", "dt_std", "dt_max")})
 
 
+_hours = ", ".join(f"round({c} / 3600, 6) + 0e0 AS {c}" for c in ("dt_mean", "dt_std", "dt_max"))
+_raw = ", ".join(f"f.{c}" for c in FS_A_RAW)
+_places = ", ".join(f"count(CASE WHEN coalesce(p.pos, {K}) = {i} THEN 1 END) / {N}e0 AS h_{i:02d}" for i in range(K + 1))
+_FS_A = f"{W.replace('widx', 'widx::BIGINT AS widx')}, {r6(*[c for c in FS_A_RAW if not c.startswith('dt_')])}, {_hours}, {r6(*[f'h_{i:02d}' for i in range(K + 1)])}"
+
+
+def _in_hours(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c) / 3600 for c in ("dt_mean", "dt_std", "dt_max")})
+
+
+@query("fs_a", f"SELECT target, {_FS_A} FROM fsa JOIN (SELECT t.target, wl.capture, wl.widx, {_places} FROM wl CROSS JOIN (SELECT DISTINCT target FROM pvoc) t LEFT JOIN pvoc p ON p.target = t.target AND p.aid = wl.aid GROUP BY t.target, wl.capture, wl.widx) USING (capture, widx)")
+def _(spark, d):
+    return _in_hours(bus(spark, d).fs_a.drop("y", "q"))
+
+
+@query("fs_a_rank", f"SELECT {_FS_A} FROM fsa JOIN (SELECT wl.capture, wl.widx, {_places} FROM wl LEFT JOIN voc p ON p.vehicle = wl.vehicle AND p.aid = wl.aid GROUP BY wl.capture, wl.widx) USING (capture, widx)")
+def _(spark, d):
+    return _in_hours(bus(spark, d).fs_a_rank.drop("y", "q"))
+
+
 # ---- splits
 @query("p1_cross_split", "SELECT capture, widx::BIGINT AS widx, (y = 0 AND q <= 1) AS is_calib, (q >= 2 OR y = 1) AS is_eval FROM lq")
 def _(spark, d):
@@ -600,7 +634,7 @@ def _(spark, d):
 
 @query("p8_bootstrap_captures")
 def _(spark, d):
-    return reports.bootstrap_ranking(bus(spark, d).scores.where("is_eval AND model IN ('Rule:Combined', 'Rule:BusLoad')"), ["target", "model"], 200, "1")
+    return reports.bootstrap_ranking(bus(spark, d).scores.where("is_eval"), ["target", "model"], 200, "1")
 
 
 # ---- detectors
@@ -612,27 +646,41 @@ for _n, _m in (("r1_periodicity", "Rule:Periodicity"), ("r2_unseen", "Rule:Unsee
     query(_n, f"SELECT target, model, capture, widx::BIGINT AS widx, score FROM scores WHERE model IN ('{_m}', '{_m}@target')")(_rule)
 
 
-@query("r_reference", f"SELECT target, scope, feature, {r6('med', 'scale')} FROM refs WHERE feature NOT LIKE 'dt%'")
+@query("r_reference", f"SELECT target, scope, feature, {r6('med', 'scale')} FROM refs")
 def _(spark, d):
-    return bus(spark, d).reference.where("feature NOT LIKE 'dt%'")
+    return bus(spark, d).reference
 
 
 @query(
     "r8_combined_quantile",
     """SELECT target, model, capture, widx::BIGINT AS widx, round(max(s), 6) AS score FROM (SELECT z.target, CASE WHEN z.scope = 'target' THEN 'Rule:CombinedQ@target' ELSE 'Rule:CombinedQ' END AS model, z.capture, z.widx,
     -ln(1 - (SELECT count(*) FROM zref r WHERE r.target = z.target AND r.scope = z.scope AND r.feature = z.feature AND r.v <= z.v) / (t.n + 1e0)) + ln(1 + greatest(0e0, (z.v - t.top) / greatest(t.top - t.p99, 1e-9))) AS s
-    FROM (SELECT *, CASE WHEN feature IN ('id_entropy', 'id_unique_frac', 'dt_mean_norm', 'ent_mean') THEN abs(z) ELSE z END AS v FROM zed) z JOIN ztop t USING (target, scope, feature)) GROUP BY target, model, capture, widx""",
+    FROM (SELECT *, CASE WHEN feature IN ('id_entropy', 'id_unique_frac', 'dt_mean_norm', 'ent_mean') THEN abs(z) ELSE z END AS v FROM zed WHERE feature <> 'dt_mean') z JOIN ztop t USING (target, scope, feature)) GROUP BY target, model, capture, widx""",
 )
 def _(spark, d):
     return bus(spark, d).quantile_scores.select("target", "model", "capture", "widx", "score")
 
 
-@query("r9_panel_b34", "SELECT target, capture, widx::BIGINT AS widx, round(score, 4) + 0e0 AS score FROM (SELECT target, capture, widx, max(CASE WHEN feature IN ('id_entropy', 'id_unique_frac', 'ent_mean') THEN abs(z) ELSE z END) AS score FROM zed WHERE scope = 'fleet' AND feature NOT IN ('stale_max', 'dt_mean_norm') GROUP BY target, capture, widx)")
+_B34 = "CASE WHEN feature IN ('id_entropy', 'id_unique_frac', 'dt_mean', 'ent_mean') THEN abs(z) ELSE z END"
+_NOT_B34 = "feature NOT IN ('stale_max', 'dt_mean_norm')"
+
+
+@query("r9_panel_b34", f"SELECT target, scope, capture, widx::BIGINT AS widx, round(max({_B34}), 6) + 0e0 AS score FROM zed WHERE {_NOT_B34} GROUP BY target, scope, capture, widx")
 def _(spark, d):
-    panel = rules.TWO_SIDED34[:2] + rules.TWO_SIDED34[3:]
-    z = bus(spark, d).z.where("scope = 'fleet'")
-    scored = rules.rule_scores(z, ["target", "capture", "widx"], rules.HIGH34, panel)
-    return scored.where("model = 'Rule:Combined'").select("target", "capture", "widx", "score")
+    scored = rules.rule_scores(bus(spark, d).z, ["target", "scope", "capture", "widx"], rules.HIGH34, rules.TWO_SIDED34)
+    return scored.where("model = 'Rule:Combined'").select("target", "scope", "capture", "widx", "score")
+
+
+@query(
+    "r9_panel_b34_quantile",
+    f"""SELECT target, scope, capture, widx::BIGINT AS widx, round(max(s), 6) AS score FROM (SELECT z.target, z.scope, z.capture, z.widx,
+    -ln(1 - (SELECT count(*) FROM zref34 r WHERE r.target = z.target AND r.scope = z.scope AND r.feature = z.feature AND r.v <= z.v) / (t.n + 1e0)) + ln(1 + greatest(0e0, (z.v - t.top) / greatest(t.top - t.p99, 1e-9))) AS s
+    FROM (SELECT *, {_B34} AS v FROM zed WHERE {_NOT_B34}) z JOIN ztop34 t USING (target, scope, feature)) GROUP BY target, scope, capture, widx""",
+)
+def _(spark, d):
+    b = bus(spark, d)
+    scored = rules.quantile_scores(b.quantile_rows, ["target", "scope", "capture", "widx"], ["target", "scope"], rules.HIGH34, rules.TWO_SIDED34)
+    return scored.select("target", "scope", "capture", "widx", "score")
 
 
 @query("g1_fit_scopes", "SELECT target, scope, count(*) AS n FROM (SELECT target, 'fleet' AS scope FROM lq JOIN targets ON vehicle <> target WHERE y = 0 UNION ALL SELECT vehicle, 'target' FROM lq WHERE y = 0 AND q <= 1) GROUP BY target, scope")
@@ -646,50 +694,65 @@ def _(spark, d):
     return spark.createDataFrame(rows, "feature_set string, cross boolean, scope string, model string")
 
 
-LEARN = ["bus_rate_norm", "id_entropy", "id_unique_frac", "unseen_rate", "dlc_mismatch_rate", "pr_absdev_max", "ham_mean", "ent_mean", "dt_cv", "stale_max"]
+#: What the queries below fit: a fiftieth of the settings' rounds and shallow trees, so that a run takes minutes; the library's default is the whole.
+QUICK = learners.Effort(0.02, 5)
+
 
+def _ranked(scored: DataFrame, name: str, target: str) -> DataFrame:
+    return evaluation.ranking(scored.select(F.lit(target).alias("target"), F.lit(name).alias("model"), "y", "score"))
 
-def _learning(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Training pool and evaluation windows for the first vehicle."""
-    rows = bus(spark, d).split.select(*windows.WINDOW, "y", "is_eval", *LEARN)
-    rows = sinks.write_store(rows, sinks.scratch(spark, "learn"))
-    return rows.where("vehicle <> 'v0'"), rows.where("vehicle = 'v0' AND is_eval"), ["capture", "widx"]
 
+def _each_target(spark, d, name: str, scores) -> DataFrame:
+    """scores(training pool, evaluation windows, features) of each vehicle left out in turn, ranked."""
+    b = bus(spark, d)
 
-def _ranked(scored: DataFrame, name: str) -> DataFrame:
-    return evaluation.ranking(scored.select(F.lit("v0").alias("target"), F.lit(name).alias("model"), "y", "score"))
+    def one(target: str) -> DataFrame:
+        train, _, test = jobs.split(b, "cross", 0, target, "FS-B")
+        return _ranked(scores(train, test, FS_B), name, target)
+
+    return union_all(learners.side_by_side([lambda t=t: one(t) for t in jobs._targets(b)]))
 
 
 @query("r10_isolation_forest")
 def _(spark, d):
-    train, test, key = _learning(spark, d)
-    return _ranked(learners.IsolationForest(LEARN).fit(train.where("y = 0"), key).score(test), "IForest")
+    return _each_target(spark, d, "IForest", lambda train, test, fs: learners.IsolationForest(fs).fit(train.where("y = 0"), jobs.KEY).score(test))
 
 
-for _n, _k in (("l1_logistic", "logistic"), ("l2_random_forest", "forest"), ("l4_l7_boosted_trees", "boosted"), ("n1_perceptron", "perceptron")):
+for _n, _k in (("l1_logistic", "LogReg"), ("l2_random_forest", "RandomForest"), ("l3_extra_trees", "ExtraTrees"), ("l4_hist_boosting", "HistGB"), ("l5_extreme_boosting", "XGBoost"), ("l6_leafwise_boosting", "LightGBM"), ("l7_ordered_boosting", "CatBoost"), ("n1_perceptron", "NN:MLP")):
 
     def _learn(spark, d, k=_k):
-        train, test, _ = _learning(spark, d)
-        return _ranked(learners.Learner(k, LEARN).fit(train).score(test), k)
+        effort = learners.FULL if k in ("LogReg", "ExtraTrees") else QUICK
+        return _each_target(spark, d, k, lambda train, test, fs: learners.learner(k, fs, effort=effort).fit(train, jobs.KEY).score(test))
 
     query(_n)(_learn)
 
 
-@query("e1_rank_average")
-def _(spark, d):
-    train, test, key = _learning(spark, d)
-    members = []
-    for k in ("logistic", "forest"):
-        model = learners.Learner(k, LEARN).fit(train)
-        train, test = model.score(train, f"s_{k}"), model.score(test, f"s_{k}")
-        members.append(f"s_{k}")
-    return _ranked(learners.rank_average(test, train, members, [*key, "y"]), "rank-average")
+for _n, _k in (("e1_rank_average", "Ens:RankAvg-Trees"), ("e1_rank_average_hybrid", "Ens:RankAvg-Hybrid")):
+
+    def _average(spark, d, k=_k):
+        return _each_target(spark, d, k, lambda train, test, fs: learners.ranked_members(train, test, learners.ENSEMBLES[k], fs, jobs.KEY, QUICK))
+
+    query(_n)(_average)
 
 
 @query("e2_stacking")
 def _(spark, d):
-    train, test, key = _learning(spark, d)
-    return _ranked(learners.stacked(train, test, ["logistic", "forest"], LEARN, key), "stack")
+    return _each_target(spark, d, "Ens:Stack-Trees", lambda train, test, fs: learners.stacked(train, test, learners.ENSEMBLES["Ens:Stack-Trees"], fs, jobs.KEY, effort=QUICK))
+
+
+@query("g3_batched_scoring")
+def _(spark, d):
+    """Scores come in Arrow batches; their size is the session's spark.sql.execution.arrow.maxRecordsPerBatch and changes no score."""
+    b = bus(spark, d)
+    rows = b.split.select(*windows.WINDOW, "y", *FS_B)
+    return learners.IsolationForest(FS_B, effort=QUICK).fit(rows.where("y = 0"), jobs.KEY).score(rows).select("capture", "widx", "score")
+
+
+@query("g4_job_loop")
+def _(spark, d):
+    b = bus(spark, d)
+    scores = jobs.run(b, ["FS-A", "FS-B"], ["LogReg"], sinks.scratch(spark, "jobs"), effort=QUICK)
+    return jobs.results(b, scores)
 
 
 # ---- evaluation and reports
@@ -698,9 +761,9 @@ def _(spark, d):
     return bus(spark, d).points.select("target", "model", "tag", "n_calib", "k", "resolvable")
 
 
-@query("m3_thresholds", "SELECT target, model, tag, round(thr, 4) AS thr, thr IS NULL AS above FROM limits")
+@query("m3_thresholds", "SELECT target, model, tag, thr, thr IS NULL AS above FROM limits")
 def _(spark, d):
-    return bus(spark, d).limits.select("target", "model", "tag", F.round("thr", 4).alias("thr"), F.col("thr").isNull().alias("above"))
+    return bus(spark, d).limits.select("target", "model", "tag", "thr", F.col("thr").isNull().alias("above"))
 
 
 @query("m4_resolvable", "SELECT tag, count(*) FILTER (WHERE resolvable) AS yes, count(*) AS n FROM points GROUP BY tag")
@@ -782,42 +845,77 @@ def _(spark, d):
     return m.groupBy("feature_set", "metric").agg(F.max_by("model", F.struct("value", "model")).alias("best"), F.count_if(F.col("value") < 0.5).alias("low"))
 
 
-def _control(spark, d, name: str, sample) -> DataFrame:
-    train, test, key = _learning(spark, d)
-    rows = [_ranked(learners.Learner("logistic", LEARN).fit(sample(train, seed)).score(test), f"{name}-{seed}") for seed in ("1", "2")]
-    return union_all(rows)
-
-
 @query("c1_control_matched_volume")
 def _(spark, d):
-    return _control(spark, d, "matched", lambda t, seed: splits.matched(t.withColumn("g", F.lit(1)), ["g"], ["capture", "widx"], 2_000, 200, seed).drop("g"))
+    return jobs.volume_control(bus(spark, d), ["LogReg"], effort=QUICK)
 
 
 @query("c2_control_sources")
 def _(spark, d):
-    train, test, key = _learning(spark, d)
-    rows = []
-    for mask in (1, 2, 3):  # the subsets of the two other vehicles
-        some = train.where(F.col("vehicle").isin([v for i, v in enumerate(("v1", "v2")) if mask >> i & 1]))
-        sample = splits.capped(some.withColumn("g", F.lit(1)), ["g"], key, 2_000, str(mask)).drop("g")
-        rows.append(_ranked(learners.Learner("logistic", LEARN).fit(sample).score(test), f"k{mask.bit_count()}-{mask}"))
-    return union_all(rows)
+    return jobs.source_control(bus(spark, d), ["LogReg"], effort=QUICK)
 
 
 @query("c3_control_feature_sets")
 def _(spark, d):
-    train, test, key = _learning(spark, d)
-    sample = splits.capped(train.withColumn("g", F.lit(1)), ["g"], key, 2_000, "c").drop("g")
-    sets = {"FS-B": LEARN, "FS-B34": [f for f in LEARN if f in FS_B34]}
-    return union_all([_ranked(learners.Learner("logistic", fs).fit(sample).score(test), n) for n, fs in sets.items()])
+    return jobs.feature_control(bus(spark, d), ["LogReg"], effort=QUICK)
+
+
+_CHECKS = {
+    "clean windows differ between pools": "SELECT greatest(count(DISTINCT n) - 1, 0) FROM (SELECT target, count(*) AS n FROM lq JOIN targets ON vehicle <> target WHERE y = 0 GROUP BY target)",
+    "families absent from a fold": "SELECT count(*) FROM (SELECT DISTINCT i.vehicle, fold, a.family FROM (SELECT DISTINCT vehicle, fold FROM infold) i JOIN (SELECT DISTINCT vehicle, family FROM lq WHERE y = 1) a USING (vehicle) EXCEPT SELECT vehicle, fold, family FROM infold WHERE f_eval AND y = 1)",
+    "seeds that clash": "SELECT count(*) - count(DISTINCT md5(concat_ws('|', 'f0', target, model))) FROM (SELECT DISTINCT target, model FROM scores)",
+    "unresolvable at the primary point": "SELECT count(*) FROM points WHERE NOT resolvable AND tag = 'fa1'",
+    "labels that a multiset difference doesn't give": "SELECT count(*) FROM (SELECT capture, sum(y) AS n FROM fr GROUP BY capture) a JOIN (SELECT capture, count(CASE WHEN i > m THEN 1 END) AS n FROM (SELECT capture, row_number() OVER (PARTITION BY capture, aid, dlc, b ORDER BY seq) AS i, count(CASE WHEN y = 0 THEN 1 END) OVER (PARTITION BY capture, aid, dlc, b) AS m FROM fr) GROUP BY capture) e USING (capture) WHERE a.n <> e.n",
+    "labelled frames with malformed payloads": "SELECT count(*) FROM fr WHERE y = 1 AND (dlc < 0 OR dlc > 8 OR len([x FOR x IN b IF x >= 0]) <> dlc)",
+    "vehicles whose own vocabulary isn't the pool's": "SELECT count(*) FROM (SELECT v.vehicle FROM voc v FULL JOIN pvoc p ON v.vehicle = p.target AND v.pos = p.pos AND v.aid = p.aid WHERE v.aid IS NULL OR p.aid IS NULL GROUP BY v.vehicle HAVING v.vehicle IS NOT NULL)",
+    "payload columns that never vary": "SELECT " + " + ".join(f"(max(b{i}_std) <= 0 OR max(b{i}_std) IS NULL)::INT" for i in range(8)) + " FROM fsa",
+    "models better without the second set": f"SELECT count(*) FROM (SELECT model, avg(a) AS a, avg(b) AS b FROM {_PAIRS} WHERE metric = 'pr_auc' GROUP BY model HAVING avg(b) < avg(a))",
+    "trails that leave their capture": "SELECT count(*) FROM (SELECT capture, widx, row_number() OVER (PARTITION BY capture ORDER BY widx) - 1 AS i FROM lab) WHERE widx <> i",
+    "calibrated and evaluated": "SELECT count(*) FROM lq WHERE (y = 0 AND q <= 1) AND (q >= 2 OR y = 1)",
+    "models that find suspension": "SELECT count(*) FROM (SELECT target, model, avg(pred) AS r FROM preds WHERE y = 1 AND tag = 'fa10' AND family = 'suspension' GROUP BY target, model HAVING avg(pred) >= 0.1)",
+    "vehicles whose window seconds hang on attacks": "SELECT count(*) FROM winsec WHERE abs(win_seconds - win_seconds_all) > 1e-6",
+    "negative gaps": "SELECT count(*) FROM m0 WHERE dt < 0",
+    "unlabelled windows": "SELECT count(*) FROM lq WHERE q IS NULL OR q > 3",
+}
 
 
-@query("x1_checks", "SELECT 'negative gaps' AS check_name, count(*) AS bad FROM m0 WHERE dt < 0 UNION ALL SELECT 'unlabelled windows', count(*) FROM lq WHERE q IS NULL OR q > 3 UNION ALL SELECT 'calibrated and evaluated', count(*) FROM lq WHERE (y = 0 AND q <= 1) AND (q >= 2 OR y = 1) UNION ALL SELECT 'unresolvable', count(*) FROM points WHERE NOT resolvable")
+@query("x1_checks", " UNION ALL ".join(f"SELECT '{n.replace(chr(39), chr(39) * 2)}' AS check_name, ({sql})::BIGINT AS bad" for n, sql in _CHECKS.items()))
 def _(spark, d):
     b = bus(spark, d)
-    split = splits.cross(b.labelled)
-    bad = lambda name, rows: rows.agg(F.count(F.lit(1)).alias("bad")).select(F.lit(name).alias("check_name"), "bad")
-    return union_all([bad("negative gaps", b.messages.where("dt < 0")), bad("unlabelled windows", split.where("q IS NULL OR q > 3")), bad("calibrated and evaluated", split.where("is_calib AND is_eval")), bad("unresolvable", b.points.where("NOT resolvable"))])
+    cross, one = splits.cross(b.labelled), F.count(F.lit(1)).alias("bad")
+    folds = union_all([splits.in_domain(b.labelled, f).withColumn("fold", F.lit(f)) for f in (0, 1)])
+    attacked = b.labelled.where("y = 1").select("vehicle", "family").distinct()
+    absent = folds.select("vehicle", "fold").distinct().join(attacked, "vehicle").join(folds.where("is_eval AND y = 1").select("vehicle", "fold", "family").distinct(), ["vehicle", "fold", "family"], "left_anti")
+    pool = splits.pools(b.labelled.where("y = 0")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    names = b.scores.select("target", "model").distinct()
+    frame = ["capture", "aid", "dlc", "b"]
+    relabelled = src.relabelled(b.frames.drop("y"), b.frames.where("y = 0"), frame).groupBy("capture").agg(F.sum("y").alias("found"))
+    labels = b.frames.groupBy("capture").agg(F.sum("y").alias("given")).join(relabelled, "capture")
+    own = b.vocabulary.select("vehicle", "pos", "aid")
+    pooled = b.pooled.select(F.col("target").alias("vehicle"), "pos", "aid")
+    unlike = own.join(pooled, ["vehicle", "pos", "aid"], "left_anti").select("vehicle").distinct()
+    flat = b.raw.agg(*[F.max(f"b{i}_std").alias(f"b{i}") for i in range(8)]).select(sum([F.coalesce((F.col(f"b{i}") <= 0).cast("int"), F.lit(1)) for i in range(1, 8)], F.coalesce((F.col("b0") <= 0).cast("int"), F.lit(1))).alias("bad"))
+    pairs = _pairs(spark, d).where("metric = 'pr_auc'").groupBy("model").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+    trails = windows.trailing(windows.labels(b.windows), "widx", 8, "t")
+    suspension = b.predicted.where("y = 1 AND tag = 'fa10' AND family = 'suspension'").groupBy("target", "model").agg(F.avg("pred").alias("r"))
+    counts = {
+        "clean windows differ between pools": pool.agg(F.greatest(F.count_distinct("n") - 1, F.lit(0)).alias("bad")),
+        "families absent from a fold": absent.agg(one),
+        "seeds that clash": names.agg((F.count(F.lit(1)) - F.count_distinct(F.md5(F.concat_ws("|", F.lit("f0"), "target", "model")))).alias("bad")),
+        "unresolvable at the primary point": b.points.where("NOT resolvable AND tag = 'fa1'").agg(one),
+        "labels that a multiset difference doesn't give": labels.where("given <> found").agg(one),
+        "labelled frames with malformed payloads": b.frames.where((F.col("y") == 1) & ((F.col("dlc") < 0) | (F.col("dlc") > 8) | (F.size(F.filter("b", lambda x: x >= 0)) != F.col("dlc")))).agg(one),
+        "vehicles whose own vocabulary isn't the pool's": unlike.agg(one),
+        "payload columns that never vary": flat,
+        "models better without the second set": pairs.where("b < a").agg(one),
+        "trails that leave their capture": trails.where(F.exists("t", lambda x: x > F.col("widx")) | (F.element_at("t", -1) != F.col("widx")) | (F.size("t") != 8)).agg(one),
+        "calibrated and evaluated": cross.where("is_calib AND is_eval").agg(one),
+        "models that find suspension": suspension.where("r >= 0.1").agg(one),
+        "vehicles whose window seconds hang on attacks": b.seconds.where("abs(win_seconds - win_seconds_all) > 1e-6").agg(one),
+        "negative gaps": b.messages.where("dt < 0").agg(one),
+        "unlabelled windows": cross.where("q IS NULL OR q > 3").agg(one),
+    }
+    return union_all([c.select(F.lit(n).alias("check_name"), F.col("bad").cast("long").alias("bad")) for n, c in counts.items()])
 
 
 @query("x_streaming_windows", "SELECT event_type, (epoch_us(ts) // 86400000000)::BIGINT AS day, count(*) AS n FROM events GROUP BY 1, 2")

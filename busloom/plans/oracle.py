@@ -111,7 +111,7 @@ piece(
     f"""SELECT vehicle, sum(CASE WHEN family = 'benign' THEN dur ELSE 0 END) / greatest(sum(CASE WHEN family = 'benign' THEN k ELSE 0 END), 1) AS win_seconds, sum(dur) / greatest(sum(k), 1) AS win_seconds_all FROM
     (SELECT vehicle, capture, family, count(*) // {N} AS k, (arg_max(us, seq) - arg_min(us, seq)) / 1e6 AS dur FROM fr GROUP BY vehicle, capture, family HAVING count(*) // {N} >= 2) GROUP BY vehicle""",
 )
-_features = list(dict.fromkeys([*rules.HIGH, *rules.TWO_SIDED]))
+_features = list(dict.fromkeys([*rules.HIGH, *rules.TWO_SIDED, *rules.TWO_SIDED34]))
 piece("feat", "SELECT f.*, l.y, l.q, (l.y = 0 AND l.q <= 1) AS is_calib, (l.q >= 2 OR l.y = 1) AS is_eval FROM fsb f JOIN lq l USING (vehicle, capture, family, widx)")
 piece("long", " UNION ALL ".join(f"SELECT vehicle, capture, family, widx, y, q, is_calib, is_eval, '{f}' AS feature, {f} AS x FROM feat" for f in _features))
 piece(
@@ -127,6 +127,13 @@ piece(
     (SELECT target, 'fleet' AS scope, feature, x FROM long JOIN targets ON vehicle <> target WHERE y = 0 UNION ALL SELECT vehicle, 'target', feature, x FROM long WHERE is_calib) f JOIN refs r USING (target, scope, feature))""",
 )
 piece("ztop", "SELECT target, scope, feature, count(*) AS n, max(v) AS top, quantile_cont(v, 0.99) AS p99 FROM zref GROUP BY target, scope, feature")
+_b34 = "CASE WHEN feature IN ('id_entropy', 'id_unique_frac', 'dt_mean', 'ent_mean') THEN abs(z) ELSE z END"
+piece(
+    "zref34",
+    f"""SELECT target, scope, feature, {_b34} AS v FROM (SELECT f.target, f.scope, f.feature, (f.x - r.med) / r.scale AS z FROM
+    (SELECT target, 'fleet' AS scope, feature, x FROM long JOIN targets ON vehicle <> target WHERE y = 0 UNION ALL SELECT vehicle, 'target', feature, x FROM long WHERE is_calib) f JOIN refs r USING (target, scope, feature)) WHERE feature NOT IN ('stale_max', 'dt_mean_norm')""",
+)
+piece("ztop34", "SELECT target, scope, feature, count(*) AS n, max(v) AS top, quantile_cont(v, 0.99) AS p99 FROM zref34 GROUP BY target, scope, feature")
 _single = " ".join(f"max(CASE WHEN feature = '{f}' THEN z END) * {s} AS \"{m}\"," for m, (f, s) in rules.SINGLE.items())
 piece(
     "wide",

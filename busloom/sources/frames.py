@@ -32,12 +32,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, path: str, manifest: DataFrame, max_manifest: int = 100_000) -> DataFrame:
-    """Captures (one Parquet file each, columns t, aid, dlc, b0..b7, y) with their manifest entries.
+    """Captures (a Parquet file, or a folder of one, each; columns t, aid, dlc, b0..b7, y) with their manifest entries.
 
-    Order within a file becomes seq, from the reader's row index. The manifest is broadcast while it is small.
+    An entry's file is the file's name; of a folder that ends with .parquet or is a partition (key=value), the folder's. Order within a file becomes seq, from the reader's row
+    index. The manifest is broadcast while it is small.
     """
-    raw = spark.read.parquet(path).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    folder = F.element_at(parts, -2)
+    raw = spark.read.option("recursiveFileLookup", "true").parquet(path).select(
+        F.when(folder.rlike(r"\.parquet$|="), folder).otherwise(F.element_at(parts, -1)).alias("file"),
         F.col("_metadata.row_index").alias("seq"),
         F.round(F.col("t") * 1e6).cast("long").alias("us"),
         F.col("aid").cast("int"),
