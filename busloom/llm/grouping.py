@@ -6,19 +6,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.llm.common import staged, workspace
 
 
-def distinct_buckets(rows: DataFrame) -> DataFrame:
+def distinct_buckets(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Of (key, node) rows, each node once a key: the keys of two nodes and more with their sizes n, keys of the same nodes once.
 
-    times is how many keys have those nodes.
+    known (node, root): keys whose nodes all have one root already, which could join nothing new, are left out.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    return sizes.where("n >= 2").groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "n", "times")
+    aggregates = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    if known is not None:
+        rows = rows.join(known, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        aggregates += [F.min("label").alias("low"), F.max("label").alias("high")]
+    sizes = rows.groupBy("key").agg(*aggregates).where("n >= 2" if known is None else "low < high")
+    return sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def blocks_of(n: Column, most: int, spread: int = 256, tasks: int = 8) -> Column:
+    """The blocks of a group of n: of `most` rows at most; a group of over `spread` rows has up to `tasks`, so that it spreads."""
+    return F.greatest(F.ceil(n / F.lit(float(most))), F.least(F.lit(tasks), F.ceil(n / F.lit(float(spread)))))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, copies: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of facts (one for each key but null, copies: how many rows it has); those of null keys get nulls.
+
+    Keys that have more than 1 / share of all rows, fewer than share of them, are joined by broadcast, the others by shuffle.
+    """
+    total = facts.agg(F.sum(copies)).first()[0] or 0
+    hot = F.broadcast(facts.where(F.col(copies) > total / share))
+    some = rows.where(F.col(key).isNotNull())
+    cold = some.join(hot.select(key), key, "left_anti").join(facts.where(F.col(copies) <= total / share), key)
+    return some.join(hot, key).unionByName(cold).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def block_pairs(rows: DataFrame, blocks) -> DataFrame:

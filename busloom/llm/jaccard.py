@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from busloom.llm.common import staged, workspace
-from busloom.llm.grouping import block_pairs, components, distinct_buckets, local_roots, runs, together
+from busloom.llm.grouping import block_pairs, blocks_of, components, distinct_buckets, local_roots, runs, spread_join, together
 from busloom.llm.hashing import WordHasher, mixed
 
 #: Words of a shingle; least Jaccard similarity; least share of the pairs at that similarity that the runs find.
@@ -23,6 +23,10 @@ POSITIONS = 128
 SMALL, DEPTH = 512, 3
 #: Standard deviations of the estimate by POSITIONS tokens that a pair may lie below SIMILARITY and still be verified.
 SLACK = 5.0
+#: Runs after which buckets that these have joined already are left out.
+FIRST_RUNS = 2
+#: Rows of a table of representatives that is broadcast; a larger one meets the texts by shuffle.
+MAX_BROADCAST = 200_000
 #: Shingles, and sets, in a block of the exact comparison.
 BLOCK_SHINGLES, BLOCK_SETS = 400_000, 2_048
 _MULTIPLY = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -56,19 +60,22 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def plan_runs(similarity: float, recall: float, depth: int) -> int:
     """Runs so that a pair at the similarity shares a bucket with probability recall, even if each split goes `depth` deep.
 
-    A split samples each position with probability 1 / (similarity * POSITIONS); a pair then shares a Poisson number of
-    sub-buckets with mean 1, and survives d levels with q(d) = 1 - exp(-q(d-1)).
+    A split samples a Poisson number of positions with mean m = 1 / similarity, or one where that is none. A pair shares each
+    position's sub-bucket with probability similarity, so it survives d levels with q(d) = 1 - (exp(-m x) - exp(-m) x) at
+    x = similarity * q(d-1).
     """
-    q = 1.0
+    q, m = 1.0, 1 / similarity
     for _ in range(depth):
-        q = 1 - math.exp(-q)
+        x = similarity * q
+        q = 1 - (math.exp(-m * x) - math.exp(-m) * x)
     return math.ceil(math.log(1 - recall) / math.log(1 - q))
 
 
 def sampled(path: int, similarity: float) -> np.ndarray:
-    """The positions by which the bucket at this path is split."""
+    """The positions by which the bucket at this path is split: each with probability 1 / (similarity * POSITIONS), one at least."""
     draws = mixed(np.uint64(path & 0xFFFFFFFFFFFFFFFF) + mixed(np.arange(POSITIONS, dtype=np.uint64) + np.uint64(77)))
-    return np.flatnonzero(draws < np.uint64(2**64 / (similarity * POSITIONS)))
+    some = np.flatnonzero(draws < np.uint64(2**64 / (similarity * POSITIONS)))
+    return some if len(some) else draws.argmin(keepdims=True)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -114,18 +121,29 @@ def _star(nodes: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]])], names=["a", "b"])
 
 
+def least_tokens(similarity: float) -> float:
+    """Equal sampled tokens below which a pair isn't verified: SLACK standard deviations below what the similarity gives."""
+    return POSITIONS * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / POSITIONS))
+
+
+def _matrix(tokens: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(tokens.to_pylist()), dtype=np.uint32).reshape(len(tokens), POSITIONS)
+
+
 def _candidates(sets: DataFrame, similarity: float, recall: float, folder: str) -> DataFrame:
-    """Edges (a, b) that join each two sets which share a bucket and whose sampled tokens don't rule the similarity out."""
-    least = POSITIONS * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / POSITIONS))
-    # one pass over the sets gives the rows of all runs
-    roots = [(r, int(i)) for r in range(plan_runs(similarity, recall, DEPTH)) for i in sampled(r + 1, similarity)]
-    keys = F.array(*[F.xxhash64(F.lit(r), F.lit(i), F.substring("tokens", 4 * i + 1, 4)) for r, i in roots])
-    rows = staged(sets.select(F.explode(keys).alias("key"), "node"), "level-1", folder)
+    """(node, root): sets tied by buckets that they share and sampled tokens that don't rule the similarity out.
+
+    Every bucket of over SMALL sets is split again down to DEPTH, where it is compared by blocks. After FIRST_RUNS runs the
+    groups found are recorded: a later bucket whose sets are all of one group can tie nothing new and is left out.
+    """
+    least = least_tokens(similarity)
+    total = plan_runs(similarity, recall, DEPTH)
+    tokens = sets.select("node", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, across in runs(batches):
             nodes, own = batch.column("node").to_numpy(), batch.column("own").to_numpy()
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint32).reshape(len(nodes), POSITIONS)
+            tokens = _matrix(batch.column("tokens"))
             near = np.zeros((len(nodes), len(nodes)), dtype=bool)
             for a in range(len(nodes)):
                 near[a] = np.count_nonzero(tokens == tokens[a], axis=1) >= least
@@ -133,31 +151,36 @@ def _candidates(sets: DataFrame, similarity: float, recall: float, folder: str)
                 near &= own[:, None] != own[None, :]
             yield _star(nodes, local_roots(near))
 
-    tokens = sets.select("node", "tokens")
-    edges = []
-    for level in range(1, DEPTH + 1):
-        buckets = staged(distinct_buckets(rows), f"buckets-{level}", folder)
-        # sets that are together in two runs are a group that splits don't part: it is compared as it is, by blocks
-        done = (F.col("n") <= SMALL) | (F.col("times") > 1) if level < DEPTH else F.lit(True)
-        small = buckets.where(done).drop("times")
-        members = rows.join(small, "key").join(tokens, "node")
-        pairs = block_pairs(members, F.ceil(F.col("n") / F.lit(float(BLOCK_SETS))))
-        edges.append(staged(together(pairs).mapInArrow(compare, "a long, b long").distinct(), f"edges-{level}", folder))
-        large = buckets.where(~done).select("key")
-        if level == DEPTH or large.isEmpty():
-            break
-        rows = staged(_split(rows.join(large, "key").join(tokens, "node"), similarity).distinct(), f"level-{level + 1}", folder)
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out
-
-
-def _verified(docs: DataFrame, members: DataFrame, similarity: float, folder: str) -> DataFrame:
+    edges, known = None, None
+    for part, some in (("first", range(min(FIRST_RUNS, total))), ("rest", range(FIRST_RUNS, total))):
+        # one pass over the sets gives the rows of these runs
+        roots = [(r, int(i)) for r in some for i in sampled(r + 1, similarity)]
+        if not roots:
+            continue
+        keys = F.array(*[F.xxhash64(F.lit(r), F.lit(i), F.substring("tokens", 4 * i + 1, 4)) for r, i in roots])
+        rows = staged(sets.select(F.explode(keys).alias("key"), "node"), f"{part}-1", folder)
+        for level in range(1, DEPTH + 1):
+            buckets = staged(distinct_buckets(rows, known), f"{part}-buckets-{level}", folder)
+            done = F.col("n") <= SMALL if level < DEPTH else F.lit(True)
+            members = rows.join(buckets.where(done), "key").join(tokens, "node")
+            pairs = block_pairs(members, blocks_of(F.col("n"), BLOCK_SETS))
+            found = staged(together(pairs).mapInArrow(compare, "a long, b long").distinct(), f"{part}-edges-{level}", folder)
+            edges = found if edges is None else edges.union(found)
+            large = buckets.where(~done).select("key")
+            if level == DEPTH or large.isEmpty():
+                break
+            rows = staged(_split(rows.join(large, "key").join(tokens, "node"), similarity).distinct(), f"{part}-{level + 1}", folder)
+        known = components(edges, f"{part}-groups")
+    return known
+
+
+def _verified(docs: DataFrame, members: DataFrame, tokens: DataFrame, similarity: float, folder: str) -> DataFrame:
     """Exact similarities within each candidate group (rep, node, key, copies): rows (a, b) of links and (a, links) of counts.
 
     One text of each set is read again. A group's sets are dealt into blocks of bounded size; each pair of blocks is one
-    task's work, so that a group of any size is compared whole, and what leaves a task is a row or two a set.
+    task's work, so that a group of any size is compared whole, and what leaves a task is a row or two a set. Pairs that
+    their sampled tokens (node, tokens) rule out cost no more than the comparison of those, so a chain of texts that are
+    alike by twos is cheap.
     """
     shape = "key long, node long, copies long, hashes binary"
 
@@ -165,38 +188,45 @@ def _verified(docs: DataFrame, members: DataFrame, similarity: float, folder: st
         hasher = WordHasher()
         for batch in batches:
             sets = [shingles(t.as_py(), hasher).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), batch.column("copies"), pa.array(sets, pa.binary())], names=["key", "node", "copies", "hashes"])
-
-    texts = docs.join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "node", "copies", "text").mapInArrow(again, shape)
-    # several texts may have the representative's id; the one whose set is the node's is meant
-    def own_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            right = [xxhash.xxh3_64_intdigest(h.as_py()) - (1 << 63) == n.as_py() for h, n in zip(batch.column("hashes"), batch.column("node"), strict=True)]
-            yield batch.filter(pa.array(right, pa.bool_()))
-
-    sets = staged(texts.mapInArrow(own_set, shape).dropDuplicates(["node"]), "sets", folder)
+            # several texts may have the representative's id; the one whose set is the node's is meant
+            right = [xxhash.xxh3_64_intdigest(h) - (1 << 63) == n for h, n in zip(sets, batch.column("node").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), batch.column("copies"), pa.array(sets, pa.binary())], names=["key", "node", "copies", "hashes"])
+            yield out.filter(pa.array(right, pa.bool_()))
+
+    members = staged(members, "members", folder)
+    few = F.broadcast(members) if members.count() <= MAX_BROADCAST else members  # only candidates' texts move
+    texts = docs.join(few, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "node", "copies", "text").mapInArrow(again, shape)
+    sets = staged(texts.dropDuplicates(["node"]).join(tokens, "node"), "sets", folder)
     sizes = sets.groupBy("key").agg(F.sum(F.octet_length("hashes") / 8).alias("shingles"), F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.greatest(F.col("shingles") / F.lit(float(BLOCK_SHINGLES)), F.col("n") / F.lit(float(BLOCK_SETS))))
+    blocks = F.greatest(F.ceil(F.col("shingles") / F.lit(float(BLOCK_SHINGLES))), blocks_of(F.col("n"), BLOCK_SETS))
     dealt = block_pairs(sets.join(sizes, "key"), blocks).drop("shingles", "n")
+    least = least_tokens(similarity)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, across in runs(batches):
             nodes, own, copies = (batch.column(c).to_numpy() for c in ("node", "own", "copies"))
+            tokens = _matrix(batch.column("tokens"))
             parts = [np.frombuffer(h, dtype=np.uint64) for h in batch.column("hashes").to_pylist()]
             sizes = np.array([len(p) for p in parts])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            ends = np.cumsum(sizes)
             values, codes = np.unique(np.concatenate(parts), return_inverse=True)
             mark = np.zeros(len(values), dtype=np.int32)
             near = np.zeros((len(nodes), len(nodes)), dtype=bool)
             for a in range(len(nodes)):
-                mine = codes[starts[a] : starts[a] + sizes[a]]
+                some = np.count_nonzero(tokens == tokens[a], axis=1) >= least
+                some[: a + 1] = False
+                if across:
+                    some &= own != own[a]
+                some = np.flatnonzero(some)
+                if not len(some):
+                    continue
+                mine = codes[ends[a] - sizes[a] : ends[a]]
                 mark[mine] = 1
-                shared = np.add.reduceat(mark[codes], starts)
+                theirs = mark[np.concatenate([codes[ends[i] - sizes[i] : ends[i]] for i in some])]
+                shared = np.add.reduceat(theirs, np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
                 mark[mine] = 0
-                near[a] = shared / (sizes + sizes[a] - shared) >= similarity
-            np.fill_diagonal(near, False)
-            if across:
-                near &= own[:, None] != own[None, :]
+                near[a, some] = shared / (sizes[some] + sizes[a] - shared) >= similarity
+            near |= near.T
             links = near @ copies
             some = np.flatnonzero(links)
             root = local_roots(near)
@@ -223,17 +253,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     rows = staged(_sets(docs).withColumn("row", F.monotonically_increasing_id()), "rows", folder)
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("tokens").alias("tokens"))
     nodes = staged(nodes, "nodes", folder)
-    near = components(_candidates(nodes, similarity, recall, folder), "candidates")
+    near = _candidates(nodes, similarity, recall, folder)
     members = nodes.drop("tokens").join(near.select("node", F.col("root").alias("key")), "node")
-    links = _verified(docs, members, similarity, folder)
+    links = _verified(docs, members, nodes.select("node", "tokens"), similarity, folder)
     root = components(links.select("a", "b"), "classes")
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = nodes.select("node", "rep", "copies").join(root, "node", "left").join(counts, "node", "left")
     joined = staged(joined.select("node", "rep", "copies", F.coalesce("root", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "classed", folder)
     # a class's row that stays: the smallest id's, and of several sets with that id the smallest node's
     heads = joined.groupBy("class").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("head"))
-    facts = joined.join(heads, "class").select("node", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.rep").alias("class_id"), (F.col("head.node") == F.col("node")).alias("head"))
-    out = rows.select("doc_id", "node", "row", "text_hash").join(facts, "node", "left")
+    facts = joined.join(heads, "class").select("node", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.rep").alias("class_id"), (F.col("head.node") == F.col("node")).alias("head"))
+    out = spread_join(rows.select("doc_id", "node", "row", "text_hash"), staged(facts, "facts", folder), "node", "copies")
     first = out.where("head AND doc_id <=> class_id").groupBy("node").agg(F.min("row").alias("row"), F.lit(True).alias("first"))
     out = out.join(first, ["node", "row"], "left")
     return out.select(
@@ -246,15 +276,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of docs (doc_id, text and any other columns), one of each class of near-duplicates."""
-    kept = near_duplicates(docs, similarity, recall).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    """The rows of docs (doc_id, text and any other columns, whatever their names), one of each class of near-duplicates.
+
+    Texts without words are no near-duplicates: all of those rows stay.
+    """
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+    kept = near_duplicates(plain, similarity, recall).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = plain.withColumn("_h", F.xxhash64("text"))
     out = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    same = hashed.where(F.length(F.trim("text")) > 0).groupBy("doc_id", "_h").count().where("count > 1")
-    if not same.isEmpty():  # whole rows' ids and texts repeat: one of them stays, except where there are no words
-        blank = F.coalesce(F.length(F.trim("text")) == 0, F.lit(True))
-        out = out.where(blank).unionByName(out.where(~blank).dropDuplicates(["doc_id", "_h"]))
-    return out.drop("_h")
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    if not hashed.where(~wordless).groupBy("doc_id", "_h").count().where("count > 1").isEmpty():  # whole rows' ids and texts repeat: one of them stays
+        out = out.where(wordless).unionByName(out.where(~wordless).dropDuplicates(["doc_id", "_h"]))
+    return out.drop("_h").toDF(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

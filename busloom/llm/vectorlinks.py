@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.llm.common import staged, workspace
-from busloom.llm.grouping import block_pairs, components, distinct_buckets, local_roots, runs, together
+from busloom.llm.grouping import block_pairs, blocks_of, components, distinct_buckets, local_roots, runs, spread_join, together
 from busloom.llm.hashing import mixed
 
 #: Least cosine of a link; least share of pairs at that cosine that the tables bring together; width of a projection's cells.
@@ -116,21 +116,21 @@ def links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, id
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", folder)
     projections, tables = plan(nodes.count(), cosine, recall)
     keys = staged(_keys(nodes, projections, tables), "keys", folder)
-    buckets = distinct_buckets(keys.distinct()).drop("times")
+    buckets = distinct_buckets(keys.distinct())
     content = nodes.select("node", "copies", "vector")
     members = keys.distinct().join(buckets, "key").join(content, "node")
-    found = staged(_edges(block_pairs(members, F.ceil(F.col("n") / F.lit(float(BLOCK)))), cosine, False).select("a", "b").distinct(), "found", folder)
+    found = staged(_edges(block_pairs(members, blocks_of(F.col("n"), BLOCK)), cosine, False).select("a", "b").distinct(), "found", folder)
     near = components(found, "vector-components")
     grouped = near.select("node", F.col("root").alias("key"))
     sizes = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    whole = block_pairs(grouped.join(sizes, "key").join(content, "node"), F.ceil(F.col("n") / F.lit(float(BLOCK))))
+    whole = block_pairs(grouped.join(sizes, "key").join(content, "node"), blocks_of(F.col("n"), BLOCK))
     counts = _edges(whole, cosine, True).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     facts = nodes.join(near, "node", "left").join(counts, "node", "left").withColumn("class", F.coalesce("root", "node"))
     facts = staged(facts.select("node", "vector", "rep", "copies", "class", F.coalesce("links", F.lit(0)).alias("links")), "facts", folder)
     heads = facts.groupBy("class").agg(F.min("rep").alias("component_id"))
-    facts = facts.join(heads, "class").select("vector", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
+    facts = facts.join(heads, "class").select("vector", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = vectors.where(~usable(vector_col)).select(F.col(id_col).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
-    out = good.join(facts, "vector").select("vec_id", "n_links", "component_id").unionByName(alone)
+    out = spread_join(good, staged(facts, "joined", folder), "vector", "copies").select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
