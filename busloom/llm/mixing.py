@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from busloom.llm.common import HASH_BITS, bins_for, ordered_hash, ranked
+from busloom.llm.common import HASH_BITS, bins_for, ordered_hash, ranked, staged
 
-#: Rows up to which the table of rates is broadcast; a larger one is joined by shuffle.
-MAX_BROADCAST_RATES = 20_000
+#: Sources, and values of their distribution functions, up to which the table is broadcast; a larger one is joined by shuffle.
+MAX_BROADCAST_RATES, MAX_BROADCAST_VALUES = 20_000, 2_000_000
+#: Copies of a document that are made of one row at once.
+COPIES = 1 << 16
 #: Exponent on a source's share of rows in the default target weights.
 TEMPERATURE = 0.7
 
@@ -38,19 +42,24 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, stratum: str
 
 
 def poisson_table(rate_rows: DataFrame) -> DataFrame:
-    """Adds _cdf: the Poisson distribution function at 0, 1, 2, ... as far as a double tells it from 1."""
-    top = F.ceil(F.col("_rate") + 12 * F.sqrt("_rate") + 30).cast("int")
-    log_p = lambda k, log_fact: -F.col("_rate") + k * F.log(F.col("_rate")) - log_fact
-    # running sums along the counts: of ln k, then of the probabilities
-    run = lambda xs, start: F.aggregate(
-        xs,
-        F.struct(F.array().cast("array<double>").alias("xs"), F.lit(start).alias("sum")),
-        lambda a, x: F.struct(F.concat(a["xs"], F.array(a["sum"] + x)).alias("xs"), (a["sum"] + x).alias("sum")),
-        lambda a: a["xs"],
-    )
-    with_facts = rate_rows.withColumn("_ks", F.sequence(F.lit(0), top)).withColumn("_facts", run(F.transform("_ks", lambda k: F.log(F.greatest(k, F.lit(1)).cast("double"))), 0.0))
-    probs = F.when(F.col("_rate") > 0, F.zip_with("_ks", "_facts", lambda k, lf: F.exp(log_p(k, lf)))).otherwise(F.transform("_ks", lambda k: F.when(k == 0, 1.0).otherwise(0.0)))
-    return with_facts.withColumn("_cdf", run(probs, 0.0)).drop("_ks", "_facts")
+    """_key, _first and _cdf: the Poisson distribution function at _first, _first + 1, ... as far as a double tells it from 0 and 1.
+
+    A source's table begins 12 standard deviations below its rate and ends as far above, so it grows with the root of the
+    rate. Logarithms of factorials and probabilities are running sums over its rows.
+    """
+    reach = 12 * F.sqrt("_rate") + 30
+    low = F.floor(F.col("_rate") - reach)
+    low = F.when(low >= 32, low).otherwise(F.lit(0))
+    x = F.col("_first").cast("double")
+    # ln of _first!, by Stirling's series, exact to the last digits from 32 on
+    fact = F.when(x > 0, x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)).otherwise(F.lit(0.0))
+    along = Window.partitionBy("_key").orderBy("_k")
+    rows = rate_rows.select("_key", "_rate", low.alias("_first"), F.explode(F.sequence(low, F.ceil(F.col("_rate") + reach))).alias("_k"))
+    k = F.col("_k").cast("double")
+    rows = rows.withColumn("_fact", F.sum(F.when(F.col("_k") == F.col("_first"), fact).otherwise(F.log(F.greatest(k, F.lit(1.0))))).over(along))
+    p = F.when(F.col("_rate") > 0, F.exp(-F.col("_rate") + k * F.log("_rate") - F.col("_fact"))).otherwise(F.when(F.col("_k") == 0, 1.0).otherwise(0.0))
+    rows = rows.withColumn("_p", p).withColumn("_f", F.sum("_p").over(along))
+    return rows.groupBy("_key", "_first").agg(F.sort_array(F.collect_list(F.struct("_k", "_f"))).alias("_cdf")).select("_key", "_first", F.col("_cdf._f").alias("_cdf"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, stratum: str = "source", id_col: str = "doc_id", temperature: float = TEMPERATURE, epochs: float = 1.0, seed: str = "mix-1") -> DataFrame:
@@ -62,21 +71,24 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, stratum: str
     (seed, id, copy), a global shuffle, numbered gaplessly from 0. Columns of docs stay as they are (names beginning
     with _ and the three added names are reserved). An empty table gives an empty result.
     """
-    table = poisson_table(rates(docs, weights, stratum, temperature, epochs)).select("_key", "_cdf")
-    small = table.limit(MAX_BROADCAST_RATES + 1).count() <= MAX_BROADCAST_RATES
+    table = staged(poisson_table(rates(docs, weights, stratum, temperature, epochs)), "rates")
+    size = table.agg(F.count(F.lit(1)), F.sum(F.size("_cdf"))).first()
+    small = size[0] <= MAX_BROADCAST_RATES and (size[1] or 0) <= MAX_BROADCAST_VALUES
     u = ordered_hash(id_col, seed=seed) / F.lit(float(1 << HASH_BITS))
     drawn = (
         docs.withColumn("_key", source_key(stratum))
         .join(F.broadcast(table) if small else table, "_key")
         .withColumn("_u", u)
-        .withColumn("copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
+        .withColumn("copies", (F.col("_first") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).cast("int"))
         .where("copies > 0")
-        .drop("_cdf", "_u", "_key")
+        .drop("_cdf", "_first", "_u", "_key")
     )
     n = docs.count()
     bins = bins_for(int(n * epochs) + 1)
     copies = (
-        drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        drawn.withColumn("_run", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {COPIES}").cast("int"))))
+        .withColumn("copy", F.explode(F.sequence(F.col("_run") * COPIES, F.least((F.col("_run") + 1) * COPIES, "copies") - 1)))
+        .drop("_run")
         .withColumn("_h", ordered_hash(id_col, "copy", seed=f"{seed}-order"))
         .withColumn("_bin", F.shiftright("_h", HASH_BITS - (bins.bit_length() - 1)).cast("int"))
     )
