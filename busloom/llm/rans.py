@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.llm.common import staged, workspace
@@ -168,21 +168,70 @@ class Reader:
         return ids
 
 
+def _ordered(docs: DataFrame) -> DataFrame:
+    """Adds the columns that order rows: known, id, tie (a hash of the text) and salt, which parts equal rows."""
+    return docs.withColumns(
+        {
+            "known": F.col("doc_id").isNotNull(),
+            "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+            "tie": F.xxhash64(F.coalesce("text", F.lit(""))),
+            "salt": F.monotonically_increasing_id(),
+        }
+    )
+
+
+def _edges(docs: DataFrame, bytes_each: int, folder: str) -> list[np.ndarray]:
+    """The first row's order columns of each range: ranges hold about bytes_each of text, whatever the ids.
+
+    Ids and sizes alone are dealt by ranges and summed along; one row a range, which is one for bytes_each of the corpus,
+    reaches the driver.
+    """
+    by = [F.col(c) for c in ("known", "id", "tie", "salt")]
+    sizes = _ordered(docs).select(*by, (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size"))
+    parallel = docs.sparkSession.sparkContext.defaultParallelism
+    dealt = staged(sizes.repartitionByRange(max(parallel, docs.count() // 1_000_000), *by).withColumn("p", F.spark_partition_id()), "sizes", folder)
+    sums = dealt.groupBy("p").agg(F.sum("size").alias("n"))
+    before = sums.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # a row a partition
+    along = dealt.join(F.broadcast(before), "p").withColumn("end", F.col("before") + F.sum("size").over(Window.partitionBy("p").orderBy(*by)))
+    first = along.groupBy(F.floor((F.col("end") - F.col("size")) / bytes_each)).agg(F.min(F.struct(*by)).alias("e")).select("e.*").toArrow()
+    first = first.sort_by([(c, "ascending") for c in first.column_names])
+    return [first[c].to_numpy() for c in first.column_names]
+
+
+def route(edges: list[np.ndarray], known: np.ndarray, ids: np.ndarray, tie: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The range of each row: how many ranges begin at it or before it, less one."""
+    e_known, e_id, e_tie, e_salt = edges
+    nulls = int((~e_known).sum())
+    low = np.where(known, nulls + np.searchsorted(e_id[nulls:], ids, "left"), 0)
+    high = np.where(known, nulls + np.searchsorted(e_id[nulls:], ids, "right"), nulls)
+    while (open_ := low < high).any():
+        mid = np.minimum((low + high) >> 1, len(e_id) - 1)
+        past = open_ & ((e_tie[mid] < tie) | ((e_tie[mid] == tie) & (e_salt[mid] <= salt)))
+        low, high = np.where(past, mid + 1, low), np.where(open_ & ~past, mid, high)
+    return np.maximum(low - 1, 0).astype(np.int32)
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
-    """Packed ids in ascending doc_id order (nulls first; equal ids by text), one compressed staging file a doc_id range.
+    """Packed ids in ascending doc_id order (nulls first; equal ids by a hash of the text), one compressed staging file a range.
 
     Returns, written once: part (the range's number), file, n_tokens, doc_ids, lengths and counts (by id, of this range).
+    Ranges hold about FILE_BYTES of text each, and a repeated id, or a repeated row, may lie in several. Null and empty
+    texts are a lone end_id; an empty table has no ranges.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
-    edges = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), 10_000)).first()[0] if parts > 1 else []
-    edges = spark.sparkContext.broadcast(sorted(set(edges or [])))
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges.value]), lambda e: e < F.col("doc_id"))) if edges.value else F.lit(0)
+    shared = spark.sparkContext.broadcast(_edges(docs, max(1, -(-(total + 64 * docs.count()) // parts)), folder))
+
+    @F.pandas_udf("int")
+    def part(known: pd.Series, ids: pd.Series, tie: pd.Series, salt: pd.Series) -> pd.Series:
+        return pd.Series(route(shared.value, *(x.to_numpy() for x in (known, ids, tie, salt))))
+
     dealt = (
-        docs.select(F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int").alias("part"), "doc_id", "text")
-        .repartition(len(edges.value) + 1, "part")
-        .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+        _ordered(docs).select(part("known", "id", "tie", "salt").alias("part"), "doc_id", "text", "tie")
+        .repartition(max(1, len(shared.value[0])), "part")
+        .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie", "text")
+        .drop("tie")
     )
     shape = "part int, file string, n_tokens long, doc_ids array<long>, lengths array<long>, counts array<long>"
 
@@ -263,9 +312,9 @@ def read_files(files: DataFrame, folder: str, freq: np.ndarray) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files' blocks; a damaged block is an error."""
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(freq)
-    sizes = sorted((r["part"], r["file"], r["n_tokens"]) for r in files.collect())  # a row for each file
-    before = np.concatenate(([0], np.cumsum([n for *_, n in sizes])))[:-1].tolist()
-    todo = spark.createDataFrame([(part, file, first) for (part, file, _), first in zip(sizes, before, strict=True)], "part int, file string, first long")
+    # a row for each file: ids before it
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    todo = files.select("part", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = None
@@ -288,7 +337,7 @@ def read_files(files: DataFrame, folder: str, freq: np.ndarray) -> DataFrame:
                 yield frame_out.astype({"doc_id": "Int64"})
 
     shape = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return todo.repartition(max(1, len(sizes)), "part").mapInPandas(run, shape)
+    return todo.repartition(max(1, files.count()), "part").mapInPandas(run, shape)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -78,15 +78,20 @@ def rounds(ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
             a, held, some = i + 1, 0, []
 
 
+def opened_as(uri: str) -> str:
+    """The URI by pyarrow's names: Hadoop's names of S3 are its s3."""
+    scheme, colon, rest = uri.partition("://")
+    return f"s3{colon}{rest}" if scheme in ("s3a", "s3n") else uri
+
+
 def filesystem(uri: str):
     """pyarrow's file system and the path inside it for a URI that driver and executors can open.
 
-    Hadoop's names of S3 are pyarrow's s3; credentials then come from the environment, as pyarrow reads them.
+    Credentials of a store come from where pyarrow reads them (the environment), not from Spark's settings.
     """
     from pyarrow import fs
 
-    scheme, colon, rest = uri.partition("://")
-    return fs.FileSystem.from_uri(f"s3{colon}{rest}" if scheme in ("s3a", "s3n") else uri)
+    return fs.FileSystem.from_uri(opened_as(uri))
 
 
 class Output:
