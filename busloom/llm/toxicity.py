@@ -9,13 +9,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from busloom.llm.common import ordered_hash
+from busloom.llm.common import ordered_hash, staged
 
 #: log2 of the hashed terms; interaction factors of a term; labelled documents that the model is fitted on, at most.
 BITS, FACTORS, MAX_TRAINING = 20, 8, 16_000
+#: Candidate terms of all those documents together, at most: very long texts make the sample smaller.
+MAX_ENTRIES = 8_000_000
 #: A term is a candidate from this many training texts on, however many there are.
 MIN_TEXTS = 4
 #: A term's weight must be worth this many standard deviations of its gradient under no effect.
@@ -228,44 +231,54 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(bias, terms, w, v)
 
 
-def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_TRAINING) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed terms and labels of up to `limit` labelled documents outside the held-out fold, the first by a hash of the id.
+def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_TRAINING, entries: int = MAX_ENTRIES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Candidate terms and labels of labelled documents outside the held-out fold, the first by a hash of the id: up to `limit`
+    documents, and as many as have `entries` candidate terms together.
 
     Several labels of one id count as toxic if one is; several texts of an id give the one of least checksum; equal
-    sets of terms count once. This bounded sample (limit rows of bounded width) is all that reaches the driver.
+    sets of terms count once, as toxic if one is. Null ids and null labels take no part. How many texts have a term is
+    counted in Spark, and only terms of MIN_TEXTS texts and more, fewer than 2**BITS, reach the driver.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (remainder(id_col) != 0))
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("_y"))
-        .orderBy(ordered_hash("_id", seed="toxicity"), "_id")
+        .withColumn("_h", ordered_hash("_id", seed="toxicity"))
+        .orderBy("_h", "_id")
         .limit(limit)
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [buckets(t.as_py()) for t in batch.column(1)]
-            sums = [zlib.crc32(f.tobytes()) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sums, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["_id", "_y", "_sum", "_terms"])
-
-    shape = texts.select("_id", "_y", F.lit(0).cast("long").alias("_sum"), F.array().cast("array<int>").alias("_terms")).schema
-    one = texts.select("_id", "_text", "_y").mapInArrow(run, shape).groupBy("_id").agg(F.min(F.struct("_sum", "_y", "_terms")).alias("r"))
-    table = one.select("_id", "r.*").toArrow().sort_by("_id")
-    rows, ys, known = [], [], {}
-    for terms, y in zip(table["_terms"], table["_y"].to_pylist(), strict=True):
-        found = terms.values.to_numpy() if len(terms) else np.zeros(0, dtype=np.int32)
-        at = known.setdefault(found.tobytes(), len(rows))
-        if at < len(rows):
-            ys[at] = max(ys[at], y)
-        else:
-            rows.append(found)
-            ys.append(y)
-    return rows, np.array(ys, dtype=np.float64)
+            found = [buckets(t.as_py()) for t in batch.column("_text")]
+            sums = [xxhash.xxh3_64_intdigest(f.tobytes()) - (1 << 63) for f in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_y", "_h")), pa.array(sums, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["_id", "_y", "_h", "_sum", "_terms"])
+
+    shape = texts.select("_id", "_y", "_h", F.lit(0).cast("long").alias("_sum"), F.array().cast("array<int>").alias("_terms")).schema
+    one = texts.select("_id", "_text", "_y", "_h").mapInArrow(run, shape).groupBy("_id").agg(F.min(F.struct("_sum", "_y", "_h", "_terms")).alias("r")).select("_id", "r.*")
+    once = one.groupBy("_sum").agg(F.max("_y").alias("_y"), F.min(F.struct("_h", "_id", "_terms")).alias("r")).select("_y", "r.*")
+    once = staged(once, "training")
+    often = once.select(F.explode("_terms").alias("term")).groupBy("term").count().where(F.col("count") >= MIN_TEXTS).toArrow()["term"].to_numpy()
+    candidate = np.zeros(1 << BITS, dtype=bool)
+    candidate[often] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(candidate))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidate = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            found = [f[candidate[f]] for f in (t.values.to_numpy() if len(t) else np.zeros(0, dtype=np.int32) for t in batch.column("_terms"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_h", "_id", "_y")), pa.array(found, pa.list_(pa.int32()))], names=["_h", "_id", "_y", "_terms"])
+
+    rows = once.select("_h", "_id", "_y", "_terms").mapInArrow(narrow, once.select("_h", "_id", "_y", "_terms").schema)
+    so_far = F.sum(F.size("_terms")).over(Window.orderBy("_h", "_id"))  # limit rows at most
+    table = rows.withColumn("_n", so_far).where(F.col("_n") <= entries).drop("_n").toArrow()
+    found = [t.values.to_numpy() if len(t) else np.zeros(0, dtype=np.int32) for t in table["_terms"]]
+    return found, table["_y"].to_numpy().astype(np.float64)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Adds out: double, from the whole text; null and empty texts have no terms. One pass, no shuffle."""
+    """Adds out (not a name that docs has): double, from the whole text; null and empty texts have no terms. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     shape = docs.select("*", F.lit(0.0).alias(out)).schema
 
