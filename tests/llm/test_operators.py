@@ -73,6 +73,31 @@ def test_toxicity_interactions_and_no_labels(spark, no_docs):
     assert empty.score(empty.slots(), toxicity.buckets("x")) < 1e-9
 
 
+def test_toxicity_learns_exclusive_or():
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(4000):  # toxic with exactly one of 5 and 6, neither of which tells anything alone
+        own = np.flatnonzero(rng.integers(0, 2, 2)) + 5
+        rows.append(np.sort(np.concatenate([own, rng.choice(np.arange(100, 400), 20, replace=False)])).astype(np.int32))
+        y.append(float(len(own) == 1))
+    model = toxicity.fit(rows, np.array(y))
+    score = lambda *t: model.score(model.slots(), np.array(t, dtype=int))
+    assert max(score(), score(5, 6)) < 0.5 < min(score(5), score(6))
+
+
+def test_toxicity_training_rows(spark):
+    docs = spark.createDataFrame([(i, "common words here " + text(i, 3)) for i in range(100)] + [(1, "a zz"), (1, "b zz"), (3, "x"), (4, "x"), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(100)] + [(1, 1), (4, 1), (3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    rows, y = toxicity.training(docs.where("doc_id IS NULL OR doc_id NOT IN (3, 4) OR text = 'x'"), labels)
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    assert len(rows) == len(learnt) - ({3, 4} <= set(learnt)) and y.sum() == len({1, 4} & set(learnt))
+    counts = Counter(t for r in rows for t in r.tolist())
+    assert min(counts.values()) >= toxicity.MIN_TEXTS
+    few, _ = toxicity.training(docs, labels, entries=50)
+    assert 0 < sum(map(len, few)) <= 50
+    assert len(toxicity.training(docs, labels, limit=7)[0]) <= 7
+
+
 def test_toxicity_finds_pairs_of_neutral_terms():
     rng = np.random.default_rng(3)
     rows, y = [], []
@@ -222,6 +247,27 @@ def test_vector_links(spark):
     assert vectorlinks.links(table.limit(0)).count() == 0
 
 
+def test_vector_links_near_the_threshold_are_found(spark):
+    rng = np.random.default_rng(11)
+    d, pairs = 32, 5000
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit(rng.normal(size=(pairs, d)))
+    away = rng.normal(size=(pairs, d))
+    away = unit(away - (away * a).sum(axis=1)[:, None] * a)
+    cosine = rng.uniform(0.9005, 0.93, pairs)[:, None]
+    b = cosine * a + np.sqrt(1 - cosine**2) * away
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vectorlinks.links(table).collect()}
+    found = np.mean([got[pairs + i].component_id <= i and got[i].n_links > 0 for i in range(pairs)])
+    assert found >= 0.985  # RECALL is 0.99 at the threshold itself
+
+
+def test_vectors_without_an_id_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0]), (5, [1.0, 0.01]), (5, [0.0, 1.0]), (7, [0.0, 2.0]), (8, [-1.0, 0.0])]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in vectorlinks.links(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, node string")).collect()]
+    assert Counter(got) == Counter([(None, 1, 5), (5, 1, 5), (5, 1, 5), (7, 1, 5), (8, 0, 8)])
+
+
 def test_vector_plan_grows_slowly():
     assert vectorlinks.plan(10**9)[1] < 30 * vectorlinks.plan(10**4)[1]
 
@@ -248,9 +294,12 @@ def test_byte_bpe_small_memo(monkeypatch):
 
 
 # 6, 7
-def library_ids(docs):
-    encoder = WordEncoder(WORDS)
-    return [(i, encoder.library.encode(t, add_special_tokens=False).ids) for i, t in plain(docs)]
+def library_ids(docs, plain_specials=False):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    library.encode_special_tokens = plain_specials  # False is the library's own setting
+    return [(i, library.encode(t, add_special_tokens=False).ids) for i, t in plain(docs)]
 
 
 def test_token_counts(spark, docs, no_docs):
@@ -261,14 +310,20 @@ def test_token_counts(spark, docs, no_docs):
         for block in (7, 1 << 20):
             counts = tokencount.stitch(tokencount.scan_blocks(spark, f"{folder}/files", 49407, block), block)
             got = Counter(tuple(r) for r in names.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens").collect())
-            assert got == Counter((i, len(ids)) for i, ids in library_ids(table))
+            assert got == Counter((i, len(ids)) for i, ids in library_ids(table, True))
+
 
+@pytest.mark.parametrize("plain_specials", [False, True])
+def test_word_memo_is_the_librarys_result(monkeypatch, plain_specials):
+    from tokenizers import Tokenizer
 
-def test_word_memo_is_the_librarys_result(monkeypatch):
-    encoder = WordEncoder(WORDS)
-    odd = ["x., y", "it's, DON'T.", "a,b", "...", "<|startoftext|>,", "ΟΔΟΣ, İ. é,", " a b."]
+    encoder = WordEncoder(WORDS, plain_specials=plain_specials)
+    library = Tokenizer.from_file(WORDS)
+    if plain_specials:
+        library.encode_special_tokens = True
+    odd = ["a <|endoftext|> b", "a<|endoftext|>b <|ENDOFTEXT|>", "<|EndOfText|>, x", "x., y", "it's, DON'T.", "a,b", "...", "<|startoftext|>,", "ΟΔΟΣ, İ. é,", " a b."]
     odd += ["wordy" * 50 + " " + "wordy" * 50 + ".", "", "a b c d e f a b c"]
-    want = [e.ids for e in encoder.library.encode_batch(odd, add_special_tokens=False)]
+    want = [e.ids for e in library.encode_batch(odd, add_special_tokens=False)]
     assert [np.frombuffer(e, "<u2").tolist() for e in encoder.encode(odd)] == want
     assert max(map(len, encoder)) <= wordpieces.MEMO_BYTES
     monkeypatch.setattr(wordpieces, "MEMO_WORDS", 4)  # starts afresh inside a text
@@ -287,13 +342,28 @@ def test_rans_round_trip():
     assert len(block) < 2 * n
 
 
+def test_ranges_hold_equal_bytes(spark):
+    rows = [(None, "n")] * 300 + [(7, "same text")] * 300 + [(7, text(i, 5)) for i in range(300)] + [(i, "x" * (5000 if i % 100 == 0 else 10)) for i in range(1000, 1800)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = workspace(spark, "t")
+    edges = rans._edges(table, 8000, folder)
+    dealt = rans._ordered(table).toPandas()
+    dealt["part"] = rans.route(edges, *(dealt[c].to_numpy() for c in ("known", "id", "tie", "salt")))
+    sizes = dealt.groupby("part").text.agg(lambda t: sum(len(x) + 64 for x in t))
+    assert len(sizes) > 10 and sizes.max() < 2 * 8000
+    by = dealt.sort_values(["known", "id", "tie", "salt"])
+    assert (np.diff(by.part) >= 0).all()
+
+
 def test_rans_files(spark, docs, no_docs):
+    import xxhash
+
     folder = workspace(spark, "t")
     rows = docs.select("doc_id", "text")
     ranges = rans.tokenised(rows, WORDS, 1, f"{folder}/s")
     files, freq = rans.write_files(ranges, f"{folder}/s", f"{folder}/f")
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in rans.read_files(files, f"{folder}/f", freq).collect())
-    order = sorted(((i is not None, i or 0, t, ids) for (i, t), (_, ids) in zip(plain(docs), library_ids(docs), strict=True)), key=lambda r: r[:3])
+    order = sorted(((i is not None, i or 0, np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64), ids) for (i, t), (_, ids) in zip(plain(docs), library_ids(docs), strict=True)), key=lambda r: r[:3])
     want, start = [], 0
     for known, i, _, ids in order:
         data = [*ids, 1]
@@ -305,6 +375,28 @@ def test_rans_files(spark, docs, no_docs):
     assert rans.read_files(files, f"{folder}/ef", freq).count() == 0
 
 
+def test_work_folder_where_none_is_set(spark, tmp_path):
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession; from busloom.llm.common import workspace, staged; from busloom.sources.sinks import scratch\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert not s.conf.get('spark.checkpoint.dir', None); a = workspace(s, 'x'); assert staged(s.range(3), 'y', a).count() == 3\n"
+        "assert scratch(s, 'x').startswith('file:') and not s.conf.get('spark.checkpoint.dir', None)"
+    )
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}
+    subprocess.run([sys.executable, "-c", code], env=env, check=True, timeout=120, cwd=tmp_path)
+
+
+def test_files_under_hadoops_names_of_s3():
+    asked = {"s3a://b/k": "s3://b/k", "s3n://b/k": "s3://b/k", "file:///x": "file:///x", "hdfs://h/x": "hdfs://h/x"}
+    assert {u: wordpieces.opened_as(u) for u in asked} == asked
+
+
 # 8
 def split_words(t):
     import re
@@ -419,6 +511,22 @@ def test_poisson_mix(spark, docs, no_docs):
     assert mixing.mixed(no_docs).count() == 0
 
 
+def test_poisson_table_at_any_rate(spark):
+    rows = spark.createDataFrame([(str(r), float(r)) for r in (0.0, 0.3, 7.0, 900.0, 250_000.0)], "_key string, _rate double")
+    for r in mixing.poisson_table(rows).collect():
+        rate = float(r._key)
+        want = [math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) if rate else float(k == 0) for k in range(r._first, r._first + len(r._cdf))]
+        np.testing.assert_allclose(r._cdf, np.cumsum(want), rtol=0, atol=1e-8)
+        assert len(r._cdf) < 30 * math.sqrt(rate) + 70
+
+
+def test_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    table = spark.createDataFrame([(i, "a") for i in range(500)] + [(900, "b")], "doc_id long, source string")
+    got = mixing.mixed(table, {"a": 1.0, "b": 9.0}).where("source = 'b'").collect()
+    assert sorted(r["copy"] for r in got) == list(range(got[0].copies)) and abs(len(got) - 451) < 120
+
+
 # 10
 def brute_classes(texts):
     sets = []
@@ -453,6 +561,34 @@ def test_jaccard_join(spark, docs, no_docs, monkeypatch, small):
         assert Counter((r.doc_id, r.text) for r in kept) <= Counter(texts) and len(kept) == sum(r.kept for r in got)
 
 
+def test_jaccard_pairs_near_the_threshold_are_found(spark):
+    rng = np.random.default_rng(12)
+    texts, want = [], []
+    for i in range(2500):  # one changed word in the middle costs 5 of 100 - 130 shingles on each side; two or so are changed
+        words = [f"w{x}" for x in rng.integers(0, 50_000, int(rng.integers(60, 200)))]
+        other = list(words)
+        changes = int((len(words) - 4) * 0.107 // 5)
+        for at in np.linspace(5, len(words) - 6, max(1, changes)).astype(int):
+            other[at] = f"z{i}"
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (words, other))
+        want.append(len(a & b) / len(a | b) >= 0.8)
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    texts += [(10_000 + i, text(10_000 + i, 120)) for i in range(5000)]
+    got = {r.doc_id: r for r in jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    linked = np.array([got[2 * i + 1].class_id == 2 * i for i in range(2500)])
+    want = np.array(want)
+    assert want.sum() > 1000 and linked[want].mean() >= 0.99 and not linked[~want].any()
+    assert all(got[i].n_links == 0 for i in range(10_000, 15_000))
+
+
+def test_jaccard_of_a_chain_of_texts(spark):
+    base = [f"w{i}" for i in range(2200)]
+    texts = [(i, " ".join(base[5 * i : 5 * i + 100])) for i in range(400)]  # neighbours share 91 of 101 shingles, those two apart 86 of 106
+    links, roots = brute_classes([t for _, t in texts])
+    got = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_links, r.class_id) for r in got) == Counter((i, n, int(r)) for (i, _), n, r in zip(texts, links, roots, strict=True))
+
+
 def test_enough_runs():
     assert jaccard.plan_runs(0.8, 0.995, 1) < jaccard.plan_runs(0.8, 0.995, 3) < 20
 
