@@ -8,29 +8,47 @@ from pyspark.sql import functions as F
 from busloom.llm import bytepair, common, jaccard, mixing, toxicity
 
 
+NAMED = ("doc_id", "text", "source")
+
+
+def plainly(docs: DataFrame) -> DataFrame:
+    """docs with every column that a stage doesn't read numbered, so that no name, whatever it holds, meets a stage's own."""
+    return docs.toDF(*[c if c in NAMED else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the factorization machine, fitted on the labelled ones among them, scores below 1/2."""
+    """The documents that the factorization machine, fitted on the labelled ones among them, scores below 1/2.
+
+    Null and empty texts have no terms and stay. Without labels, and of an empty table, all rows stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.fit(*toxicity.training(docs, labels))
-    return toxicity.scored(docs, model, out="_toxicity_score").where(F.col("_toxicity_score") < 0.5).select(docs.columns)
+    plain = plainly(docs)
+    model = toxicity.fit(*toxicity.training(plain, labels))
+    return toxicity.scored(plain, model, out="toxicity").where(F.col("toxicity") < 0.5).drop("toxicity").toDF(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class that links of five-word shingles at a Jaccard similarity of 0.8 and more make: the one of least doc_id."""
-    return jaccard.deduplicated(docs)
+    """One document of each class that links of five-word shingles at a Jaccard similarity of 0.8 and more make: the one of least doc_id.
+
+    Null, empty and blank texts have no shingles and stay.
+    """
+    return jaccard.deduplicated(plainly(docs)).toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents, so that sources have their target shares in expectation, in globally shuffled order."""
-    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))  # so that no other column's name matters
-    return mixing.mixed(whole).sortWithinPartitions("position").select("row.*")
+    """Copies of documents, so that sources have their target shares in expectation, in globally shuffled order.
+
+    Null sources are one source. An empty table stays empty.
+    """
+    plain = plainly(docs)
+    return mixing.mixed(plain).sortWithinPartitions("position").select(plain.columns).toDF(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each copy the byte-level BPE ids' number and digest, and the digest of what they decode to."""
+    """Of each copy the byte-level BPE ids' number and digest, and the digest of what they decode to. Null texts are empty."""
     import public_tokenizers
 
-    return bytepair.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bytepair.digests(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("toxicity", without_toxic), ("near duplicates", without_near_duplicates), ("mixing", mixed), ("encoding", encoded)]
