@@ -276,6 +276,7 @@ def write_files(ranges: DataFrame, staging: str, folder: str) -> tuple[DataFrame
     """Encodes each staged range into a token file of folder. Returns part, file, n_tokens (written once) and the frequencies.
 
     The frequencies come from all ids: a row for each id of the vocabulary reaches the driver, whatever the corpus.
+    No ranges give no files; null doc_ids are kept as null in a file's footer.
     """
     spark = ranges.sparkSession
     sums = ranges.select(F.posexplode("counts").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n")).collect()
@@ -309,7 +310,10 @@ def write_files(ranges: DataFrame, staging: str, folder: str) -> tuple[DataFrame
 
 
 def read_files(files: DataFrame, folder: str, freq: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files' blocks; a damaged block is an error."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files' blocks; a damaged block is an error.
+
+    No files give no rows. Rows of null and of equal ids each have their own.
+    """
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(freq)
     # a row for each file: ids before it

@@ -46,7 +46,8 @@ def scan_blocks(spark: SparkSession, folder: str, end_id: int, block_tokens: int
     """One row for each block of each flat file: how it cuts into documents, as seen from inside the block.
 
     file, block, tokens, ends (end_ids in it), head (tokens before the first end_id), last (tokens up to and with the
-    last end_id, null without one), inner (tokens between neighbouring end_ids).
+    last end_id, null without one), inner (tokens between neighbouring end_ids). A folder without files, or with empty
+    ones, has no blocks.
     """
     from pyarrow import fs as pafs
 
@@ -89,7 +90,7 @@ def stitch(blocks: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
     Before a block lie the sum of the earlier blocks' end_ids, and the place after the latest of them; what lies
     between that place and the block belongs to the document that ends with the block's first end_id. Tokens after a
-    file's last end_id are a last document without one.
+    file's last end_id are a last document without one. No blocks give no documents.
     """
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")

@@ -221,6 +221,23 @@ def test_sharding(spark, docs, no_docs):
     assert sharding.interleave(no_docs, 4).count() == 0
 
 
+def test_sharding_by_hand(spark, docs):
+    digest = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    first = lambda x: (x is not None, x or 0)  # noqa: E731  nulls come first
+    rows = [(digest(f"shard-1|{'' if r.doc_id is None else r.doc_id}"), first(r.doc_id), len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), "n" if r.source is None else f"s:{r.source}") for r in docs.collect()]
+    placed = []
+    for stratum in {r[4] for r in rows}:
+        own = sorted(r for r in rows if r[4] == stratum)
+        phase = digest(f"shard-1-phase|{stratum}") / 2.0**60
+        placed += [((k + phase) / len(own), stratum, r) for k, r in enumerate(own)]
+    n, want = len(rows), []
+    for position, (_, _, r) in enumerate(sorted(placed)):
+        shard = position * 8 // n
+        want.append((r[1], r[2], r[3], r[4], shard, position - -(-shard * n // 8)))
+    got = [(first(r.doc_id), r.size, r.text_crc32, r.stratum, r.shard, r.slot) for r in sharding.interleave(docs, 8).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_sharding_keeps_the_mixture(spark):
     rows = [(i, "t", "big" if i % 10 else "small") for i in range(1000)]
     got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), 8).collect()
