@@ -272,7 +272,7 @@ def ranked_members(train: DataFrame, test: DataFrame, kinds: tuple[str, ...], fe
 
 def stacked(train: DataFrame, test: DataFrame, kinds: tuple[str, ...], features: list[str], key: list[str], folds: int = 3, effort: Effort = FULL) -> DataFrame:
     """test with score: a logistic model of the members' scores, fitted on scores of rows that the member hasn't seen."""
-    dealt = splits.stratified_folds(train, folds, key, seed="stack")
+    dealt = splits.stratified_folds(train, folds, key, seed="stack").persist()  # each fit reads it
     jobs = [(k, f) for k in kinds for f in [*range(folds), None]]
     part = lambda f: dealt if f is None else dealt.where(F.col("fold") != f)
     fitted = dict(zip(jobs, side_by_side([lambda k=k, f=f: learner(k, features, effort=effort).fit(part(f), key) for k, f in jobs]), strict=True))
@@ -284,7 +284,7 @@ def stacked(train: DataFrame, test: DataFrame, kinds: tuple[str, ...], features:
             whole = whole.unionByName(p)
         unseen = whole if unseen is None else unseen.join(whole.drop("y"), key)
         test = fitted[k, None].score(test, m)
-    return Learner("LogReg", members, effort=effort).fit(unseen).score(test)
+    return Learner("LogReg", members, effort=effort).fit(unseen.persist()).score(test)
 
 
 def detectors(feature_set: str, cross: bool) -> list[tuple[str, str]]:

@@ -696,6 +696,8 @@ def _(spark, d):
 
 #: What the queries below fit: a fiftieth of the settings' rounds and shallow trees, so that a run takes minutes; the library's default is the whole.
 QUICK = learners.Effort(0.02, 5)
+#: The ensembles fit up to 16 members for each target: 3 rounds of three levels each.
+QUICK_MEMBERS = learners.Effort(0.006, 3)
 
 
 def _ranked(scored: DataFrame, name: str, target: str) -> DataFrame:
@@ -730,14 +732,14 @@ for _n, _k in (("l1_logistic", "LogReg"), ("l2_random_forest", "RandomForest"),
 for _n, _k in (("e1_rank_average", "Ens:RankAvg-Trees"), ("e1_rank_average_hybrid", "Ens:RankAvg-Hybrid")):
 
     def _average(spark, d, k=_k):
-        return _each_target(spark, d, k, lambda train, test, fs: learners.ranked_members(train, test, learners.ENSEMBLES[k], fs, jobs.KEY, QUICK))
+        return _each_target(spark, d, k, lambda train, test, fs: learners.ranked_members(train, test, learners.ENSEMBLES[k], fs, jobs.KEY, QUICK_MEMBERS))
 
     query(_n)(_average)
 
 
 @query("e2_stacking")
 def _(spark, d):
-    return _each_target(spark, d, "Ens:Stack-Trees", lambda train, test, fs: learners.stacked(train, test, learners.ENSEMBLES["Ens:Stack-Trees"], fs, jobs.KEY, effort=QUICK))
+    return _each_target(spark, d, "Ens:Stack-Trees", lambda train, test, fs: learners.stacked(train, test, learners.ENSEMBLES["Ens:Stack-Trees"], fs, jobs.KEY, effort=QUICK_MEMBERS))
 
 
 @query("g3_batched_scoring")
