@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from busloom.llm import bytepair, jaccard, kneserney, mixing, rans, sharding, tokencount, topk, toxicity, vectorlinks
+from busloom.llm import bytepair, convtrie, fim, jaccard, kneserney, mixing, rans, sharding, tokencount, topk, toxicity, triebpe, vectorlinks
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_kneser_ney": kneserney.op8,
         "op9_poisson_mix": mixing.op9,
         "op10_jaccard_join": jaccard.op10,
+        "op11_fill_in_middle": fim.op11,
+        "op12_trie_bpe": triebpe.op12,
+        "op13_conversation_trie": convtrie.op13,
     }
 
 
@@ -49,7 +52,14 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, l.b FROM
 c AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a), k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT doc_id, coalesce(n_links, 0)::BIGINT AS n_links, class_id, doc_id = class_id AS kept FROM c LEFT JOIN k USING (doc_id)"""
 
+_MIDDLE = r"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, len(u) AS n, [('0x' || substr(d, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS h FROM u),
+f AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b, CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c"""
+
 
 def oracle_sql():
     """DuckDB SQL of those that it can express: DuckDB has no crc32, no tokenizers and no fitted models."""
-    return {"op2_topk_cover_tree": _TOP_K, "op4_embedding_links": _LINKS, "op9_poisson_mix": _MIX, "op10_jaccard_join": _JACCARD}
+    return {"op2_topk_cover_tree": _TOP_K, "op4_embedding_links": _LINKS, "op9_poisson_mix": _MIX, "op10_jaccard_join": _JACCARD, "op11_fill_in_middle": _MIDDLE}
