@@ -7,8 +7,10 @@ import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bits of the hashes that order rows; they stay positive in a signed long.
 HASH_BITS = 60
@@ -65,3 +67,20 @@ def ranked(df: DataFrame, by: list[str], bin_col: str, order: list, out: str) ->
     joined = df.join(offsets, [*by, bin_col])
     within = Window.partitionBy(*by, bin_col).orderBy(*order)
     return joined.withColumn(out, F.col("_before") + F.row_number().over(within) - 1).drop("_before")
+
+
+def with_column(df: DataFrame, make, kind: DataType, out: str, reads: str) -> DataFrame:
+    """Adds out, or replaces it: make(batches, position of reads) gives Arrow batches of df's columns but out, and out after them.
+
+    Columns are numbered on the way, as mapInArrow can't see names with dots.
+    """
+    kept = [f for f in df.schema.fields if f.name.lower() != out.lower() or f.name == reads]
+    at = [f.name for f in kept].index(reads)
+    shape = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate([*kept, StructField(out, kind)])])
+    numbered = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
+    return numbered.mapInArrow(lambda batches: make(batches, at), shape).toDF(*[f.name for f in kept], out)
+
+
+def extended(columns: list, more) -> pa.RecordBatch:
+    """A batch of numbered columns, with one after them."""
+    return pa.RecordBatch.from_arrays([*columns, more], names=[f"c{i}" for i in range(len(columns) + 1)])

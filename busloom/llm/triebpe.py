@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import json
 from array import array
@@ -12,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from busloom.llm.bytepair import FLUSH_BYTES, RUN, _groups, _lists, splitters
+from busloom.llm.common import extended, with_column
 
 #: Nodes after which a worker's trie starts afresh; a word of more bytes has a path of its own, outside the trie.
 TRIE_NODES, LONG = 700_000, 256
@@ -225,18 +228,15 @@ def encoded(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text"
     columns stay, a column called out is replaced. Row by row: no shuffle, whole texts; a worker's memory is bounded by
     one text and its ids, TRIE_NODES, MEMO_WORDS and MEMO_PAIRS.
     """
-    rest = [c for c in df.columns if c.lower() != out.lower()]
-    shape = df.select(*[F.col(f"`{c}`") for c in rest], F.lit(None).cast("array<int>").alias(out)).schema
-    at, described = rest.index(text_col), df.sparkSession.sparkContext.broadcast(_described(vocabulary))
+    described = df.sparkSession.sparkContext.broadcast(_described(vocabulary))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(described.value, pattern)
         for batch in batches:
             for start, texts in _groups(batch.column(at)):
-                ids = _lists([encoder.encode(t) for t in texts])
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, len(texts)) for c in batch.columns), ids], names=[*rest, out])
+                yield extended([c.slice(start, len(texts)) for c in batch.columns], _lists([encoder.encode(t) for t in texts]))
 
-    return df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, shape)
+    return with_column(df, run, ArrayType(IntegerType()), out, text_col)
 
 
 @functools.lru_cache(maxsize=1)
@@ -267,11 +267,9 @@ def decoded(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "de
 
     Other columns stay, a column called out is replaced.
     """
-    rest = [c for c in df.columns if c.lower() != out.lower()]
-    shape = df.select(*[F.col(f"`{c}`") for c in rest], F.lit(None).cast("string").alias(out)).schema
-    at, described = rest.index(ids_col), df.sparkSession.sparkContext.broadcast(_described(vocabulary))
+    described = df.sparkSession.sparkContext.broadcast(_described(vocabulary))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         table = _bytes_of(described.value)
         for batch in batches:
             lists = batch.column(at)
@@ -281,28 +279,24 @@ def decoded(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "de
                 texts.append("" if ids is None else text_of(ids.to_numpy(zero_copy_only=False), *table))
                 held += len(texts[-1])
                 if held >= FLUSH_BYTES or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(texts)) for c in batch.columns), pa.array(texts, pa.string())], names=[*rest, out])
+                    yield extended([c.slice(start, len(texts)) for c in batch.columns], pa.array(texts, pa.string()))
                     start, texts, held = i + 1, [], 0
 
-    return df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, shape)
+    return with_column(df, run, StringType(), out, ids_col)
 
 
 def ids_digest(df: DataFrame, ids_col: str = "ids", out: str = "ids_sha256") -> DataFrame:
-    """Replaces ids_col by out: the sha256 of the ids as little-endian 32-bit integers, in hexadecimal digits."""
-    import hashlib
+    """Adds out: the sha256 of the ids as little-endian 32-bit integers, in hexadecimal digits; null ids are none."""
 
-    rest = [c for c in df.columns if c not in (ids_col, out)]
-    shape = df.select(*[F.col(f"`{c}`") for c in rest], F.lit("").alias(out)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(ids_col)
+            lists = batch.column(at)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
             made = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in itertools.pairwise(ends)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(made, pa.string())], names=[*rest, out])
+            yield extended(batch.columns, pa.array(made, pa.string()))
 
-    return df.mapInArrow(run, shape)
+    return with_column(df, run, StringType(), out, ids_col)
 
 
 def op12(spark, sf_dir: str) -> DataFrame:
