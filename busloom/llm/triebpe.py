@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import itertools
 import json
 from array import array
@@ -13,15 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
 
 from busloom.llm.bytepair import FLUSH_BYTES, RUN, _groups, _lists, splitters
 from busloom.llm.common import extended, with_column
 
 #: Nodes after which a worker's trie starts afresh; a word of more bytes has a path of its own, outside the trie.
-TRIE_NODES, LONG = 700_000, 256
+TRIE_NODES, LONG = 400_000, 256
 #: Words and pairs of tokens that a worker remembers before it starts afresh.
-MEMO_WORDS, MEMO_PAIRS = 400_000, 700_000
+MEMO_WORDS, MEMO_PAIRS = 300_000, 400_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -45,10 +44,10 @@ class Vocabulary:
             raise ValueError(f"no plain byte-level BPE: {odd}")
         chars = byte_of_char()
         self.ids = {bytes(chars[c] for c in token): i for token, i in model["vocab"].items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # left << 32 | right -> rank << 32 | result
         for rank, merge in enumerate(model["merges"]):
             left, right = (bytes(chars[c] for c in part) for part in (merge if isinstance(merge, list) else merge.split(" ")))
-            self.merges.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
+            self.merges.setdefault(self.ids[left] << 32 | self.ids[right], rank << 32 | self.ids[left + right])
         self.added = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
 
@@ -65,76 +64,87 @@ class TrieEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.longest = max(map(len, vocabulary.ids))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self._bare()
 
     def _bare(self) -> None:
-        """The trie with its root alone."""
-        self.children: list[dict[int, int]] = [{}]
+        """The trie with its root alone. A child is found by node * 256 + byte."""
+        self.children: dict[int, int] = {}
         self.last, self.before = array("i", [-1]), array("i", [-1])
 
-    def _merged(self, ids: list[int]) -> list[int]:
-        """BPE by its definition: the merge of least rank, leftmost first, until none is left. For single pairs of tokens."""
-        merges = self.v.merges
+    def _stays(self, left: bytes, right: bytes) -> bool:
+        """Whether BPE, by its definition, merges all of left and all of right and never across: the merge of least rank, leftmost first."""
+        get = self.v.merges.get
+        ids = [self.v.ids[bytes([b])] for b in left + right]
+        edge = len(left)  # tokens on the left
         while True:
-            best = min(((merges[p][0], i) for i, p in enumerate(itertools.pairwise(ids)) if p in merges), default=None)
-            if best is None:
-                return ids
-            i = best[1]
-            ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
+            least, at = 1 << 63, -1
+            for i in range(len(ids) - 1):
+                merge = get(ids[i] << 32 | ids[i + 1])
+                if merge is not None and merge < least:
+                    least, at = merge, i
+            if at < 0:
+                return len(ids) == (2 if left else 1)
+            if left and at == edge - 1:
+                return False
+            edge -= at < edge - 1
+            ids[at : at + 2] = [least & 0xFFFFFFFF]
 
     def adjacent(self, left: int, right: int) -> bool:
         """Whether BPE makes just these two tokens of their joined bytes; left -1 is a word's start: whether it makes right of its bytes."""
-        key = left, right
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            whole = (b"" if left < 0 else self.v.tokens[left]) + self.v.tokens[right]
-            known = self.pairs[key] = self._merged([self.v.ids[bytes([b])] for b in whole]) == ([right] if left < 0 else [left, right])
+            tokens = self.v.tokens
+            known = self.pairs[key] = key not in self.v.merges and self._stays(b"" if left < 0 else tokens[left], tokens[right])
         return known
 
-    def _end(self, word: bytes, end: int, last) -> tuple[int, int]:
-        """The last token of word[:end] and where it begins; last[i] is the last token of word[:i]."""
-        ids, adjacent = self.v.ids, self.adjacent
+    def _end(self, word: bytes, end: int, path, last) -> tuple[int, int]:
+        """The last token of word[:end] and where it begins; last[path[i]] is the last token of word[:i]."""
+        get, pairs = self.v.ids.get, self.pairs
         for begin in range(max(0, end - self.longest), end):
-            token = ids.get(word[begin:end])
-            if token is not None and adjacent(last[begin], token):
-                return token, begin
+            token = get(word[begin:end])
+            if token is not None:
+                before = last[path[begin]]
+                known = pairs.get(before << 32 | token)
+                if known or known is None and self.adjacent(before, token):
+                    return token, begin
         raise ValueError("the vocabulary has no token for a byte")
 
     def _insert(self, words: list[bytes]) -> list[int]:
         """The words' nodes. Words come in order, so each is a step of a depth-first walk: the path shared with the one before it
         stays, and states are handed on along what is new."""
-        path, last, nodes, prior = [0], [-1], [], b""
-        children = self.children
+        path, nodes, prior = [0], [], b""
+        children, last, before = self.children, self.last, self.before
         for word in words:
             shared = 0
             for a, b in zip(prior, word, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del path[shared + 1 :], last[shared + 1 :]
+            del path[shared + 1 :]
+            node = path[-1]
             for depth in range(shared, len(word)):
-                node = children[path[-1]].get(word[depth])
+                step = node << 8 | word[depth]
+                node = children.get(step)
                 if node is None:
-                    token, begin = self._end(word, depth + 1, last)
-                    node = children[path[-1]][word[depth]] = len(children)
-                    children.append({})
-                    self.last.append(token)
-                    self.before.append(path[begin])
+                    token, begin = self._end(word, depth + 1, path, last)
+                    node = children[step] = len(last)
+                    last.append(token)
+                    before.append(path[begin])
                 path.append(node)
-                last.append(self.last[node])
-            nodes.append(path[-1])
+            nodes.append(node)
             prior = word
         return nodes
 
     def _alone(self, word: bytes) -> list[int]:
         """Ids of one long word, along a path of its own."""
-        last, begins = array("i", [-1]), array("q", [0])
+        last, begins, path = array("i", [-1]), array("q", [0]), range(len(word) + 1)
         for end in range(1, len(word) + 1):
-            token, begin = self._end(word, end, last)
+            token, begin = self._end(word, end, path, last)
             last.append(token)
             begins.append(begin)
         ids, at = [], len(word)
@@ -149,7 +159,7 @@ class TrieEncoder:
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
             new = list(words)
-        if len(self.children) > TRIE_NODES:
+        if len(self.last) > TRIE_NODES:
             self._bare()
         by_bytes = sorted((w.encode(), w) for w in new)
         short = [(b, w) for b, w in by_bytes if len(b) <= LONG]
@@ -164,10 +174,10 @@ class TrieEncoder:
             if len(b) > LONG:
                 self.memo[word] = array("i", self._alone(b)).tobytes()
 
-    def words(self, words: list[str]) -> bytes:
-        """The ids of a sequence of words, packed."""
-        self._learn(set(words))
-        return b"".join(map(self.memo.__getitem__, words))
+    def encode(self, runs: list[list[str]]) -> list[bytes]:
+        """The ids of each run of words, packed. All runs' words are put into the trie together."""
+        self._learn(set(itertools.chain.from_iterable(runs)))
+        return [b"".join(map(self.memo.__getitem__, run)) for run in runs]
 
 
 class TextEncoder:
@@ -189,23 +199,40 @@ class TextEncoder:
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
     def _runs(self, text: str) -> Iterator[list[str]]:
-        if self.far.search(text):
-            matches = (text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text))
+        """The text's words, up to RUN of them at once."""
+        if text.isascii() or not self.far.search(text):
+            pattern = self.ascii if text.isascii() else self.general
+            if len(text) <= RUN:
+                yield pattern.findall(text)
+                return
+            matches = (m[0] for m in pattern.finditer(text))
         else:
-            matches = (m[0] for m in (self.ascii if text.isascii() else self.general).finditer(text))
+            matches = (text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text))
         while run := list(itertools.islice(matches, RUN)):
             yield run
 
-    def _plain(self, text: str) -> bytes:
-        if text.isascii() and len(text) <= RUN:
-            return self.trie.words(self.ascii.findall(text))
-        return b"".join(map(self.trie.words, self._runs(text)))
-
-    def encode(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[str | int]:
+        """Added tokens as their ids, and what stands between them."""
         if self.cut is None or not self.cut.search(text):
-            return self._plain(text)
-        parts = self.cut.split(text)
-        return b"".join(array("i", [self.added[p]]).tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts))
+            return [text]
+        return [self.added[p] if i % 2 else p for i, p in enumerate(self.cut.split(text))]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, packed. Texts of up to RUN characters share a round of learning."""
+        out: list[bytes] = []
+        for long, group in itertools.groupby(texts, key=lambda t: len(t) > RUN):
+            if long:
+                out += [b"".join(self._long(part) for part in self._cut(t)) for t in group]
+            else:
+                parts = [self._cut(t) for t in group]
+                plain = [p for cut in parts for p in cut if isinstance(p, str)]
+                runs = iter(self.trie.encode([list(itertools.chain.from_iterable(self._runs(p))) for p in plain]))
+                out += [b"".join(next(runs) if isinstance(p, str) else array("i", [p]).tobytes() for p in cut) for cut in parts]
+        return out
+
+    def _long(self, part: str | int) -> bytes:
+        """One run of words after the other."""
+        return array("i", [part]).tobytes() if isinstance(part, int) else b"".join(self.trie.encode([run])[0] for run in self._runs(part))
 
 
 @functools.lru_cache(maxsize=1)
@@ -219,8 +246,9 @@ def _described(path: str) -> str:
         return f.read()
 
 
-def encoded(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Adds out: array<int>, the ids that the tokenizers library gives the text without special tokens around it, truncation or padding.
+def encoded(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out: str = "ids", packed: bool = False) -> DataFrame:
+    """Adds out: array<int>, the ids that the tokenizers library gives the text without special tokens around it, truncation or
+    padding; packed, binary instead, the ids as little-endian 32-bit integers.
 
     vocabulary is the path of a byte-level BPE file, read on the driver; its content, of bounded size (some 50 bytes a token),
     goes to the workers. pattern cuts texts into words. Strings of added tokens in a text become those tokens, as in the
@@ -234,9 +262,10 @@ def encoded(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text"
         encoder = _encoder(described.value, pattern)
         for batch in batches:
             for start, texts in _groups(batch.column(at)):
-                yield extended([c.slice(start, len(texts)) for c in batch.columns], _lists([encoder.encode(t) for t in texts]))
+                ids = encoder.encode(texts)
+                yield extended([c.slice(start, len(texts)) for c in batch.columns], pa.array(ids, pa.binary()) if packed else _lists(ids))
 
-    return with_column(df, run, ArrayType(IntegerType()), out, text_col)
+    return with_column(df, run, BinaryType() if packed else ArrayType(IntegerType()), out, text_col)
 
 
 @functools.lru_cache(maxsize=1)
@@ -263,7 +292,8 @@ def text_of(ids: np.ndarray, begin: np.ndarray, length: np.ndarray, flat: np.nda
 
 
 def decoded(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds out: the text of the ids in ids_col, special tokens and all; null ids give the empty text, an unknown id is an error.
+    """Adds out: the text of the ids in ids_col (array<int>, or packed), special tokens and all; null ids give the empty text, an
+    unknown id is an error.
 
     Other columns stay, a column called out is replaced.
     """
@@ -272,11 +302,15 @@ def decoded(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "de
     def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         table = _bytes_of(described.value)
         for batch in batches:
-            lists = batch.column(at)
-            start, texts, held = 0, [], 0
+            lists, start, texts, held = batch.column(at), 0, [], 0
+            packed = pa.types.is_binary(lists.type) or pa.types.is_large_binary(lists.type)
             for i in range(batch.num_rows):
-                ids = lists[i].values
-                texts.append("" if ids is None else text_of(ids.to_numpy(zero_copy_only=False), *table))
+                if packed:
+                    ids = np.frombuffer(lists[i].as_py() or b"", "<i4")
+                else:
+                    ids = lists[i].values
+                    ids = np.zeros(0, np.int64) if ids is None else ids.to_numpy(zero_copy_only=False)
+                texts.append(text_of(ids, *table))
                 held += len(texts[-1])
                 if held >= FLUSH_BYTES or i + 1 == batch.num_rows:
                     yield extended([c.slice(start, len(texts)) for c in batch.columns], pa.array(texts, pa.string()))
@@ -285,26 +319,16 @@ def decoded(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "de
     return with_column(df, run, StringType(), out, ids_col)
 
 
-def ids_digest(df: DataFrame, ids_col: str = "ids", out: str = "ids_sha256") -> DataFrame:
-    """Adds out: the sha256 of the ids as little-endian 32-bit integers, in hexadecimal digits; null ids are none."""
-
-    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(at)
-            values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
-            made = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in itertools.pairwise(ends)]
-            yield extended(batch.columns, pa.array(made, pa.string()))
-
-    return with_column(df, run, StringType(), out, ids_col)
-
-
 def op12(spark, sf_dir: str) -> DataFrame:
     """Every document encoded with the public 50k byte-level tokenizer and decoded again."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decoded(encoded(docs, path, public_tokenizers.PATTERN).drop("text"), path)
-    sized = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return ids_digest(sized).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    both = decoded(encoded(docs, path, public_tokenizers.PATTERN, packed=True).drop("text"), path)
+    return both.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
