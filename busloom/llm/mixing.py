@@ -13,6 +13,8 @@ from busloom.llm.common import HASH_BITS, bins_for, ordered_hash, ranked, staged
 MAX_BROADCAST_RATES, MAX_BROADCAST_VALUES = 20_000, 2_000_000
 #: Copies of a document that are made of one row at once.
 COPIES = 1 << 16
+#: What mixed() adds.
+ADDED = ("copies", "copy", "position")
 #: Exponent on a source's share of rows in the default target weights.
 TEMPERATURE = 0.7
 
@@ -68,9 +70,12 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, stratum: str
     The number is the Poisson distribution inverted at a uniform value hashed from (seed, id): the same document always
     gets the same number, whatever the partitioning. Rows with equal ids get equal numbers; null ids share one value.
     Null sources form one source. Adds copies, copy (from 0) and position: copies are ordered by a hash of
-    (seed, id, copy), a global shuffle, numbered gaplessly from 0. Columns of docs stay as they are (names beginning
-    with _ and the three added names are reserved). An empty table gives an empty result.
+    (seed, id, copy), a global shuffle, numbered gaplessly from 0. Columns of docs stay, whatever their names; those called
+    as an added one are replaced. An empty table gives an empty result.
     """
+    names = docs.columns
+    id_col, stratum = (f"c{names.index(c)}" for c in (id_col, stratum))
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     table = staged(poisson_table(rates(docs, weights, stratum, temperature, epochs)), "rates")
     size = table.agg(F.count(F.lit(1)), F.sum(F.size("_cdf"))).first()
     small = size[0] <= MAX_BROADCAST_RATES and (size[1] or 0) <= MAX_BROADCAST_VALUES
@@ -92,10 +97,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, stratum: str
         .withColumn("_h", ordered_hash(id_col, "copy", seed=f"{seed}-order"))
         .withColumn("_bin", F.shiftright("_h", HASH_BITS - (bins.bit_length() - 1)).cast("int"))
     )
-    return ranked(copies, [], "_bin", ["_h", id_col, "copy"], "position").drop("_h", "_bin")
+    placed = ranked(copies, [], "_bin", ["_h", id_col, "copy"], "position")
+    return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in ADDED], *ADDED)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """The documents mixed to shares that grow as a source's rows to the power TEMPERATURE."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return mixed(docs).select("doc_id", "source", "copies", "copy", "position")
+    """The documents, texts and all, mixed to shares that grow as a source's rows to the power TEMPERATURE; texts as digests."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return mixed(docs).select("doc_id", "source", "copies", "copy", "position", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))

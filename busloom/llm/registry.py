@@ -34,14 +34,14 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT reach.a, l.b FROM
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
 
-_MIX = """WITH h AS (SELECT doc_id, source, ('0x' || substr(md5('mix-1|' || doc_id), 1, 15))::BIGINT / 1152921504606846976e0 AS u FROM documents),
+_MIX = """WITH h AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, ('0x' || substr(md5('mix-1|' || doc_id), 1, 15))::BIGINT / 1152921504606846976e0 AS u FROM documents),
 n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, (n::DOUBLE ** 0.7e0) / (SELECT sum(n::DOUBLE ** 0.7e0) FROM n) * (SELECT sum(n)::BIGINT FROM n) / n AS rate FROM n),
 p AS (SELECT source, k, exp(-rate + k * ln(rate) - sum(ln(greatest(k, 1)::DOUBLE)) OVER (PARTITION BY source ORDER BY k)) AS p FROM r, range(0, 60) t(k)),
 f AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM p),
-c AS (SELECT doc_id, h.source, count(*) AS copies FROM h JOIN f ON h.source = f.source AND f.f <= h.u GROUP BY doc_id, h.source),
-e AS (SELECT doc_id, source, copies, unnest(range(copies)) AS copy FROM c)
-SELECT doc_id, source, copies::INT AS copies, copy::INT AS copy, row_number() OVER (ORDER BY substr(md5('mix-1-order|' || doc_id || '|' || copy), 1, 15), doc_id, copy) - 1 AS position FROM e"""
+c AS (SELECT doc_id, h.source, text_md5, count(*) AS copies FROM h JOIN f ON h.source = f.source AND f.f <= h.u GROUP BY doc_id, h.source, text_md5),
+e AS (SELECT doc_id, source, text_md5, copies, unnest(range(copies)) AS copy FROM c)
+SELECT doc_id, source, text_md5, copies::INT AS copies, copy::INT AS copy, row_number() OVER (ORDER BY substr(md5('mix-1-order|' || doc_id || '|' || copy), 1, 15), doc_id, copy) - 1 AS position FROM e"""
 
 _JACCARD = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s FROM w WHERE len(w) > 0),

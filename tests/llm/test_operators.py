@@ -238,6 +238,20 @@ def test_sharding_by_hand(spark, docs):
     assert sorted(got) == sorted(want)
 
 
+def test_shards_hold_whole_documents_in_order(spark, docs, no_docs):
+    path = workspace(spark, "shards")
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("slot", F.lit("mine"))
+    written = sharding.write_shards(odd, 4, path)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "", r.source or "")
+    assert sorted(map(key, written.select("row.*").collect())) == sorted(map(key, docs.collect()))
+    assert sorted((r.shard, r.slot) for r in written.collect()) == sorted((r.shard, r.slot) for r in sharding.interleave(docs, 4).collect())
+    assert {(r.row["a.b"], r.row["slot"]) for r in written.collect()} == {(1, "mine")}
+    for s in range(4):
+        slots = [r.slot for r in spark.read.parquet(f"{path}/shard={s}").coalesce(1).collect()]
+        assert sorted(slots) == list(range(len(slots)))
+    assert sharding.write_shards(no_docs, 4, workspace(spark, "shards")).count() == 0
+
+
 def test_sharding_keeps_the_mixture(spark):
     rows = [(i, "t", "big" if i % 10 else "small") for i in range(1000)]
     got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), 8).collect()
@@ -525,6 +539,10 @@ def test_poisson_mix(spark, docs, no_docs):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     assert {r.source for r in mixing.mixed(table, {"a": 1.0}).collect()} == {"a"}
     assert mixing.mixed(docs, epochs=3.0).columns[: len(docs.columns)] == docs.columns
+    odd = docs.withColumn("_key", F.lit("k")).withColumn("Copies", F.lit("mine")).withColumn("a.b", F.lit("d")).withColumn("c0", F.lit("z"))
+    plainly, named = (sorted(map(repr, m.select("doc_id", "text", "source", "copies", "copy").collect())) for m in (mixing.mixed(docs, epochs=3.0), mixing.mixed(odd, epochs=3.0)))
+    assert plainly == named and mixing.mixed(odd).columns == [*docs.columns, "_key", "a.b", "c0", *mixing.ADDED]
+    assert {(r._key, r["a.b"], r.c0) for r in mixing.mixed(odd, epochs=3.0).collect()} == {("k", "d", "z")}
     assert mixing.mixed(no_docs).count() == 0
 
 
