@@ -1,4 +1,4 @@
-"""Learned detectors: MLlib classifiers, forests of random cuts grown in tasks, rank averages and stacking, and the detector registry."""
+"""Learned detectors: MLlib classifiers, boosted trees, nets, forests of random cuts grown in tasks, rank averages and stacking, and the detector registry."""
 
 from __future__ import annotations
 
@@ -6,41 +6,41 @@ import math
 import pickle
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busloom.operators import rules, splits
+from busloom.operators import boosting, nets, rules, splits
 from busloom.settings import EPS
+from busloom.sources import sinks
 
-#: Windows that an isolation forest, or extremely randomised trees, are fitted on, at most.
-FOREST_ROWS = 20_000
+#: Windows that an isolation forest, or extremely randomised trees, are fitted on, at most: the protocol's greatest training pool, so
+#: that no job's pool is cut.
+FOREST_ROWS = 150_000
 #: Trees of an isolation forest and points of each, at most: fixed values of the detector.
 ISOLATION_TREES, TREE_POINTS = 200, 4096
-#: The families and their settings, fixed values of the detectors: trees, rounds or iterations, greatest depth, step, share of rows.
+#: The families with their rounds (trees, iterations or epochs) and greatest depth: fixed values of the detectors.
 SETTINGS = {
     "LogReg": {"rounds": 3000},
     "RandomForest": {"rounds": 300, "depth": 30},
     "ExtraTrees": {"rounds": 300, "depth": 64},
-    "HistGB": {"rounds": 300, "depth": 5, "step": 0.08, "share": 1.0},
-    "XGBoost": {"rounds": 400, "depth": 6, "step": 0.08, "share": 0.85},
-    "LightGBM": {"rounds": 500, "depth": 6, "step": 0.06, "share": 0.85},
-    "CatBoost": {"rounds": 500, "depth": 6, "step": 0.08, "share": 1.0},
-    "NN:MLP": {"rounds": 200},
+    **{k: {"rounds": g.rounds, "depth": g.depth} for k, g in boosting.FAMILIES.items()},
+    **{k: {"rounds": epochs} for k, (epochs, _) in nets.NETS.items()},
 }
-BOOSTED = ("HistGB", "XGBoost", "LightGBM", "CatBoost")
-#: The members of the ensembles. The hybrid's convolutional member has no counterpart here.
+#: The members of the ensembles.
 ENSEMBLES = {
     "Ens:RankAvg-Trees": ("XGBoost", "LightGBM", "RandomForest"),
     "Ens:Stack-Trees": ("XGBoost", "LightGBM", "RandomForest", "ExtraTrees"),
-    "Ens:RankAvg-Hybrid": ("XGBoost", "LightGBM", "RandomForest", "NN:MLP"),
+    "Ens:RankAvg-Hybrid": ("XGBoost", "LightGBM", "RandomForest", "NN:MLP", "NN:CNN1D"),
 }
+#: Kinds that read sequences of windows.
+SEQUENCE = {*nets.SEQUENCE, *[name for name, kinds in ENSEMBLES.items() if set(kinds) & set(nets.SEQUENCE)]}
 
 
 @dataclass(frozen=True)
@@ -84,20 +84,14 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("y") == 1, w1).otherwise(w0))
 
 
-def classifier(kind: str, seed: int, features: int, rows: int, effort: Effort = FULL):
-    """An MLlib estimator of the family. MLlib's boosted trees stand for all boosting libraries, with each one's rounds, depth,
-    step and share of rows; leaves are bounded by depth (31 and 63 leaves as 5 and 6 levels)."""
+def classifier(kind: str, seed: int, rows: int, effort: Effort = FULL):
+    """An MLlib estimator of the family."""
     column, rounds = {"featuresCol": "vector", "labelCol": "y"}, effort.rounds(kind)
     if kind == "LogReg":
         return LogisticRegression(**column, weightCol="weight", maxIter=rounds, regParam=1 / max(rows, 1))  # C = 1
     if kind == "RandomForest":
         return RandomForestClassifier(**column, weightCol="weight", numTrees=rounds, minInstancesPerNode=2, maxDepth=min(30, effort.levels(kind)), featureSubsetStrategy="sqrt", seed=seed)
-    if kind in BOOSTED:
-        s = SETTINGS[kind]
-        return GBTClassifier(**column, weightCol="weight", maxIter=rounds, maxDepth=effort.levels(kind), stepSize=s["step"], subsamplingRate=s["share"], seed=seed)
-    if kind == "NN:MLP":
-        return MultilayerPerceptronClassifier(**column, layers=[features, 128, 64, 2], maxIter=rounds, seed=seed)
-    raise ValueError(f"no learner is called {kind}")
+    raise ValueError(f"MLlib has no learner for {kind}")
 
 
 class Learner:
@@ -109,7 +103,7 @@ class Learner:
 
     def fit(self, rows: DataFrame, key: list[str] | None = None) -> Learner:
         self.by = scaling(rows, self.features)
-        made = classifier(self.kind, self.seed, len(self.features), rows.count(), self.effort)
+        made = classifier(self.kind, self.seed, rows.count(), self.effort)
         self.model = made.fit(self.assembler.transform(balanced(scaled(rows, self.by))))
         return self
 
@@ -126,9 +120,20 @@ class _Trees:
         self.features, self.seed, self.effort = features, seed, effort
 
     def _sample(self, rows: DataFrame, key: list[str], columns: list[str]) -> np.ndarray:
-        """Up to FOREST_ROWS rows, the first by a seeded hash of the key."""
-        first = rows.orderBy(splits.hash_order(*key, seed=str(self.seed)), *key).limit(FOREST_ROWS)
-        return first.select(*columns).toPandas().to_numpy(dtype=np.float64)
+        """All rows in the order of a seeded hash of the key, packed by tasks; of more than FOREST_ROWS, the first ones.
+
+        At most FOREST_ROWS * columns * 8 bytes, 90 MB for the widest feature set.
+        """
+        first = rows.select(*key, F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).orderBy(splits.hash_order(*key, seed=str(self.seed)), *key)
+        first = first.select("x") if rows.limit(FOREST_ROWS + 1).count() <= FOREST_ROWS else first.select("x").limit(FOREST_ROWS)
+
+        def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    yield pd.DataFrame({"x": [np.stack(frame["x"]).astype(np.float64).tobytes()]})
+
+        packed = b"".join(r["x"] for r in first.mapInPandas(pack, "x binary").collect())
+        return np.frombuffer(packed).reshape(-1, len(columns))
 
     def _grow(self, spark, shared, trees: int, grow) -> list[tuple[np.ndarray, ...]]:
         sample = spark.sparkContext.broadcast(shared)
@@ -245,7 +250,16 @@ class ExtraTrees(_Trees):
 
 
 def learner(kind: str, features: list[str], seed: int = 1, effort: Effort = FULL):
-    return ExtraTrees(features, seed, effort) if kind == "ExtraTrees" else Learner(kind, features, seed, effort)
+    if kind not in SETTINGS:
+        raise ValueError(f"no learner is called {kind}")
+    if kind == "ExtraTrees":
+        return ExtraTrees(features, seed, effort)
+    if kind in boosting.FAMILIES:
+        growth = boosting.FAMILIES[kind]
+        return boosting.Boosted(kind, features, seed, replace(growth, rounds=effort.rounds(kind), depth=growth.depth and effort.levels(kind)))
+    if kind in nets.NETS:
+        return nets.Net(kind, features, seed, effort.rounds(kind))
+    return Learner(kind, features, seed, effort)
 
 
 def _average_depth(n: int) -> float:
@@ -261,30 +275,62 @@ def rank_average(scored: DataFrame, reference: DataFrame, members: list[str], ke
     return counted.crossJoin(F.broadcast(sizes)).groupBy(*keys).agg(F.avg(F.col("below") / F.greatest("_n", F.lit(1))).alias(out))
 
 
-def ranked_members(train: DataFrame, test: DataFrame, kinds: tuple[str, ...], features: list[str], key: list[str], effort: Effort = FULL) -> DataFrame:
-    """(key, y, score) of test: the members' scores as shares of their scores on the training rows, averaged."""
-    fitted = side_by_side([lambda k=k: learner(k, features, effort=effort).fit(train, key) for k in kinds])
-    members = [f"s_{i}" for i in range(len(kinds))]
-    for m, f in zip(members, fitted, strict=True):
-        train, test = f.score(train, m), f.score(test, m)
-    return rank_average(test, train, members, [*key, "y"])
-
-
-def stacked(train: DataFrame, test: DataFrame, kinds: tuple[str, ...], features: list[str], key: list[str], folds: int = 3, effort: Effort = FULL) -> DataFrame:
-    """test with score: a logistic model of the members' scores, fitted on scores of rows that the member hasn't seen."""
-    dealt = splits.stratified_folds(train, folds, key, seed="stack").persist()  # each fit reads it
-    jobs = [(k, f) for k in kinds for f in [*range(folds), None]]
-    part = lambda f: dealt if f is None else dealt.where(F.col("fold") != f)
-    fitted = dict(zip(jobs, side_by_side([lambda k=k, f=f: learner(k, features, effort=effort).fit(part(f), key) for k, f in jobs]), strict=True))
-    members, unseen = [f"s_{i}" for i in range(len(kinds))], None
-    for m, k in zip(members, kinds, strict=True):
-        parts = [fitted[k, f].score(dealt.where(F.col("fold") == f), m).select(*key, "y", m) for f in range(folds)]
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        unseen = whole if unseen is None else unseen.join(whole.drop("y"), key)
-        test = fitted[k, None].score(test, m)
-    return Learner("LogReg", members, effort=effort).fit(unseen.persist()).score(test)
+class RankAveraged:
+    """Members' scores as shares of their scores on the training rows, averaged."""
+
+    def __init__(self, kinds: tuple[str, ...], features: list[str], effort: Effort = FULL):
+        self.kinds, self.features, self.effort = kinds, features, effort
+        self.members = [f"s_{i}" for i in range(len(kinds))]
+
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        for m, f in zip(self.members, self.fitted, strict=True):
+            rows = f.score(rows, m)
+        return rows
+
+    def fit(self, train: DataFrame, key: list[str]) -> RankAveraged:
+        self.fitted = side_by_side([lambda k=k: learner(k, self.features, effort=self.effort).fit(train, key) for k in self.kinds])
+        reference = self._scored(train).select(*self.members)
+        path = sinks.scratch(train.sparkSession, "reference")
+        reference.write.parquet(path)
+        self.reference = train.sparkSession.read.schema(reference.schema).parquet(path)
+        return self
+
+    def score(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, score)."""
+        return rank_average(self._scored(rows), self.reference, self.members, keys)
+
+
+class Stacked:
+    """A logistic model of the members' scores, fitted on scores of rows that the member hasn't seen."""
+
+    def __init__(self, kinds: tuple[str, ...], features: list[str], effort: Effort = FULL, folds: int = 3):
+        self.kinds, self.features, self.effort, self.folds = kinds, features, effort, folds
+        self.members = [f"s_{i}" for i in range(len(kinds))]
+
+    def fit(self, train: DataFrame, key: list[str]) -> Stacked:
+        spark, folder = train.sparkSession, sinks.scratch(train.sparkSession, "stack")
+        dealt = splits.stratified_folds(train, self.folds, key, seed="stack")
+        dealt.write.parquet(f"{folder}/dealt")  # each fit reads it
+        dealt = spark.read.schema(dealt.schema).parquet(f"{folder}/dealt")
+        jobs = [(k, f) for k in self.kinds for f in [*range(self.folds), None]]
+        part = lambda f: dealt if f is None else dealt.where(F.col("fold") != f)
+        fitted = dict(zip(jobs, side_by_side([lambda k=k, f=f: learner(k, self.features, effort=self.effort).fit(part(f), key) for k, f in jobs]), strict=True))
+        unseen = None
+        for f in range(self.folds):
+            rows = dealt.where(F.col("fold") == f)
+            for m, k in zip(self.members, self.kinds, strict=True):
+                rows = fitted[k, f].score(rows, m)
+            rows = rows.select(*key, "y", *self.members)
+            unseen = rows if unseen is None else unseen.unionByName(rows)
+        unseen.write.parquet(f"{folder}/unseen")
+        self.fitted = [fitted[k, None] for k in self.kinds]
+        self.meta = Learner("LogReg", self.members, effort=self.effort).fit(spark.read.schema(unseen.schema).parquet(f"{folder}/unseen"))
+        return self
+
+    def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
+        for m, f in zip(self.members, self.fitted, strict=True):
+            rows = f.score(rows, m)
+        return self.meta.score(rows, out).drop(*self.members)
 
 
 def detectors(feature_set: str, cross: bool) -> list[tuple[str, str]]:

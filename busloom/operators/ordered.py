@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from busloom.sources import sinks
+
 #: Parts of a group's order; accuracy of the quantiles that part it, which matters for balance only.
 PARTS, ACCURACY = 64, 1000
 
@@ -13,8 +15,9 @@ def running(steps: DataFrame, group: list[str], value: str, sums: dict[str, str]
     """Adds, for each out: column of sums, the sum of column over the group's rows up to value and with it.
 
     A group's values (not null) are parted at approximate quantiles; the parts' sums are added up along the group, and a window
-    orders each part alone. Equal values lie in one part.
+    orders each part alone. Equal values lie in one part. The rows are written first, as they are read three times.
     """
+    steps = _written(steps)
     order = F.desc(value) if descending else F.asc(value)
     edges = steps.groupBy(*group).agg(F.percentile_approx(value, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), ACCURACY).alias("_edges"))
     dealt = steps.join(edges, group).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
@@ -37,3 +40,25 @@ def numbered(rows: DataFrame, group: list[str], order_hash: Column, key: list[st
     before = counts.select(*group, "_part", (F.sum("_c").over(along) - F.col("_c")).alias("_before"))
     within = Window.partitionBy(*group, "_part").orderBy("_hash", *key)
     return dealt.join(before, [*group, "_part"]).withColumn(out, F.col("_before") + F.row_number().over(within)).drop("_hash", "_part", "_before")
+
+
+def quantiles(rows: DataFrame, group: list[str], value: str, probabilities: list[float], out: str) -> DataFrame:
+    """(group, out): an array of the exact quantiles of value, linear between neighbours as percentile has them; nulls don't count.
+
+    Each is read off at its rank among running counts of distinct values, for all groups and probabilities at once; no
+    group's values meet in one buffer. Groups without a value have no row.
+    """
+    steps = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    counted = _written(running(steps, group, value, {"_upto": "_c"}))
+    sizes = counted.groupBy(*group).agg(F.max("_upto").alias("_n"))
+    at = [(F.col("_n") - 1) * p for p in probabilities]
+    reached = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
+    ends = counted.join(sizes, group).groupBy(*group, "_n").agg(*[reached(end(x)).alias(f"_{k}{i}") for i, x in enumerate(at) for end, k in ((F.floor, "l"), (F.ceil, "h"))])
+    between = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (x - F.floor(x)) for i, x in enumerate(at)]
+    return ends.select(*group, F.array(*between).alias(out))
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    path = sinks.scratch(rows.sparkSession, "ordered")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from busloom.operators import ordered
 from busloom.settings import EPS, Settings
 
 
@@ -18,9 +19,8 @@ def id_profile(frames: DataFrame, s: Settings) -> DataFrame:
     b = benign(frames)
     last = F.lag("us").over(Window.partitionBy("vehicle", "capture", "aid").orderBy("us", "seq"))
     gaps = b.withColumn("gap", (F.col("us") - last) / 1e6)
-    timing = gaps.groupBy("vehicle", "aid").agg(
-        F.count(F.lit(1)).alias("cnt"), F.percentile(F.when(F.col("gap") > 0, F.col("gap")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")
-    )
+    spread = ordered.quantiles(gaps.where("gap > 0"), ["vehicle", "aid"], "gap", [0.25, 0.5, 0.75], "p")
+    timing = b.groupBy("vehicle", "aid").agg(F.count(F.lit(1)).alias("cnt")).join(spread, ["vehicle", "aid"], "left")
     by_dlc = b.groupBy("vehicle", "aid", "dlc").agg(F.count(F.lit(1)).alias("n"))
     modal = by_dlc.groupBy("vehicle", "aid").agg(F.min(F.struct((-F.col("n")).alias("n"), "dlc"))["dlc"].alias("ref_dlc"))
     out = timing.select("vehicle", "aid", "cnt", F.col("p")[1].alias("period"), (F.col("p")[2] - F.col("p")[0]).alias("iqr")).join(modal, ["vehicle", "aid"])
@@ -51,3 +51,12 @@ def pooled_vocabulary(frames: DataFrame, top: int) -> DataFrame:
     pooled = shares.join(targets, F.col("vehicle") != F.col("target")).groupBy("target", "aid").agg(F.sum("share").alias("share"))
     place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc(F.round("share", 9)), "aid")) - 1
     return pooled.withColumn("pos", place).where(F.col("pos") < top)
+
+
+def vocabulary_of(frames: DataFrame, vehicles: tuple[str, ...], top: int) -> DataFrame:
+    """The `top` identifiers by the sum of these vehicles' shares: aid and pos."""
+    counts = benign(frames).where(F.col("vehicle").isin(*vehicles)).groupBy("vehicle", "aid").agg(F.count(F.lit(1)).alias("cnt"))
+    totals = counts.groupBy("vehicle").agg(F.sum("cnt").alias("total"))
+    pooled = counts.join(totals, "vehicle").groupBy("aid").agg(F.sum(F.col("cnt") / F.col("total")).alias("share"))
+    first = pooled.orderBy(F.desc(F.round("share", 9)), "aid").limit(top)  # as large as the vocabulary
+    return first.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.round("share", 9)), "aid")) - 1).select("aid", "pos")

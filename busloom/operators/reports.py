@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +61,29 @@ def signed_ranks(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return plain.join(stats, by, "left")
 
 
-def wilcoxon_p(n: int, w_plus: float, tie_sum: float, one_sided: bool) -> float:
-    """Normal approximation with the variance corrected for ties, and no continuity correction; tie_sum is the sum of t*t - 1 over rows."""
+#: Pairs up to which the signed-rank test is exact where there are no ties and no zeros.
+EXACT_PAIRS = 50
+
+
+def signed_rank_counts(n: int) -> list[int]:
+    """How many of the 2**n choices of signs give each sum of positive ranks, 0 to n (n + 1) / 2: rank by rank, each is in or out."""
+    counts = [1]
+    for rank in range(1, n + 1):
+        shifted = [0] * rank + counts
+        counts = [a + b for a, b in zip([*counts, *[0] * rank], shifted, strict=True)]
+    return counts
+
+
+def wilcoxon_p(n: int, w_plus: float, tie_sum: float, one_sided: bool, zeros: int = 0) -> float:
+    """The signed-rank test of n differences that aren't 0; one-sided, that they tend to be positive. NaN without any.
+
+    Exact for up to EXACT_PAIRS without ties and dropped zeros; beyond, the normal approximation with the variance corrected
+    for ties and no continuity correction. tie_sum is the sum of t * t - 1 over rows that share their rank with t.
+    """
+    if 0 < n <= EXACT_PAIRS and not tie_sum and not zeros:
+        counts, at = signed_rank_counts(n), round(w_plus)
+        upper, lower = sum(counts[at:]) / 2**n, sum(counts[: at + 1]) / 2**n
+        return upper if one_sided else min(1.0, 2 * min(upper, lower))
     variance = n * (n + 1) * (2 * n + 1) / 24 - tie_sum / 48
     if variance <= 0:
         return float("nan")
@@ -69,11 +91,49 @@ def wilcoxon_p(n: int, w_plus: float, tie_sum: float, one_sided: bool) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2)) if one_sided else math.erfc(abs(z) / math.sqrt(2))
 
 
+#: The four metrics of the paired tests: areas, and recall at the primary budget and at the false-positive rate of one in a thousand.
+TESTED = ("pr_auc", "roc_auc", "recall@fa10", "recall@fpr0.001")
+
+
+def comparisons(results: DataFrame, metrics: tuple[str, ...] = TESTED) -> DataFrame:
+    """(comparison, metric, model, vehicle, first, second): what the paired tests compare, a row for each cell that both sides have.
+
+    The second feature set against the first across vehicles, and for each set within against across, detectors fitted on the
+    target left out there.
+    """
+    m = fold_means(results).where(F.col("metric").isin(*metrics))
+    cell = ["metric", "model", "vehicle"]
+    side = lambda protocol, fs, name: m.where((F.col("protocol") == protocol) & (F.col("feature_set") == fs)).select(*cell, F.col("value").alias(name))
+    out = side("cross", "FS-B", "first").join(side("cross", "FS-A", "second"), cell).withColumn("comparison", F.lit("FS-B > FS-A across"))
+    for fs in ("FS-A", "FS-B"):
+        across = side("cross", fs, "second").where(~F.col("model").contains("@target"))
+        out = out.unionByName(side("within", fs, "first").join(across, cell).withColumn("comparison", F.lit(f"within or across, {fs}")))
+    return out
+
+
+def paired_tests(results: DataFrame, metrics: tuple[str, ...] = TESTED) -> DataFrame:
+    """(comparison, metric, n_pairs, mean_diff, median_diff, frac_better, p): the feature sets one-sided, the protocols two-sided.
+
+    p is null with five pairs or fewer. Differences are taken to nine places, so that ties don't hang on an engine's last bits.
+    """
+    pairs = comparisons(results, metrics).withColumn("d", F.round(F.col("first") - F.col("second"), 9)).withColumn("zero", F.lit(0.0))
+    stats = signed_ranks(pairs, ["comparison", "metric"], "d", "zero")
+
+    @F.pandas_udf("double")
+    def p(n: pd.Series, w: pd.Series, ties: pd.Series, n_pairs: pd.Series, one_sided: pd.Series) -> pd.Series:
+        cells = zip(n.fillna(0), w.fillna(0), ties.fillna(0), n_pairs, one_sided, strict=True)
+        return pd.Series([wilcoxon_p(int(a), b, c, bool(o), int(k - a)) if k > 5 else None for a, b, c, k, o in cells], dtype="float64")
+
+    one_sided = F.col("comparison").startswith("FS-B >")
+    return stats.select("comparison", "metric", "n_pairs", "mean_diff", "median_diff", "frac_better", p("n", "w_plus", F.col("tie_sum").cast("double"), "n_pairs", one_sided).alias("p"))
+
+
 def draws(clusters: DataFrame, by: list[str], cluster: str, replicates: int, seed: str) -> DataFrame:
-    """(by, rep, cluster, times): each replicate draws as many clusters as there are, with replacement, by seeded hashes."""
+    """(by, rep, cluster, times): each replicate draws as many clusters as there are, with replacement, by the first 15 digits of
+    seeded md5 hashes, which other engines can follow."""
     order = Window.partitionBy(*by).orderBy(cluster)
     numbered = clusters.select(*by, cluster).distinct().withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    drawn = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_d", F.pmod(F.xxhash64(F.lit(seed), "rep", "_i", *by), F.col("_n")).cast("int"))
+    drawn = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_d", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "_i", *by)), 1, 15), 16, 10).cast("long") % F.col("_n")).cast("int"))
     picked = drawn.groupBy(*by, "rep", F.col("_d").alias("_i")).agg(F.count(F.lit(1)).alias("times"))
     return picked.join(numbered.drop("_n"), [*by, "_i"]).drop("_i")
 
@@ -87,10 +147,15 @@ def bootstrap_mean(values: DataFrame, by: list[str], cluster: str, replicates: i
 
 
 def bootstrap_ranking(scored: DataFrame, by: list[str], replicates: int, seed: str) -> DataFrame:
-    """95 % intervals of average precision over resampled captures; replicates of one class are left out."""
+    """95 % intervals of average precision and ROC-AUC over resampled captures; replicates of one class are left out.
+
+    Equal scores of a capture are counted first, so that replicates multiply counts and not windows.
+    """
     from busloom.operators.evaluation import ranking
 
-    weights = draws(scored, by, "capture", replicates, seed)
-    each = ranking(scored.join(weights, [*by, "capture"]), [*by, "rep"], "times").where("pr_auc IS NOT NULL")
-    p = F.percentile("pr_auc", F.array(F.lit(0.025), F.lit(0.975)))
-    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("n_boot"), p.alias("p")).select(*by, "n_boot", F.col("p")[0].alias("ci_lo"), F.col("p")[1].alias("ci_hi"))
+    counted = scored.groupBy(*by, "capture", "score", "y").agg(F.count(F.lit(1)).alias("_c"))
+    weighted = counted.join(draws(scored, by, "capture", replicates, seed), [*by, "capture"]).withColumn("_w", F.col("_c") * F.col("times"))
+    each = ranking(weighted, [*by, "rep"], "_w").where("pr_auc IS NOT NULL")
+    p = {c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(c) for c in ("pr_auc", "roc_auc")}
+    bounds = [F.col(c)[i].alias(f"{end}_{c[:-4]}") for c in p for i, end in enumerate(("lo", "hi"))]
+    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("n_boot"), *p.values()).select(*by, "n_boot", *bounds)

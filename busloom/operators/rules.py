@@ -31,8 +31,8 @@ def melted(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
 
 def reference(long: DataFrame, group: list[str]) -> DataFrame:
     """Median and scale (interquartile range, 1e-6 at least) of each feature of a group."""
-    p = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy(*group, "feature").agg(p.alias("p")).select(*group, "feature", F.col("p")[1].alias("med"), F.greatest(F.col("p")[2] - F.col("p")[0], F.lit(1e-6)).alias("scale"))
+    p = ordered.quantiles(long, [*group, "feature"], "x", [0.25, 0.5, 0.75], "p")
+    return p.select(*group, "feature", F.col("p")[1].alias("med"), F.greatest(F.col("p")[2] - F.col("p")[0], F.lit(1e-6)).alias("scale"))
 
 
 def z_scores(long: DataFrame, fitted: DataFrame, group: list[str]) -> DataFrame:
@@ -64,8 +64,9 @@ def quantile_scores(z: DataFrame, keys: list[str], group: list[str], high: list[
     """
     v = F.when(F.col("feature").isin(two_sided), F.abs("z")).otherwise(F.col("z"))
     rows = z.where(F.col("feature").isin(*high, *two_sided)).withColumn("v", v)
-    fitted = rows.where("is_ref").groupBy(*group, "feature").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"), F.percentile("v", F.lit(0.99)).alias("p99"))
-    counted = ecdf(rows, [*group, "feature"], "v", "is_ref", "below").where("NOT is_ref").join(fitted, [*group, "feature"])
+    fitted = rows.where("is_ref").groupBy(*group, "feature").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    p99 = ordered.quantiles(rows.where("is_ref"), [*group, "feature"], "v", [0.99], "p99").withColumn("p99", F.col("p99")[0])
+    counted = ecdf(rows, [*group, "feature"], "v", "is_ref", "below").where("NOT is_ref").join(fitted.join(p99, [*group, "feature"]), [*group, "feature"])
     excess = F.greatest(F.lit(0.0), (F.col("v") - F.col("top")) / F.greatest(F.col("top") - F.col("p99"), F.lit(1e-9)))
     surprisal = -F.log(1 - F.col("below") / (F.col("n") + 1.0)) + F.log1p(excess)
     return counted.withColumn("s", surprisal).groupBy(*keys).agg(F.max("s").alias("score"))

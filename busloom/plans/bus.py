@@ -33,6 +33,13 @@ class Bus:
                 self._made[name] = getattr(self, f"make_{name}")()
             return self._made[name]
 
+    def kept(self, name: str, make) -> DataFrame:
+        """What make() gives, made once under this name."""
+        with self._lock:
+            if name not in self._made:
+                self._made[name] = make()
+            return self._made[name]
+
     def make_ids(self):
         return profile.id_profile(self.frames, self.s)
 

@@ -14,7 +14,7 @@ from busloom.plans import jobs
 from busloom.plans.bus import bus, union_all
 from busloom.plans.oracle import K, N, with_pieces
 from busloom.sources import frames as src
-from busloom.sources import sinks
+from busloom.sources import logs, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -194,6 +194,34 @@ def _(spark, d):
     return odd.select(F.when(evaluation.finite(F.col("s")), F.col("s")).otherwise(-1e30).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("s") > -1e30).cast("long")).alias("positive"))
 
 
+@query(
+    "s16_raw_logs",
+    """SELECT capture, count(*) AS n, count(CASE WHEN seq % 97 = 0 THEN 1 END) AS bad, count(CASE WHEN y = 1 THEN 1 END) AS injected, sum(us % 1000000)::BIGINT AS parts, min(us) AS first, max(us) AS last, sum(aid)::BIGINT AS aids,
+    sum(list_sum([x FOR x IN b IF x >= 0]))::BIGINT AS bytes FROM fr GROUP BY capture""",
+)
+def _(spark, d):
+    """Frames written as text logs with broken lines among them, and the attack-free ones as originals; read again, bad lines
+    counted, labels recovered by the count-aware comparison of both."""
+    frames = bus(spark, d).frames
+    lines = frames.select("capture", (F.col("seq") * 2).alias("seq"), logs.log_line().alias("value"))
+    broken = frames.where("seq % 97 = 0").select("capture", (F.col("seq") * 2 + 1).alias("seq"), F.regexp_replace(logs.log_line(), "#", "").alias("value"))
+    path, columns = sinks.scratch(spark, "logs"), ["capture", "aid", "dlc", "b"]
+    logs.write_lines(lines.unionByName(broken), f"{path}/attack")
+    logs.write_lines(frames.where("y = 0").select("capture", "seq", logs.log_line().alias("value")), f"{path}/original")
+    read, bad = logs.read_logs(spark, f"{path}/attack")
+    labelled = src.relabelled(read, logs.read_logs(spark, f"{path}/original")[0], columns)
+    counts = labelled.groupBy("capture").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("y").alias("injected"),
+        F.sum(F.col("us") % 1_000_000).alias("parts"),
+        F.min("us").alias("first"),
+        F.max("us").alias("last"),
+        F.sum("aid").alias("aids"),
+        F.sum(F.aggregate(F.filter("b", lambda x: x >= 0), F.lit(0), lambda a, x: a + x)).alias("bytes"),
+    )
+    return counts.join(bad.groupBy("capture").agg(F.count(F.lit(1)).alias("bad")), "capture", "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
+
+
 @query("f10_f11_model_names", "SELECT model, replace(model, '@target', '') AS base, model LIKE '%@target' AS is_target, count(*) AS n FROM scores WHERE starts_with(model, 'Rule:') AND contains(model, 'I') GROUP BY model")
 def _(spark, d):
     m = F.col("model")
@@ -626,13 +654,33 @@ def _(spark, d):
     return splits.stratified_folds(windows.labels(bus(spark, d).windows), 3, ["capture", "widx"], "kf").select("capture", "widx", "fold")
 
 
-@query("p7_bootstrap_vehicles")
+def _drawn(seed: str, by: str, cells: str, cluster: str, replicates: int) -> str:
+    """SQL of resampled clusters: CTEs named caps (numbered clusters) and drawn (cluster and times of each replicate)."""
+    keys = " || '|' || ".join(by.split(", "))
+    return f"""caps AS (SELECT {by}, {cluster}, row_number() OVER (PARTITION BY {by} ORDER BY {cluster}) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM (SELECT DISTINCT {by}, {cluster} FROM {cells})),
+    drawn AS (SELECT d.*, {cluster} FROM (SELECT {by}, rep, ('0x' || substr(md5('{seed}|' || rep || '|' || i || '|' || {keys}), 1, 15))::BIGINT % n AS i, count(*) AS times FROM caps, range({replicates}) t(rep) GROUP BY ALL) d JOIN caps USING ({by}, i))"""
+
+
+@query(
+    "p7_bootstrap_vehicles",
+    f"""SELECT * FROM (WITH m AS (SELECT * FROM {_FM} WHERE protocol = 'cross' AND metric = 'pr_auc'), {_drawn("0", "feature_set, model", "m", "vehicle", 2000)},
+    r AS (SELECT feature_set, model, rep, sum(value * times) / sum(times) AS v FROM drawn JOIN m USING (feature_set, model, vehicle) GROUP BY ALL),
+    q AS (SELECT feature_set, model, quantile_cont(v, [0.025, 0.975]) AS p FROM r GROUP BY ALL)
+    SELECT feature_set, model, round(avg(value), 6) AS mean, round(any_value(p)[1], 6) AS ci_lo, round(any_value(p)[2], 6) AS ci_hi FROM m JOIN q USING (feature_set, model) GROUP BY feature_set, model)""",
+)
 def _(spark, d):
     m = reports.fold_means(results(spark, d)).where("protocol = 'cross' AND metric = 'pr_auc'")
     return reports.bootstrap_mean(m, ["feature_set", "model"], "vehicle", 2000, "0")
 
 
-@query("p8_bootstrap_captures")
+@query(
+    "p8_bootstrap_captures",
+    f"""SELECT * FROM (WITH {_drawn("1", "target, model", "(SELECT * FROM scores WHERE is_eval)", "capture", 200)},
+    s AS (SELECT target, model, rep, score, sum(times * y) AS p, sum(times * (1 - y)) AS m FROM scores JOIN drawn USING (target, model, capture) WHERE is_eval GROUP BY ALL),
+    c AS (SELECT *, sum(p) OVER w AS tp, sum(m) OVER w AS fp FROM s WINDOW w AS (PARTITION BY target, model, rep ORDER BY score DESC)),
+    a AS (SELECT target, model, rep, sum(m * (tp - p / 2e0)) / (sum(p) * sum(m)) AS roc, sum(p * (tp / (tp + fp)::DOUBLE)) / sum(p) AS pr FROM c GROUP BY ALL HAVING sum(p) > 0 AND sum(m) > 0)
+    SELECT target, model, count(*) AS n_boot, round(quantile_cont(pr, 0.025), 6) AS lo_pr, round(quantile_cont(pr, 0.975), 6) AS hi_pr, round(quantile_cont(roc, 0.025), 6) AS lo_roc, round(quantile_cont(roc, 0.975), 6) AS hi_roc FROM a GROUP BY target, model)""",
+)
 def _(spark, d):
     return reports.bootstrap_ranking(bus(spark, d).scores.where("is_eval"), ["target", "model"], 200, "1")
 
@@ -694,52 +742,39 @@ def _(spark, d):
     return spark.createDataFrame(rows, "feature_set string, cross boolean, scope string, model string")
 
 
-#: What the queries below fit: a fiftieth of the settings' rounds and shallow trees, so that a run takes minutes; the library's default is the whole.
-QUICK = learners.Effort(0.02, 5)
-#: The ensembles fit up to 16 members for each target: 3 rounds of three levels each.
-QUICK_MEMBERS = learners.Effort(0.006, 3)
-
-
 def _ranked(scored: DataFrame, name: str, target: str) -> DataFrame:
     return evaluation.ranking(scored.select(F.lit(target).alias("target"), F.lit(name).alias("model"), "y", "score"))
 
 
-def _each_target(spark, d, name: str, scores) -> DataFrame:
-    """scores(training pool, evaluation windows, features) of each vehicle left out in turn, ranked."""
+def _each_target(spark, d, name: str) -> DataFrame:
+    """The detector fitted on every vehicle but one, for each vehicle left out in turn: areas over its evaluation windows."""
     b = bus(spark, d)
 
     def one(target: str) -> DataFrame:
-        train, _, test = jobs.split(b, "cross", 0, target, "FS-B")
-        return _ranked(scores(train, test, FS_B), name, target)
+        train, _, test = jobs.split(b, "cross", 0, target, "FS-B", sequences=name in learners.SEQUENCE)
+        return _ranked(jobs.written(b, jobs.fit_and_score(name, train, {"ev": test}, FS_B)), name, target)
 
     return union_all(learners.side_by_side([lambda t=t: one(t) for t in jobs._targets(b)]))
 
 
-@query("r10_isolation_forest")
-def _(spark, d):
-    return _each_target(spark, d, "IForest", lambda train, test, fs: learners.IsolationForest(fs).fit(train.where("y = 0"), jobs.KEY).score(test))
-
-
-for _n, _k in (("l1_logistic", "LogReg"), ("l2_random_forest", "RandomForest"), ("l3_extra_trees", "ExtraTrees"), ("l4_hist_boosting", "HistGB"), ("l5_extreme_boosting", "XGBoost"), ("l6_leafwise_boosting", "LightGBM"), ("l7_ordered_boosting", "CatBoost"), ("n1_perceptron", "NN:MLP")):
-
-    def _learn(spark, d, k=_k):
-        effort = learners.FULL if k in ("LogReg", "ExtraTrees") else QUICK
-        return _each_target(spark, d, k, lambda train, test, fs: learners.learner(k, fs, effort=effort).fit(train, jobs.KEY).score(test))
-
-    query(_n)(_learn)
-
-
-for _n, _k in (("e1_rank_average", "Ens:RankAvg-Trees"), ("e1_rank_average_hybrid", "Ens:RankAvg-Hybrid")):
-
-    def _average(spark, d, k=_k):
-        return _each_target(spark, d, k, lambda train, test, fs: learners.ranked_members(train, test, learners.ENSEMBLES[k], fs, jobs.KEY, QUICK_MEMBERS))
-
-    query(_n)(_average)
-
-
-@query("e2_stacking")
-def _(spark, d):
-    return _each_target(spark, d, "Ens:Stack-Trees", lambda train, test, fs: learners.stacked(train, test, learners.ENSEMBLES["Ens:Stack-Trees"], fs, jobs.KEY, effort=QUICK_MEMBERS))
+for _n, _k in (
+    ("r10_isolation_forest", "IForest"),
+    ("l1_logistic", "LogReg"),
+    ("l2_random_forest", "RandomForest"),
+    ("l3_extra_trees", "ExtraTrees"),
+    ("l4_hist_boosting", "HistGB"),
+    ("l5_extreme_boosting", "XGBoost"),
+    ("l6_leafwise_boosting", "LightGBM"),
+    ("l7_ordered_boosting", "CatBoost"),
+    ("n1_perceptron", "NN:MLP"),
+    ("n2_convolutional", "NN:CNN1D"),
+    ("n3_recurrent", "NN:LSTM"),
+    ("n4_attention", "NN:Transformer"),
+    ("e1_rank_average", "Ens:RankAvg-Trees"),
+    ("e1_rank_average_hybrid", "Ens:RankAvg-Hybrid"),
+    ("e2_stacking", "Ens:Stack-Trees"),
+):
+    query(_n)(lambda spark, d, k=_k: _each_target(spark, d, k))
 
 
 @query("g3_batched_scoring")
@@ -747,13 +782,20 @@ def _(spark, d):
     """Scores come in Arrow batches; their size is the session's spark.sql.execution.arrow.maxRecordsPerBatch and changes no score."""
     b = bus(spark, d)
     rows = b.split.select(*windows.WINDOW, "y", *FS_B)
-    return learners.IsolationForest(FS_B, effort=QUICK).fit(rows.where("y = 0"), jobs.KEY).score(rows).select("capture", "widx", "score")
+    return learners.IsolationForest(FS_B).fit(rows.where("y = 0"), jobs.KEY).score(rows).select("capture", "widx", "score")
+
+
+def job_kinds(feature_set: str, protocol: str) -> list[str]:
+    """The quick families, the isolation forest and, where the set has their features, all rules; across vehicles also those
+    fitted on the target. All in whole settings."""
+    named = [name for _, name in learners.detectors(feature_set, protocol == "cross")]
+    return [n for n in named if n.startswith(("Rule:", "IForest")) or n in jobs.QUICK_KINDS]
 
 
 @query("g4_job_loop")
 def _(spark, d):
     b = bus(spark, d)
-    scores = jobs.run(b, ["FS-A", "FS-B"], ["LogReg"], sinks.scratch(spark, "jobs"), effort=QUICK)
+    scores, _ = jobs.run(b, ["FS-A", "FS-B"], job_kinds, sinks.scratch(spark, "jobs"))
     return jobs.results(b, scores)
 
 
@@ -814,10 +856,37 @@ def _(spark, d):
     return reports.signed_ranks(diff, ["metric"], "x", "zero")
 
 
+#: The tests' four metrics among those that the result table has: orders give two, each by fold.
+_TESTED = ("pr_auc", "roc_auc", "pr_auc@f0", "roc_auc@f0")
+
+
+def _four(spark, d) -> DataFrame:
+    r = results(spark, d)
+    return r.unionByName(r.where("fold = 0").withColumn("metric", F.concat("metric", F.lit("@f0"))))
+
+
+def _cell(protocol: str, fs: str, also: str = "") -> str:
+    return f"(SELECT metric, model, vehicle, avg(value) AS value FROM (SELECT * FROM {_RES} UNION ALL SELECT * REPLACE (metric || '@f0' AS metric) FROM {_RES} WHERE fold = 0) WHERE protocol = '{protocol}' AND feature_set = '{fs}' {also} GROUP BY ALL)"
+
+
+_COMPARED = " UNION ALL ".join(
+    f"SELECT '{name}' AS comparison, metric, round(x.value - y.value, 9) AS d FROM {_cell(p, f)} x JOIN {_cell(q, g, also)} y USING (metric, model, vehicle)"
+    for name, p, f, q, g, also in (
+        ("FS-B > FS-A across", "cross", "FS-B", "cross", "FS-A", ""),
+        ("within or across, FS-A", "within", "FS-A", "cross", "FS-A", "AND model NOT LIKE '%@target%'"),
+        ("within or across, FS-B", "within", "FS-B", "cross", "FS-B", "AND model NOT LIKE '%@target%'"),
+    )
+)
+
+
+@query("b6_paired_tests", f"SELECT comparison, metric, count(*) AS n_pairs, round(avg(d), 6) AS mean_diff, round(median(d), 6) AS median_diff, round(avg((d > 0)::INT), 6) AS frac_better FROM ({_COMPARED}) GROUP BY comparison, metric")
+def _(spark, d):
+    return reports.paired_tests(_four(spark, d), _TESTED).drop("p")
+
+
 @query("b6_wilcoxon_p")
 def _(spark, d):
-    stats = reports.signed_ranks(_pairs(spark, d), ["metric"], "b", "a").where("n_pairs > 5").collect()  # a row a metric
-    return spark.createDataFrame([(r["metric"], float(reports.wilcoxon_p(r["n"], r["w_plus"], r["tie_sum"], False))) for r in stats], "metric string, p double")
+    return reports.paired_tests(_four(spark, d), _TESTED).select("comparison", "metric", "n_pairs", "p")
 
 
 @query("b7_ablation", f"SELECT a.target, a.model, round(a.pr_auc, 6) AS pr_all, round(b.pr_auc, 6) AS pr_less FROM auc a JOIN (SELECT target, model, sum(p * (tp / (tp + fp)::DOUBLE)) / nullif(sum(p), 0) AS pr_auc FROM (SELECT *, sum(p) OVER d AS tp, sum(m) OVER d AS fp FROM (SELECT target, model, score, sum(y) AS p, sum(1 - y) AS m FROM scores WHERE is_eval AND family <> 'suspension' GROUP BY target, model, score) WINDOW d AS (PARTITION BY target, model ORDER BY score DESC)) GROUP BY target, model) b USING (target, model)")
@@ -849,17 +918,17 @@ def _(spark, d):
 
 @query("c1_control_matched_volume")
 def _(spark, d):
-    return jobs.volume_control(bus(spark, d), ["LogReg"], effort=QUICK)
+    return jobs.volume_control(bus(spark, d))
 
 
 @query("c2_control_sources")
 def _(spark, d):
-    return jobs.source_control(bus(spark, d), ["LogReg"], effort=QUICK)
+    return jobs.source_control(bus(spark, d))
 
 
 @query("c3_control_feature_sets")
 def _(spark, d):
-    return jobs.feature_control(bus(spark, d), ["LogReg"], effort=QUICK)
+    return jobs.feature_control(bus(spark, d))
 
 
 _CHECKS = {
@@ -933,8 +1002,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.confusion.where("model IN ('Rule:BusLoad', 'Rule:BusLoad@target')")
 
 
+_SQL["flagship_bus_load"] = with_pieces(
+    "SELECT target, model, tag, "
+    + big("tp", "fp", "pos", "n")
+    + """, round(win_seconds, 6) AS win_seconds, round(tp / greatest(pos, 1)::DOUBLE, 6) AS recall, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision,
+    round(fp / greatest(n - pos, 1)::DOUBLE, 6) AS fpr, round(fp / greatest(n - pos, 1)::DOUBLE * 3600 / greatest(win_seconds, 1e-9), 6) AS fa_per_hour FROM conf WHERE model LIKE 'Rule:BusLoad%'"""
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship_bus_load": flagship, **_QUERIES}
+    return {"flagship_bus_load": lambda spark, sf_dir: rounded(flagship(spark, sf_dir)), **_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

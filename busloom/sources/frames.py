@@ -68,14 +68,9 @@ def repaired(y: Column, data_hex: Column) -> Column:
 
 def attack_slice(frames: DataFrame, margin: int) -> DataFrame:
     """Of captures with attacked frames, the rows from margin before the first to margin after the last; others whole."""
-    w = Window.partitionBy("capture")
-    at = F.when(F.col("y") == 1, F.col("seq"))
-    return (
-        frames.withColumn("_a", F.min(at).over(w))
-        .withColumn("_z", F.max(at).over(w))
-        .where(F.col("_a").isNull() | F.col("seq").between(F.col("_a") - margin, F.col("_z") + margin))
-        .drop("_a", "_z")
-    )
+    attacked = frames.where("y = 1").groupBy("capture").agg(F.min("seq").alias("_a"), F.max("seq").alias("_z"))
+    kept = F.col("_a").isNull() | F.col("seq").between(F.col("_a") - margin, F.col("_z") + margin)
+    return frames.join(attacked, "capture", "left").where(kept).select(*frames.columns)
 
 
 def relabelled(attack: DataFrame, original: DataFrame, columns: list[str]) -> DataFrame:

@@ -52,6 +52,22 @@ def test_isolation_forest_sets_outliers_apart(spark, points):
 def test_settings_are_whole_by_default():
     assert learners.FULL.rounds("LightGBM") == 500 and learners.FULL.levels("RandomForest") == 30
     assert learners.Effort(0.02, 5).rounds("XGBoost") == 8 and learners.Effort(0.0001).rounds("HistGB") == 3
+    assert learners.learner("LightGBM", ["a"]).growth.rounds == 500 and learners.learner("NN:MLP", ["a"]).epochs == 16
     assert {k for kinds in learners.ENSEMBLES.values() for k in kinds} <= set(learners.SETTINGS)
     names = [n for _, n in learners.detectors("FS-B", True)]
     assert len(names) == 8 * 2 + 2 + len(learners.SETTINGS) + len(learners.ENSEMBLES)
+
+
+def test_forests_read_the_whole_pool_in_one_order(points):
+    model = learners.ExtraTrees(list("abcd"))
+    whole = model._sample(points, ["capture", "widx"], ["widx", "y"])
+    assert sorted(whole[:, 0]) == list(range(400)) and whole[:, 0].tolist() != list(range(400))
+    assert model._sample(points.repartition(7), ["capture", "widx"], ["widx", "y"]).tolist() == whole.tolist()
+    assert model._sample(points.limit(0), ["capture", "widx"], ["widx"]).shape == (0, 1)
+
+
+def test_stacking_and_rank_average(points):
+    train, test = points.where("widx % 3 > 0"), points.where("widx % 3 = 0")
+    for model, keys in ((learners.Stacked(("XGBoost", "ExtraTrees"), list("abcd"), learners.Effort(0.1)), ()), (learners.RankAveraged(("XGBoost", "ExtraTrees"), list("abcd"), learners.Effort(0.1)), (["capture", "widx", "y"],))):
+        got = model.fit(train, ["capture", "widx"]).score(test, *keys).toPandas()
+        assert len(got) == 134 and got.score[got.y == 1].mean() > got.score[got.y == 0].mean() + 0.3
