@@ -213,8 +213,8 @@ def decoded(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "de
     return df.mapInArrow(run, shape)
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded bytes of every row of docs."""
+def digests(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded bytes of every row of docs; with ids, the ids too."""
     both = decoded(encoded(docs.select("doc_id", "text"), vocabulary, pattern), vocabulary)
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return both.select(
@@ -222,6 +222,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *["ids"] * ids,
     )
 
 

@@ -205,3 +205,55 @@ def test_conversation_trie_of_chains_and_nothing(spark):
 def test_conversation_trie_query(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, convtrie.op13(spark, data).collect())) == trie(rows)
+
+
+# 1, against its definition
+def test_toxicity_score_is_the_explicit_sum_over_pairs():
+    from busloom.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    terms = np.sort(rng.choice(1 << toxicity.BITS, 40, replace=False))
+    model = toxicity.Model(-0.3, terms, rng.normal(size=40), rng.normal(0, 0.3, (40, 5)))
+    slots = model.slots()
+    for n in (0, 1, 2, 7, 40):
+        own = rng.choice(40, n, replace=False)
+        z = model.bias + sum(model.weights[i] for i in own) + sum(float(model.factors[i] @ model.factors[j]) for a, i in enumerate(own) for j in own[a + 1 :])
+        assert model.score(slots, np.concatenate([terms[own], [int(terms[0]) ^ 1]]).astype(np.int32) if int(terms[0]) ^ 1 not in set(terms.tolist()) else terms[own].astype(np.int32)) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_toxicity_query_columns_and_the_edge_at_a_half(spark, data, monkeypatch):
+    from busloom.llm import toxicity
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    got = toxicity.op1(spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    monkeypatch.setattr(toxicity, "fit", lambda *_: toxicity.Model(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, toxicity.FACTORS))))
+    assert {(r.score, r.predicted) for r in toxicity.op1(spark, data).collect()} == {(0.5, 1)}
+
+
+def test_toxicity_fit_follows_finite_differences():
+    from busloom.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    n, terms, k = 30, 6, 3
+    has = rng.random((n, terms)) < 0.5
+    row, col = np.nonzero(has)
+    y, w, v = rng.integers(0, 2, n).astype(float), rng.normal(size=terms), rng.normal(0, 0.5, (terms, k))
+    shrink = min(5e-4, 1.5 / n)
+
+    def loss(bias, w, v):
+        z = bias + np.array([sum(w[i] for i in own) + sum(v[i] @ v[j] for a, i in enumerate(own) for j in own[a + 1 :]) for own in map(np.flatnonzero, has)])
+        return np.mean(np.logaddexp(0, -z * (2 * y - 1))) + 1e-5 * (w**2).sum() + shrink / 2 * (v**2).sum()
+
+    bias, w1, v1, p = toxicity._adam(row, col, y, 0.2, w, v, 1)  # the first step goes 0.05 against the gradient's sign
+    off, checked = 1e-6, 0
+    for before, after, vary in ((w, w1, lambda d: loss(0.2, w + d, v)), (v, v1, lambda d: loss(0.2, w, v + d)), (np.array(0.2), np.array(bias), lambda d: loss(0.2 + d, w, v))):
+        for at in np.ndindex(before.shape):
+            d = np.zeros(before.shape)
+            d[at] = off
+            slope = (vary(d) - vary(-d)) / (2 * off)
+            if abs(slope) > 1e-5:
+                checked += 1
+                assert after[at] - before[at] == pytest.approx(-0.05 * np.sign(slope), rel=1e-2)
+    assert checked > 20
