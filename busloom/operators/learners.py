@@ -60,7 +60,7 @@ class Effort:
 FULL = Effort()
 
 
-def side_by_side(tasks: list[Callable], threads: int = 4) -> list:
+def side_by_side(tasks: list[Callable], threads: int = 8) -> list:
     """Results of independent Spark jobs that are submitted at the same time."""
     with ThreadPoolExecutor(threads) as pool:
         return [f.result() for f in [pool.submit(t) for t in tasks]]

@@ -831,6 +831,21 @@ def _(spark, d):
     return evaluation.family_recall(bus(spark, d).predicted.where("tag = 'fa10'")).groupBy("model").pivot("family", ["dos", "fuzzing", "suspension"]).agg(F.avg("recall"))
 
 
+_FAMS = ("dos", "fuzzing", "suspension")
+_PIVOT = ", ".join(f"round(avg(CASE WHEN family = '{f}' THEN r END), 6) AS {f}" for f in _FAMS)
+
+
+@query("b3_per_family_event", f"SELECT model, {_PIVOT} FROM (SELECT target, model, family, avg(hit) AS r FROM (SELECT target, model, family, capture, max(pred) AS hit FROM preds WHERE y = 1 AND tag = 'fa10' GROUP BY ALL) GROUP BY ALL) GROUP BY model")
+def _(spark, d):
+    events = evaluation.event_recall(bus(spark, d).predicted.where("tag = 'fa10'")).where("family <> 'all'")
+    return events.groupBy("model").pivot("family", list(_FAMS)).agg(F.avg("event_recall"))
+
+
+@query("b3_per_family_fpr", f"SELECT model, {_PIVOT} FROM (SELECT target, model, family, avg(pred) AS r FROM preds WHERE y = 1 AND tag = 'fpr0.001' GROUP BY ALL) GROUP BY model")
+def _(spark, d):
+    return evaluation.family_recall(bus(spark, d).predicted.where("tag = 'fpr0.001'")).groupBy("model").pivot("family", list(_FAMS)).agg(F.avg("recall"))
+
+
 @query("b4_rank_instability", f"SELECT model, round(avg(r), 6) AS mean_rank, min(r) AS best_rank, max(r) AS worst_rank, max(r) - min(r) AS rank_range, round(avg(value), 6) AS mean_value FROM (SELECT *, rank() OVER (PARTITION BY vehicle ORDER BY value DESC) + (count(*) OVER (PARTITION BY vehicle, value) - 1) / 2e0 AS r FROM (SELECT model, vehicle, round(value, 3) AS value FROM {_FM} WHERE protocol = 'cross' AND metric = 'pr_auc' AND feature_set = 'FS-B')) GROUP BY model")
 def _(spark, d):
     m = reports.fold_means(results(spark, d)).where("protocol = 'cross' AND metric = 'pr_auc' AND feature_set = 'FS-B'").select("model", "vehicle", F.round("value", 3).alias("value"))

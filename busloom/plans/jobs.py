@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -136,11 +137,14 @@ def specs(b: Bus, feature_sets: list[str]) -> DataFrame:
 
 
 SPEC = ["protocol", "fold", "target", "feature_set"]
-_DONE = "protocol string, fold int, target string, feature_set string, model string, part int, error string"
+_DONE = "protocol string, fold int, target string, feature_set string, model string, part int, n_train long, n_train_pos long, seconds double, error string"
 
 
 def finished(b: Bus, store: str) -> DataFrame:
-    """(SPEC, model, part, error): what the store says is done: a row for each job and detector, error null where it was scored."""
+    """(SPEC, model, part, n_train, n_train_pos, seconds, error): what the store says is done: a row for each job and detector.
+
+    error is null where it was scored; seconds are those of fitting, scoring and writing, shared by rules of one scope.
+    """
     from pyspark.errors import AnalysisException
 
     try:
@@ -151,12 +155,13 @@ def finished(b: Bus, store: str) -> DataFrame:
         return b.spark.createDataFrame([], _DONE)
 
 
-def run(b: Bus, feature_sets: list[str], kinds, store: str, effort: learners.Effort = learners.FULL, threads: int = 4) -> tuple[DataFrame, DataFrame]:
+def run(b: Bus, feature_sets: list[str], kinds, store: str, effort: learners.Effort = learners.FULL, threads: int = 8) -> tuple[DataFrame, DataFrame]:
     """Runs the jobs that the store hasn't got and returns (scores, finished) of all its jobs.
 
     kinds: detectors, or a function of (feature set, protocol) that names them. A job writes its scores detector by detector
     and, after them, a marker into the store; one that is broken off has none, so the next run does it again and overwrites what
-    it left. A detector that fails leaves its error in the marker and no score; it neither ends its job nor others.
+    it left. A detector that fails leaves its error in the marker and no score; it neither ends its job nor others. Beside the
+    marker a job writes a text log (log_lines).
     """
     todo = sinks.pending(specs(b, feature_sets), finished(b, store), SPEC)
     of = kinds if callable(kinds) else lambda *_: list(kinds)
@@ -165,8 +170,9 @@ def run(b: Bus, feature_sets: list[str], kinds, store: str, effort: learners.Eff
         wanted = of(spec["feature_set"], spec["protocol"])
         train, calib, evaluated = split(b, *(spec[k] for k in SPEC), sequences=any(k in learners.SEQUENCE for k in wanted))
         features, done, todo = names(spec["feature_set"], b.s.vocabulary), [], batches(wanted)
+        n, positive = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
         for part, batch in enumerate(todo):
-            parts, error = {"cal": calib, "ev": evaluated}, None
+            parts, error, began = {"cal": calib, "ev": evaluated}, None, time.time()
             try:
                 if len(batch) > 1:
                     rows = rule_scored(batch, calib if batch[0].endswith("@target") else train.where("y = 0"), parts, features)
@@ -178,8 +184,10 @@ def run(b: Bus, feature_sets: list[str], kinds, store: str, effort: learners.Eff
                 if len(batch) > 1:
                     todo += [[k] for k in batch]  # which of them it is, each shows by itself
                     continue
-            done += [(*(spec[k] for k in SPEC), kind, part, error) for kind in batch]
-        b.spark.createDataFrame(done, _DONE).coalesce(1).write.mode("overwrite").parquet(f"{store}/finished/" + "-".join(str(spec[k]) for k in SPEC))
+            done += [(*(spec[k] for k in SPEC), kind, part, n, positive, round(time.time() - began, 2), error) for kind in batch]
+        rows, name = b.spark.createDataFrame(done, _DONE).coalesce(1), "-".join(str(spec[k]) for k in SPEC)
+        log_lines(rows).write.mode("overwrite").text(f"{store}/logs/{name}")
+        rows.write.mode("overwrite").parquet(f"{store}/finished/{name}")
 
     learners.side_by_side([lambda s=s: job(s) for s in todo.collect()], threads)  # a row a job
     done = finished(b, store)
@@ -188,6 +196,12 @@ def run(b: Bus, feature_sets: list[str], kinds, store: str, effort: learners.Eff
     return union_all(parts) if parts else b.spark.createDataFrame([], ", ".join(f"{k} {'int' if k == 'fold' else 'string'}" for k in SPEC) + ", " + _SCORES), done
 
 
+def log_lines(done: DataFrame) -> DataFrame:
+    """(value): a line of text for each detector of a job: its windows, seconds, and scored or why not."""
+    where = F.concat_ws("_", "protocol", F.concat(F.lit("f"), "fold"), "target", "feature_set")
+    return done.select(F.concat(F.lit("["), where, F.lit("] "), "model", F.format_string(" train=%d (pos %d) %.2f s ", "n_train", "n_train_pos", "seconds"), F.coalesce(F.concat(F.lit("!! "), "error"), F.lit("scored"))).alias("value"))
+
+
 def _part(store: str, spec, part: int) -> str:
     return f"{store}/scores/" + "/".join(f"{k}={spec[k]}" for k in SPEC) + f"/part={part}"
 
@@ -226,11 +240,10 @@ def volume_control(b: Bus, kinds: tuple[str, ...] | None = None, feature_sets=("
         own = rows.where(F.col("vehicle") == target)  # both sets of windows in the job's own coding
         inside = lambda w: own.join(w.select(*windows.WINDOW), windows.WINDOW, "left_semi")
         train = written(b, matched(rows.where(F.col("vehicle") != target), n, pos or 0, f"A|{target}|{fs}|{seed}"))
-        parts = []
-        for name, calib, evaluated in (("cross", c1, e1), ("in_f0", inside(c0), inside(e0))):
-            scored = union_all([fit_and_score(k, train, {"cal": calib, "ev": evaluated}, names(fs, b.s.vocabulary), effort) for k in control_kinds(fs, kinds)])
-            parts.append(scored.withColumn("eval_set", F.lit(name)))
-        return stated(union_all(parts), target=target, feature_set=fs, seed=seed)
+        parts = {"cal:cross": c1, "ev:cross": e1, "cal:in_f0": inside(c0), "ev:in_f0": inside(e0)}
+        scored = union_all([fit_and_score(k, train, parts, names(fs, b.s.vocabulary), effort) for k in control_kinds(fs, kinds)])
+        side = F.split("side", ":")
+        return stated(scored.withColumn("eval_set", side[1]).withColumn("side", side[0]), target=target, feature_set=fs, seed=seed)
 
     jobs = [(t, fs, s) for t in _targets(b) for fs in feature_sets for s in seeds]
     return results(b, _stored(b, one, jobs), ["target", "feature_set", "seed", "eval_set", "model"])

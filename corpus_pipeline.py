@@ -45,10 +45,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each copy the byte-level BPE ids' number and digest, and the digest of what they decode to. Null texts are empty."""
+    """Of each copy the byte-level BPE ids, their number and digest, and the digest of what they decode to. Null texts are empty."""
     import public_tokenizers
 
-    return bytepair.digests(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bytepair.digests(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 
 STAGES = [("toxicity", without_toxic), ("near duplicates", without_near_duplicates), ("mixing", mixed), ("encoding", encoded)]

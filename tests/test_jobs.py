@@ -19,8 +19,12 @@ def b(spark, data):
 
 def test_a_failing_detector_leaves_a_row_and_the_others_scores(b, spark):
     kinds = ["Rule:Combined", "Rule:BusLoad", "Rule:None", "NoSuch"]
-    scores, done = jobs.run(b, ["FS-B"], kinds, sinks.scratch(spark, "t"))
+    store = sinks.scratch(spark, "t")
+    scores, done = jobs.run(b, ["FS-B"], kinds, store)
     rows = done.collect()
+    assert all(r.n_train > r.n_train_pos >= 0 and r.seconds > 0 for r in rows)
+    log = [r.value for r in spark.read.option("recursiveFileLookup", "true").text(f"{store}/logs").collect()]
+    assert len(log) == 9 * 4 and sum("!! ValueError: no learner is called NoSuch" in x for x in log) == 9 and sum(x.endswith(" s scored") for x in log) == 18
     assert len(rows) == 9 * 4 and all((r.error is None) == (r.model in kinds[:2]) for r in rows)
     assert all("no learner is called NoSuch" in r.error for r in rows if r.model == "NoSuch")
     assert {r.model for r in scores.select("model").distinct().collect()} == set(kinds[:2])
