@@ -78,6 +78,14 @@ def _gathered(values: np.ndarray, source: np.ndarray, target: np.ndarray, n: int
     return out
 
 
+def _counted(index: np.ndarray, n: int, chunk: int = 1 << 20) -> np.ndarray:
+    """How often each of 0 .. n-1 is in index, in chunks, as bincount makes long integers of what it counts."""
+    out = np.zeros(n, dtype=np.int64)
+    for a in range(0, len(index), chunk):
+        out += np.bincount(index[a : a + chunk], minlength=n)
+    return out
+
+
 def _divergence(m: np.ndarray, share: np.ndarray, q: np.ndarray) -> np.ndarray:
     """m times the relative entropy of share to q: the Chernoff exponent of that share of m texts being toxic where q is expected."""
     q = np.clip(q, 1e-9, 1 - 1e-9)
@@ -86,14 +94,15 @@ def _divergence(m: np.ndarray, share: np.ndarray, q: np.ndarray) -> np.ndarray:
         return m * (up + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - q)), 0.0))
 
 
-def _paired(row: np.ndarray, col: np.ndarray, y: np.ndarray, p: np.ndarray, terms: int, block: int = 1 << 20) -> np.ndarray:
-    """The terms of every pair that is toxic, or clean, more often than the additive p and than either term alone.
+def _paired(row: np.ndarray, flat: np.ndarray, y: np.ndarray, p: np.ndarray, candidates: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """Those candidates that are in a pair that is toxic, or clean, more often than the additive p and than either term alone.
 
-    Entries come by row and term. All pairs that occur together are counted. A pair's evidence must pass the logarithm of the number of tests. Terms whose
+    Entries (row, flat) come by row and term. All pairs that occur together are counted. A pair's evidence must pass the logarithm of the number of tests. Terms whose
     counts cannot give that much with any partner are left out first, which loses no pair and makes tests fewer.
     """
-    seen = np.bincount(col, minlength=terms).astype(np.float64)
-    toxic = _gathered(y, row, col, terms)
+    terms = len(candidates)
+    seen = _counted(flat, 1 << BITS)[candidates].astype(np.float64)
+    toxic = _gathered(y, row, flat, 1 << BITS)[candidates]
     share = toxic / np.maximum(seen, 1)
     most = np.maximum(_divergence(toxic, np.ones(terms), share), _divergence(seen - toxic, np.zeros(terms), share))
     falling = -np.sort(-most)
@@ -101,16 +110,19 @@ def _paired(row: np.ndarray, col: np.ndarray, y: np.ndarray, p: np.ndarray, term
     short = np.flatnonzero(falling < limits)
     limit = limits[short[0]] if len(short) else limits[-1] if terms else 0.0
     able = np.flatnonzero(most >= limit)
-    renumber = np.full(terms, -1, dtype=np.int32)
-    renumber[able] = np.arange(len(able))
-    col = renumber[col]
-    row, col = row[col >= 0], col[col >= 0].astype(np.int64)
+    renumber = np.full(1 << BITS, -1, dtype=np.int32)
+    renumber[candidates[able]] = np.arange(len(able))
+    col = renumber[flat]
+    kept = col >= 0
+    row, col = row[kept], col[kept]
+    del kept
     t, share = len(able), share[able]
     # an entry's partners are those that follow it in its row
-    after = (np.cumsum(np.bincount(row, minlength=len(y)))[row] - np.arange(len(row)) - 1).astype(np.int32)
+    after = np.cumsum(_counted(row, len(y))).astype(np.int32)[row]
+    after -= np.arange(1, len(row) + 1, dtype=np.int32)
     by_term = np.argsort(col, kind="stable").astype(np.int32)
     by_term = by_term[after[by_term] > 0]
-    cuts = np.append(0, np.cumsum(np.bincount(col[by_term], minlength=t)))
+    cuts = np.append(0, np.cumsum(_counted(col[by_term], t)))
     chosen = np.zeros(t, dtype=bool)
     wide = max(1, block // max(t, 1))
 
@@ -123,7 +135,7 @@ def _paired(row: np.ndarray, col: np.ndarray, y: np.ndarray, p: np.ndarray, term
             b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + block, side="right")))
             place = np.repeat(np.arange(a, b), sizes[a:b])
             partner = np.arange(len(place)) + np.repeat(own[a:b] + 1 - (ends[a:b] - sizes[a:b] - (ends[a] - sizes[a])), sizes[a:b])
-            yield place, np.repeat((col[own[a:b]] - low) * t, sizes[a:b]) + col[partner]
+            yield place, np.repeat((col[own[a:b]].astype(np.int64) - low) * t, sizes[a:b]) + col[partner]
             a = b
 
     for low in range(0, t, wide):
@@ -152,7 +164,7 @@ def _paired(row: np.ndarray, col: np.ndarray, y: np.ndarray, p: np.ndarray, term
         additive = expected[some[left]] / n[left]
         sure = left[evidence(np.maximum(high[left], additive), np.minimum(less[left], additive), n[left], got[left]) > limit]
         chosen[i[sure]] = chosen[j[sure]] = True
-    return able[chosen]
+    return candidates[able[chosen]]
 
 
 def _adam(row: np.ndarray, col: np.ndarray, y: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,15 +205,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     rate = (y.sum() + 0.5) / (n + 1.0)
     bias = float(np.log(rate / (1 - rate)))
     row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    flat = np.concatenate([*map(np.sort, rows), none]).astype(np.int32)
-    seen = np.bincount(flat, minlength=1 << BITS)
+    flat = np.concatenate([*map(np.sort, rows), none.astype(np.int32)]).astype(np.int32, copy=False)
+    seen = _counted(flat, 1 << BITS)
     candidates = np.flatnonzero((seen >= MIN_TEXTS) & (seen < n))
 
     def entries(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = np.full(1 << BITS, -1, dtype=np.int32)
         slot[terms] = np.arange(len(terms))
         found = slot[flat]
-        return row[found >= 0], found[found >= 0]
+        kept = found >= 0
+        return row[kept], found[kept]
 
     terms = candidates
     at, col = entries(terms)
@@ -222,7 +235,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     # pairs are held against weights that the penalty doesn't shorten
     bias, w, _, p = _adam(at, col, y, bias, w, np.zeros((len(terms), 0)), 150)
     del at, col
-    paired = candidates[_paired(*entries(candidates), y, p, len(candidates))]
+    paired = _paired(row, flat, y, p, candidates)
     weights = np.zeros(1 << BITS)
     weights[terms] = w
     terms = np.union1d(terms, paired)
