@@ -120,7 +120,7 @@ class Block:
         return self.margins[self.own, np.arange(len(self.y))]
 
     def histogram(self, tree: Tree, nodes: list[int], width: int, share: float, seed: int, k: int) -> np.ndarray:
-        """(nodes, columns, bins, 3): sums of gradients and hessians, and rows, of the rows drawn for tree k."""
+        """(nodes, 3, columns, bins): sums of gradients and hessians, and rows, of the rows drawn for tree k."""
         slot = np.full(len(tree.column), -1)
         slot[nodes] = np.arange(len(nodes))
         slot = slot[tree.place(self.bins)]
@@ -135,7 +135,7 @@ class Block:
         flat = ((slot[some, None] * d + np.arange(d)) * width + self.bins[some]).ravel()
         size = len(nodes) * d * width
         parts = [np.bincount(flat, np.repeat(x[some], d), size) for x in (g, h)] + [np.bincount(flat, minlength=size)]
-        return np.stack(parts, axis=-1).reshape(len(nodes), d, width, 3)
+        return np.stack([p.reshape(len(nodes), d, width) for p in parts], axis=1)
 
     def leaf_sums(self, tree: Tree) -> np.ndarray:
         """(models, nodes, 2): each model's gradients and hessians by leaf, of the rows it may see."""
@@ -198,8 +198,8 @@ class Spread:
         return [np.frombuffer(r["sums"]) for r in sorted(summed.collect(), key=lambda r: r["part"])]
 
     def histogram(self, tree: Tree, nodes: list[int], width: int, share: float, seed: int, k: int) -> np.ndarray:
-        sums = self._each(lambda b: b.histogram(tree, nodes, width, share, seed, k).swapaxes(0, 1), self.columns)
-        return np.stack([s.reshape(len(nodes), width, 3) for s in sums], axis=1)
+        sums = self._each(lambda b: b.histogram(tree, nodes, width, share, seed, k).transpose(2, 0, 1, 3), self.columns)
+        return np.stack([s.reshape(len(nodes), 3, width) for s in sums], axis=2)
 
     def leaf_sums(self, tree: Tree) -> np.ndarray:
         return np.stack([s.reshape(len(tree.column), 2) for s in self._each(lambda b: b.leaf_sums(tree), self.models)])
@@ -209,21 +209,33 @@ class Spread:
         self.shared.append(self.blocks.sparkSession.sparkContext.broadcast(tree))
 
 
+def _sides(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums up to each cut, beyond it, and in all."""
+    low, all_ = sums.cumsum(axis=-1)[..., :-1], sums.sum(axis=-1, keepdims=True)
+    return low, all_ - low, all_
+
+
+def _fit(s: np.ndarray, growth: Growth) -> np.ndarray:
+    """What a leaf with these sums lowers the loss by (twice): (nodes, 3, ...) to (nodes, ...)."""
+    return s[:, 0] ** 2 / (s[:, 1] + growth.l2)
+
+
 def gains(sums: np.ndarray, growth: Growth, columns: np.ndarray) -> np.ndarray:
-    """(nodes, columns, cuts): what each cut lowers the loss by (twice), -inf where it isn't allowed. sums: (nodes, columns, bins, 3)."""
-    low = sums.cumsum(axis=2)[:, :, :-1]
-    all_ = sums.sum(axis=2, keepdims=True)
-    high = all_ - low
-    fit = lambda s: s[..., 0] ** 2 / (s[..., 1] + growth.l2)
-    gain = fit(low) + fit(high) - fit(all_)
-    kept = (np.minimum(low[..., 2], high[..., 2]) >= growth.least_rows) & (np.minimum(low[..., 1], high[..., 1]) >= growth.least_hessian)
-    barred = np.ones(sums.shape[1], dtype=bool)
+    """(nodes, columns, cuts): what each cut lowers the loss by (twice), -inf where it isn't allowed. sums: (nodes, 3, columns, bins)."""
+    low, high, all_ = _sides(sums)
+    gain = _fit(low, growth) + _fit(high, growth) - _fit(all_, growth)
+    kept = (np.minimum(low[:, 2], high[:, 2]) >= growth.least_rows) & (np.minimum(low[:, 1], high[:, 1]) >= growth.least_hessian)
+    barred = np.ones(sums.shape[2], dtype=bool)
     barred[columns] = False
     gain[~kept] = -np.inf
     gain[:, barred] = -np.inf
     return gain
 
 
+def _smaller_is_left(sums: np.ndarray, column: int, cut: int) -> bool:
+    return sums[2, column].sum() >= 2 * sums[2, column, : cut + 1].sum()
+
+
 def _best(gain: np.ndarray) -> tuple[float, int, int]:
     """The largest gain of a node with its column and cut; ties to the first column and lowest cut."""
     at = int(gain.argmax())
@@ -259,7 +271,7 @@ def leafwise(source, growth: Growth, width: int, columns: np.ndarray, seed: int,
             trial, smaller = _copied(tree), []
             for n, c, b in ahead:
                 pair = trial.split(n, c, b)
-                low = sums[n][0, :, 2].sum() >= 2 * sums[n][c, : b + 1, 2].sum()
+                low = _smaller_is_left(sums[n], c, b)
                 smaller.append((n, pair[0] if low else pair[1], low))
             found = source.histogram(trial, [s for _, s, _ in smaller], width, growth.rows, seed, k)
             ready |= {n: (low, found[i]) for i, (n, _, low) in enumerate(smaller)}
@@ -270,7 +282,7 @@ def leafwise(source, growth: Growth, width: int, columns: np.ndarray, seed: int,
             sums[child] = own
             consider(child)
         leaves += 1
-    return _finished(tree, {n: s[0].sum(axis=0) for n, s in sums.items()}, growth)
+    return _finished(tree, {n: s[:, 0].sum(axis=-1) for n, s in sums.items()}, growth)
 
 
 def _copied(tree: Tree) -> Tree:
@@ -295,10 +307,10 @@ def depthwise(source, growth: Growth, width: int, columns: np.ndarray, seed: int
         for node, sums in level.items():
             gain, column, cut = _best(gains(sums[None], growth, columns)[0]) if depth < growth.depth else (0.0, 0, 0)
             if gain > 1e-12:
-                low = sums[0, :, 2].sum() >= 2 * sums[column, : cut + 1, 2].sum()
+                low = _smaller_is_left(sums, column, cut)
                 pairs.append((sums, tree.split(node, column, cut), low))
             else:
-                leaves[node] = sums[0].sum(axis=0)
+                leaves[node] = sums[:, 0].sum(axis=-1)
         if not pairs:
             break
         found = source.histogram(tree, [p[0 if low else 1] for _, p, low in pairs], width, growth.rows, seed, k)
@@ -311,19 +323,18 @@ def depthwise(source, growth: Growth, width: int, columns: np.ndarray, seed: int
 def symmetric(source, growth: Growth, width: int, columns: np.ndarray, seed: int, k: int) -> Tree:
     """One cut for all nodes of a level: that of the largest total gain. Gradients come from models that haven't seen the row.
 
-    Then each model's leaves are set from the rows it may see.
+    Then each model's leaves are set from the rows it may see. The cuts are chosen by all rows' gradients, so they, unlike the
+    leaves, hang a little on a row's own label.
     """
     tree = Tree()
     for _ in range(growth.depth):
         nodes = tree.leaves()
         sums = source.histogram(tree, nodes, width, growth.rows, seed, k)
-        low = sums.cumsum(axis=2)[:, :, :-1]
-        high = sums.sum(axis=2, keepdims=True) - low
-        fit = lambda s: s[..., 0] ** 2 / (s[..., 1] + growth.l2)
-        total = (fit(low) + fit(high)).sum(axis=0)
-        total[(low[..., 2].sum(axis=0) == 0) | (high[..., 2].sum(axis=0) == 0)] = -np.inf  # a cut that parts nothing
+        low, high, all_ = _sides(sums[sums[:, 2, 0].sum(axis=-1) > 0])  # of nodes with rows
+        total = (_fit(low, growth) + _fit(high, growth)).sum(axis=0)
+        total[(low[:, 2].sum(axis=0) == 0) | (high[:, 2].sum(axis=0) == 0)] = -np.inf  # a cut that parts nothing
         gain, column, cut = _best(total)
-        if not gain > fit(sums.sum(axis=2)[:, 0]).sum() + 1e-12:
+        if not gain > _fit(all_[:, :, 0, 0], growth).sum() + 1e-12:
             break
         for node in nodes:
             tree.split(node, column, cut)

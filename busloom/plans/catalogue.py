@@ -1025,6 +1025,10 @@ _SQL["flagship_bus_load"] = with_pieces(
 )
 
 
+#: Queries that fit dozens of models each.
+LONGEST = ("e1_rank_average_hybrid", "e2_stacking", "c3_control_feature_sets", "c2_control_sources", "c1_control_matched_volume", "g4_job_loop")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"flagship_bus_load": lambda spark, sf_dir: rounded(flagship(spark, sf_dir)), **_QUERIES}
 

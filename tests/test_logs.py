@@ -56,3 +56,20 @@ def test_csv_labels_and_no_labels(spark, tmp_path):
     frames, bad = logs.read_csv_captures(spark, f"file://{tmp_path}")
     assert [(r.seq, r.us, r.aid, r.dlc, r.y) for r in frames.orderBy("seq").collect()] == [(1, 1_500_000, 0xC1, 2, 1), (2, 1_600_000, 0xC1, 0, None)]
     assert [r.line for r in bad.orderBy("line").collect()] == [3, 4]
+
+
+def test_frames_are_placed_alike_in_parts_of_any_size(spark, data, monkeypatch):
+    from busloom.operators import messages
+
+    frames = bus(spark, data).frames
+    got = []
+    for part in (65_536, 7):
+        monkeypatch.setattr(messages, "PART", part)
+        got.append(sorted(map(tuple, messages.placed(frames).select("capture", "seq", "ord", "n_capture", "dt").collect())))
+    assert got[0] == got[1]
+    by_capture = {}
+    for capture, seq, us in sorted((r.capture, r.seq, r.us) for r in frames.collect()):
+        by_capture.setdefault(capture, []).append((seq, us))
+    for capture, seq, at, n, dt in got[0]:
+        own = by_capture[capture]
+        assert own[at][0] == seq and n == len(own) and dt == ((own[at][1] - own[at - 1][1]) / 1e6 if at else 0.0)

@@ -144,8 +144,9 @@ def test_average_ranks_share_ties(spark):
 
 
 def test_wilcoxon():
-    # 10 positive differences without ties: z = (55 - 27.5) / sqrt(96.25)
-    assert reports.wilcoxon_p(10, 55.0, 0, True) == pytest.approx(0.5 * math.erfc(27.5 / math.sqrt(96.25) / math.sqrt(2)))
+    # 10 positive differences without ties: one of 2**10 choices of signs; with a dropped zero z = (55 - 27.5) / sqrt(96.25)
+    assert reports.wilcoxon_p(10, 55.0, 0, True) == 1 / 1024
+    assert reports.wilcoxon_p(10, 55.0, 0, True, zeros=1) == pytest.approx(0.5 * math.erfc(27.5 / math.sqrt(96.25) / math.sqrt(2)))
 
 
 def test_count_aware_labels(spark):
