@@ -11,11 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
+
+from busloom.llm import common
 
 #: A byte b is the character BYTE_BASE + b of the model: one code point each, none of them white space.
 BYTE_BASE = 0x100
 #: Distinct pre-tokens a worker remembers before it starts afresh.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 #: Pre-tokens of one text that are held at once; characters, and bytes of decoded text, after which a batch goes out.
 RUN, FLUSH_CHARS, FLUSH_BYTES = 1 << 17, 1 << 20, 8 << 20
 
@@ -156,66 +159,96 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield start, texts
 
 
-def encoded(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+class Decoder:
+    """Maps ids back to bytes: a token's bytes are a slice of all tokens' bytes laid end to end."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(self.length)))[:-1]
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, RUN of them at a time; an unknown id is an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length)):
+            raise ValueError("an id that the vocabulary doesn't have")
+        pieces = []
+        for at in range(0, len(ids), RUN):
+            some = ids[at : at + RUN]
+            n = self.length[some]
+            where = np.arange(n.sum()) + np.repeat(self.begin[some] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            pieces.append(self.flat[where].tobytes())
+        return b"".join(pieces)
+
+
+def _in_order(ranks: dict[bytes, int]) -> list[bytes]:
+    return sorted(ranks, key=ranks.__getitem__)
+
+
+def _replaced(df: DataFrame, column: str, outs: dict[str, DataType], make) -> DataFrame:
+    """df without column and with outs, types by name, after its other columns; one of an out's name is replaced.
+
+    make(batches) gives Arrow batches of the other columns and the outs; column comes last in what it gets. Columns are
+    numbered on the way, so that any name passes.
+    """
+    taken = {o.lower() for o in outs} | {column.lower()}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
+    fields = [*((f.name, f.dataType) for f in kept), *outs.items()]
+    shape = StructType([StructField(f"c{i}", kind) for i, (_, kind) in enumerate(fields)])
+    numbered = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.col(f"`{column}`").alias("last"))
+    return numbered.mapInArrow(make, shape).toDF(*[name for name, _ in fields])
+
+
+def encoded(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out: str = "ids", decoded_as: str | None = None) -> DataFrame:
     """Replaces text_col by out: array<int>, the text's byte-level BPE ids; a null or empty text has none.
 
     vocabulary is the path of a .tiktoken file, read on the driver; the model of bounded size (about 20 bytes a token)
-    goes to the workers. Other columns stay, whatever their names. Work is row by row: no shuffle, whole texts,
-    memory bounded by one text and its ids.
+    goes to the workers. Other columns stay, whatever their names; one called out is replaced. With decoded_as, a binary
+    column of that name holds the bytes that the ids decode to, made in the same pass: one Python worker a task instead
+    of two, and the ids cross to Python and back once less. Work is row by row: no shuffle, whole texts, memory bounded
+    by one text and its ids.
     """
-    spark = df.sparkSession
-    model = spark.sparkContext.broadcast(model_proto(read_ranks(vocabulary)))
-    rest = [c for c in df.columns if c != text_col]
-    shape = df.select(*rest, F.lit(None).cast("array<int>").alias(out)).schema
+    context, ranks = df.sparkSession.sparkContext, read_ranks(vocabulary)
+    model = context.broadcast(model_proto(ranks))
+    tokens = context.broadcast(_in_order(ranks)) if decoded_as else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value, pattern)
+        encoder, decoder = Encoder(model.value, pattern), Decoder(tokens.value) if tokens else None
         for batch in batches:
-            others = [batch.column(c) for c in rest]
-            for start, texts in _groups(batch.column(text_col)):
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, len(texts)) for c in others), _lists(encoder.encode(texts))], names=[*rest, out])
+            *others, texts_of = batch.columns
+            for start, texts in _groups(texts_of):
+                parts = encoder.encode(texts)
+                made = [_lists(parts)]
+                if decoder:
+                    made.append(pa.array([decoder.decode(np.frombuffer(p, dtype="<i4")) for p in parts], pa.binary()))
+                columns = [*(c.slice(start, len(texts)) for c in others), *made]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    return df.select(*rest, text_col).mapInArrow(run, shape)
+    return _replaced(df, text_col, {out: ArrayType(IntegerType())} | ({decoded_as: BinaryType()} if decoded_as else {}), run)
 
 
 def decoded(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds out: binary, the bytes that the ids in ids_col stand for; null ids give no bytes. An unknown id is an error."""
-    ranks = read_ranks(vocabulary)
-    spark = df.sparkSession
-    tokens = spark.sparkContext.broadcast(sorted(ranks, key=ranks.__getitem__))
-    shape = df.select("*", F.lit(None).cast("binary").alias(out)).schema
-    names = [*df.columns, out]
+    """Adds out, or replaces it: binary, the bytes that the ids in ids_col stand for; null ids give no bytes. An unknown id is an error."""
+    tokens = df.sparkSession.sparkContext.broadcast(_in_order(read_ranks(vocabulary)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length = np.array([len(t) for t in tokens.value], dtype=np.int64)
-        begin = np.concatenate(([0], np.cumsum(length)))[:-1]
-        flat = np.frombuffer(b"".join(tokens.value), dtype=np.uint8)
+    def make(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(tokens.value)
         for batch in batches:
-            lists = batch.column(ids_col)
+            lists = batch.column(at)
             start, parts, held = 0, [], 0
             for i in range(batch.num_rows):
                 ids = lists[i].values
-                ids = np.zeros(0, np.int64) if ids is None else ids.to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(length)):
-                    raise ValueError("an id that the vocabulary doesn't have")
-                pieces = []
-                for at in range(0, len(ids), RUN):
-                    some = ids[at : at + RUN]
-                    n = length[some]
-                    where = np.arange(n.sum()) + np.repeat(begin[some] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                    pieces.append(flat[where].tobytes())
-                parts.append(b"".join(pieces))
+                parts.append(decoder.decode(np.zeros(0, np.int64) if ids is None else ids.to_numpy(zero_copy_only=False)))
                 held += len(parts[-1])
                 if held >= FLUSH_BYTES or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(parts)) for c in batch.columns), pa.array(parts, pa.binary())], names=names)
+                    yield common.extended([c.slice(start, len(parts)) for c in batch.columns], pa.array(parts, pa.binary()))
                     start, parts, held = i + 1, [], 0
 
-    return df.mapInArrow(run, shape)
+    return common.with_column(df, make, BinaryType(), out, ids_col)
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes of every row of docs; with ids, the ids too."""
-    both = decoded(encoded(docs.select("doc_id", "text"), vocabulary, pattern), vocabulary)
+    both = encoded(docs.select("doc_id", "text"), vocabulary, pattern, decoded_as="decoded")
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return both.select(
         "doc_id",

@@ -316,6 +316,22 @@ def test_byte_bpe_matches_tiktoken(docs, no_docs):
     assert bytepair.digests(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_one_pass_or_two(spark, docs):
+    """Decoding beside encoding, and decoding a column of ids, give the same bytes; columns called like a result are replaced, all others stay."""
+    odd = docs.withColumn("DECODED", F.lit("old")).withColumn("a.b", F.lit(5))
+    once = bytepair.encoded(odd, RANKS, public_tokenizers.PATTERN, decoded_as="decoded")
+    twice = bytepair.decoded(bytepair.encoded(odd, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert once.columns == twice.columns == ["doc_id", "lang", "source", "n_chars", "score", "a.b", "ids", "decoded"]
+    rows = [sorted(map(tuple, f.collect()), key=repr) for f in (once, twice)]
+    assert rows[0] == rows[1]
+    assert Counter((r[0], bytes(r[-1]).decode()) for r in rows[0]) == Counter(plain(docs))
+    assert {r[5] for r in rows[0]} == {5}
+    no_ids = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {bytes(r.decoded) for r in bytepair.decoded(no_ids, RANKS).collect()} == {b""}
+    with pytest.raises(Exception, match="an id that the vocabulary doesn't have"):
+        bytepair.decoded(spark.createDataFrame([(1, [70_000])], "doc_id long, ids array<int>"), RANKS).collect()
+
+
 def test_byte_bpe_small_memo(monkeypatch):
     monkeypatch.setattr(bytepair, "MEMO_ENTRIES", 5)
     encoder = bytepair.Encoder(bytepair.model_proto(bytepair.read_ranks(RANKS)), public_tokenizers.PATTERN)
