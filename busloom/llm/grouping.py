@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from busloom.llm.common import staged, workspace
 
 
-def distinct_buckets(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Of (key, node) rows, each node once a key: the keys of two nodes and more with their sizes n, keys of the same nodes once.
+#: Rows of a table that is broadcast; a larger one is joined by shuffle.
+MAX_BROADCAST = 200_000
 
-    known (node, root): keys whose nodes all have one root already, which could join nothing new, are left out.
-    """
-    aggregates = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    if known is not None:
-        rows = rows.join(known, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        aggregates += [F.min("label").alias("low"), F.max("label").alias("high")]
-    sizes = rows.groupBy("key").agg(*aggregates).where("n >= 2" if known is None else "low < high")
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast where it has up to MAX_BROADCAST of them; itself where it has more."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+
+
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """Of (key, node) rows, each node once a key: the keys of two nodes and more with their sizes n, keys of the same nodes once."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n >= 2")
     return sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
 
 
@@ -108,6 +110,26 @@ def local_roots(near: np.ndarray) -> np.ndarray:
         label = low
 
 
+def reached(content: np.ndarray, near) -> np.ndarray:
+    """Each row's smallest row that ties lead to; near(content of rest, a's content, rest, a) says which of the rows rest are tied to row a.
+
+    A row reached is held against those alone that nothing has reached yet, so that rows all tied to each other cost no more than one pass.
+    """
+    root = np.arange(len(content))
+    rest, left = root.copy(), content
+    while len(rest):
+        first, rest, left = rest[0], rest[1:], left[1:]
+        queue = [first]
+        while queue and len(rest):
+            a = queue.pop()
+            tied = near(left, content[a], rest, a)
+            if tied.any():
+                root[rest[tied]] = first
+                queue += rest[tied].tolist()
+                rest, left = rest[~tied], left[~tied]
+    return root
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): for each node of edges (a, b), the smallest node it reaches.
 
@@ -117,18 +139,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     folder = workspace(edges.sparkSession, name)
     tied = edges.where("a <> b").select("a", "b").withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
-    pair = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-    few = tied.select(pair.alias("p")).select("p.a", "p.b").where("a <> b").distinct()
-    few = staged(few, "few", folder)
-    both = staged(few.union(few.select("b", "a")).distinct(), "edges", folder)
+    pairs = [F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for x in ("a", "b") for a, b in ((x, "m"), ("m", x))]
+    both = staged(tied.select(F.explode(F.array(*pairs)).alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "edges", folder)
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"))
     label = staged(label, "round-0", folder)
     done, k = label.isEmpty(), 0
     while not done:
         k += 1
-        offered = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
-        met = label.join(offered, "node").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("via"))
-        jump = met.join(label.select(F.col("node").alias("via"), F.col("root").alias("next")), "via", "left")
+        known = few(label)
+        offered = both.join(known.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
+        met = offered.join(known, "node").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("via"))
+        jump = met.join(known.select(F.col("node").alias("via"), F.col("root").alias("next")), "via", "left")
         label = staged(jump.select("node", F.least("via", F.coalesce("next", "via")).alias("root"), (F.least("via", F.coalesce("next", "via")) != F.col("was")).alias("changed")), f"round-{k}", folder)
         done = label.where("changed").isEmpty()
         label = label.select("node", "root")

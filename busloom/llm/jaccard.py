@@ -12,21 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from busloom.llm.common import staged, workspace
-from busloom.llm.grouping import block_pairs, blocks_of, components, distinct_buckets, local_roots, runs, spread_join, together
+from busloom.llm.grouping import block_pairs, blocks_of, components, distinct_buckets, few, local_roots, reached, runs, spread_join, together
 from busloom.llm.hashing import WordHasher, mixed
 
 #: Words of a shingle; least Jaccard similarity; least share of the pairs at that similarity that the runs find.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.995
-#: Sampled tokens of a set (the least of a hash over its shingles, position by position).
+#: Sampled tokens of a set (the least of a hash over its shingles, position by position). Only their low bytes move: equal tokens stay equal.
 POSITIONS = 128
 #: A bucket of up to SMALL sets is compared by brute force; larger ones are split again, until they are DEPTH deep.
 SMALL, DEPTH = 512, 3
 #: Standard deviations of the estimate by POSITIONS tokens that a pair may lie below SIMILARITY and still be verified.
 SLACK = 5.0
-#: Runs after which buckets that these have joined already are left out.
-FIRST_RUNS = 2
-#: Rows of a table of representatives that is broadcast; a larger one meets the texts by shuffle.
-MAX_BROADCAST = 200_000
 #: Shingles, and sets, in a block of the exact comparison.
 BLOCK_SHINGLES, BLOCK_SETS = 400_000, 2_048
 _MULTIPLY = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -78,42 +74,52 @@ def sampled(path: int, similarity: float) -> np.ndarray:
     return some if len(some) else draws.argmin(keepdims=True)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (the hash of the set of shingles; null without any) and tokens (the sketch)."""
+def roots(similarity: float, recall: float) -> list[tuple[int, int]]:
+    """The (run, position) pairs by which the runs first split all sets."""
+    return [(r, int(i)) for r in range(plan_runs(similarity, recall, DEPTH)) for i in sampled(r + 1, similarity)]
+
+
+def _sets(docs: DataFrame, positions: list[int]) -> DataFrame:
+    """doc_id, text_hash, node (the hash of the set of shingles; null without any), size (its shingles), heads (the sampled
+    tokens at the positions, whole) and tokens (the low bytes of all)."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    shape = docs.select("doc_id", "text_hash", F.lit(0).cast("long").alias("node"), F.lit(b"").alias("tokens")).schema
+    shape = docs.select("doc_id", "text_hash", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("heads"), F.lit(b"").alias("tokens")).schema
     for f in shape:
         f.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            nodes, tokens = [], []
+            nodes, sizes, heads, tokens = [], [], [], []
             for t in batch.column("text"):
                 s = shingles(t.as_py(), hasher)
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                tokens.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["doc_id", "text_hash", "node", "tokens"])
+                k = sketch(s) if len(s) else None
+                nodes.append(None if k is None else xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                sizes.append(len(s))
+                heads.append(None if k is None else k[positions].tobytes())
+                tokens.append(None if k is None else k.astype(np.uint8).tobytes())
+            new = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary()), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=shape.names)
 
     return docs.mapInArrow(run, shape)
 
 
 def _split(rows: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, tokens) -> (key, node) of the sub-buckets."""
+    """(key, node, tokens) of the sub-buckets of such rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint32).reshape(len(keys), POSITIONS)
+            tokens = _matrix(batch.column("tokens"))
             for key in np.unique(keys):
                 at = np.flatnonzero(keys == key)
                 for i in sampled(int(key), similarity):
                     new = mixed(mixed(key.astype(np.uint64) + np.uint64(i + 1)) + tokens[at, i]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(nodes[at])], names=["key", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(nodes[at]), batch.column("tokens").take(pa.array(at))], names=["key", "node", "tokens"])
 
-    return rows.select("key", "node", "tokens").mapInArrow(run, "key long, node long")
+    return rows.select("key", "node", "tokens").mapInArrow(run, "key long, node long, tokens binary")
 
 
 def _star(nodes: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
@@ -127,62 +133,63 @@ def least_tokens(similarity: float) -> float:
 
 
 def _matrix(tokens: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(tokens.to_pylist()), dtype=np.uint32).reshape(len(tokens), POSITIONS)
+    return np.frombuffer(b"".join(tokens.to_pylist()), dtype=np.uint8).reshape(len(tokens), POSITIONS)
+
+
+def _alike(tokens: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """At how many positions each row of tokens has those of one."""
+    eights = (tokens == one).view(np.uint64).sum(axis=1, dtype=np.uint64)  # a byte counts POSITIONS / 8 positions
+    return (eights * np.uint64(0x0101010101010101)) >> np.uint64(56)
 
 
 def _candidates(sets: DataFrame, similarity: float, recall: float, folder: str) -> DataFrame:
     """(node, root): sets tied by buckets that they share and sampled tokens that don't rule the similarity out.
 
-    Every bucket of over SMALL sets is split again down to DEPTH, where it is compared by blocks. After FIRST_RUNS runs the
-    groups found are recorded: a later bucket whose sets are all of one group can tie nothing new and is left out.
+    Every bucket of over SMALL sets is split again down to DEPTH, where it is compared by blocks. All runs go together, and
+    buckets of the same sets count once. Inside a bucket a set that is tied is not compared with those tied already.
     """
     least = least_tokens(similarity)
-    total = plan_runs(similarity, recall, DEPTH)
-    tokens = sets.select("node", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, across in runs(batches):
             nodes, own = batch.column("node").to_numpy(), batch.column("own").to_numpy()
-            tokens = _matrix(batch.column("tokens"))
-            near = np.zeros((len(nodes), len(nodes)), dtype=bool)
-            for a in range(len(nodes)):
-                near[a] = np.count_nonzero(tokens == tokens[a], axis=1) >= least
-            if across:
-                near &= own[:, None] != own[None, :]
-            yield _star(nodes, local_roots(near))
-
-    edges, known = None, None
-    for part, some in (("first", range(min(FIRST_RUNS, total))), ("rest", range(FIRST_RUNS, total))):
-        # one pass over the sets gives the rows of these runs
-        roots = [(r, int(i)) for r in some for i in sampled(r + 1, similarity)]
-        if not roots:
-            continue
-        keys = F.array(*[F.xxhash64(F.lit(r), F.lit(i), F.substring("tokens", 4 * i + 1, 4)) for r, i in roots])
-        rows = staged(sets.select(F.explode(keys).alias("key"), "node"), f"{part}-1", folder)
-        for level in range(1, DEPTH + 1):
-            buckets = staged(distinct_buckets(rows, known), f"{part}-buckets-{level}", folder)
-            done = F.col("n") <= SMALL if level < DEPTH else F.lit(True)
-            members = rows.join(buckets.where(done), "key").join(tokens, "node")
-            pairs = block_pairs(members, blocks_of(F.col("n"), BLOCK_SETS))
-            found = staged(together(pairs).mapInArrow(compare, "a long, b long").distinct(), f"{part}-edges-{level}", folder)
-            edges = found if edges is None else edges.union(found)
-            large = buckets.where(~done).select("key")
-            if level == DEPTH or large.isEmpty():
-                break
-            rows = staged(_split(rows.join(large, "key").join(tokens, "node"), similarity).distinct(), f"{part}-{level + 1}", folder)
-        known = components(edges, f"{part}-groups")
-    return known
-
-
-def _verified(docs: DataFrame, members: DataFrame, tokens: DataFrame, similarity: float, folder: str) -> DataFrame:
-    """Exact similarities within each candidate group (rep, node, key, copies): rows (a, b) of links and (a, links) of counts.
+
+            def near(tokens: np.ndarray, one: np.ndarray, rest: np.ndarray, a: int, own=own, across=across) -> np.ndarray:
+                some = _alike(tokens, one) >= least
+                return some & (own[rest] != own[a]) if across else some
+
+            yield _star(nodes, reached(_matrix(batch.column("tokens")), near))
+
+    places = [F.xxhash64(F.lit(r), F.lit(i), F.substring("heads", 4 * k + 1, 4)) for k, (r, i) in enumerate(roots(similarity, recall))]
+    rows, edges = sets.select(F.explode(F.array(*places)).alias("key"), "node", "tokens"), None
+    for level in range(1, DEPTH + 1):
+        buckets = staged(distinct_buckets(rows.select("key", "node")), f"buckets-{level}", folder)
+        some = few(buckets)
+        if some is not buckets or level > 1:
+            members = rows.join(some, "key")
+        else:  # only the members' tokens move
+            members = rows.select("key", "node").join(buckets, "key").join(sets.select("node", "tokens"), "node")
+        members = staged(members.select("key", "node", "tokens", "n"), f"members-{level}", folder)
+        done = F.col("n") <= SMALL if level < DEPTH else F.lit(True)
+        pairs = block_pairs(members.where(done), blocks_of(F.col("n"), BLOCK_SETS, spread=SMALL, tasks=4))
+        found = staged(together(pairs).mapInArrow(compare, "a long, b long"), f"edges-{level}", folder)
+        edges = found if edges is None else edges.union(found)
+        large = members.where(~done)
+        if level == DEPTH or large.isEmpty():
+            break
+        rows = staged(_split(large, similarity), f"rows-{level + 1}", folder)
+    return components(edges, "groups")
+
+
+def _verified(docs: DataFrame, members: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """Exact similarities within each candidate group (rep, node, key, copies, size, tokens): rows (a, b) of links and (a, links) of counts.
 
     One text of each set is read again. A group's sets are dealt into blocks of bounded size; each pair of blocks is one
     task's work, so that a group of any size is compared whole, and what leaves a task is a row or two a set. Pairs that
-    their sampled tokens (node, tokens) rule out cost no more than the comparison of those, so a chain of texts that are
+    their sampled tokens rule out cost no more than the comparison of those, so a chain of texts that are
     alike by twos is cheap.
     """
-    shape = "key long, node long, copies long, hashes binary"
+    shape = "key long, node long, copies long, blocks long, hashes binary"
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -190,16 +197,18 @@ def _verified(docs: DataFrame, members: DataFrame, tokens: DataFrame, similarity
             sets = [shingles(t.as_py(), hasher).tobytes() for t in batch.column("text")]
             # several texts may have the representative's id; the one whose set is the node's is meant
             right = [xxhash.xxh3_64_intdigest(h) - (1 << 63) == n for h, n in zip(sets, batch.column("node").to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), batch.column("copies"), pa.array(sets, pa.binary())], names=["key", "node", "copies", "hashes"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "copies", "blocks")), pa.array(sets, pa.binary())], names=["key", "node", "copies", "blocks", "hashes"])
             yield out.filter(pa.array(right, pa.bool_()))
 
     members = staged(members, "members", folder)
-    few = F.broadcast(members) if members.count() <= MAX_BROADCAST else members  # only candidates' texts move
-    texts = docs.join(few, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "node", "copies", "text").mapInArrow(again, shape)
-    sets = staged(texts.dropDuplicates(["node"]).join(tokens, "node"), "sets", folder)
-    sizes = sets.groupBy("key").agg(F.sum(F.octet_length("hashes") / 8).alias("shingles"), F.count(F.lit(1)).alias("n"))
-    blocks = F.greatest(F.ceil(F.col("shingles") / F.lit(float(BLOCK_SHINGLES))), blocks_of(F.col("n"), BLOCK_SETS))
-    dealt = block_pairs(sets.join(sizes, "key"), blocks).drop("shingles", "n")
+    blocks = F.greatest(F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES))), blocks_of(F.count(F.lit(1)), BLOCK_SETS))
+    sizes = staged(members.groupBy("key").agg(blocks.cast("long").alias("blocks")), "sizes", folder)
+    listed = members.select("rep", "key", "node", "copies").join(few(sizes), "key")
+    if few(members) is not members:  # only candidates' texts move
+        listed = F.broadcast(listed)
+    texts = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "node", "copies", "blocks", "text").mapInArrow(again, shape)
+    sets = texts.dropDuplicates(["node"]).join(members.select("node", "tokens"), "node")
+    dealt = block_pairs(sets, F.col("blocks")).drop("blocks")
     least = least_tokens(similarity)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +222,10 @@ def _verified(docs: DataFrame, members: DataFrame, tokens: DataFrame, similarity
             mark = np.zeros(len(values), dtype=np.int32)
             near = np.zeros((len(nodes), len(nodes)), dtype=bool)
             for a in range(len(nodes)):
-                some = np.count_nonzero(tokens == tokens[a], axis=1) >= least
-                some[: a + 1] = False
+                some = _alike(tokens[a + 1 :], tokens[a]) >= least
                 if across:
-                    some &= own != own[a]
-                some = np.flatnonzero(some)
+                    some &= own[a + 1 :] != own[a]
+                some = np.flatnonzero(some) + a + 1
                 if not len(some):
                     continue
                 mine = codes[ends[a] - sizes[a] : ends[a]]
@@ -250,27 +258,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     spark = docs.sparkSession
     folder = workspace(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = staged(_sets(docs).withColumn("row", F.monotonically_increasing_id()), "rows", folder)
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("tokens").alias("tokens"))
-    nodes = staged(nodes, "nodes", folder)
+    sets = _sets(docs, [i for _, i in roots(similarity, recall)])
+    rows = staged(sets.withColumn("row", F.monotonically_increasing_id()), "rows", folder)
+    # a set's smallest id, and one of the rows that have it; null ids come after all others
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), F.col("row").alias("first"))).alias("one")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(one, F.count(F.lit(1)).alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "heads", "tokens")])
+    nodes = staged(nodes.select("node", "one.rep", "one.first", "copies", "size", "heads", "tokens"), "nodes", folder)
     near = _candidates(nodes, similarity, recall, folder)
-    members = nodes.drop("tokens").join(near.select("node", F.col("root").alias("key")), "node")
-    links = _verified(docs, members, nodes.select("node", "tokens"), similarity, folder)
+    members = nodes.drop("first", "heads").join(few(near.select("node", F.col("root").alias("key"))), "node")
+    links = _verified(docs, members, similarity, folder)
     root = components(links.select("a", "b"), "classes")
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    joined = nodes.select("node", "rep", "copies").join(root, "node", "left").join(counts, "node", "left")
-    joined = staged(joined.select("node", "rep", "copies", F.coalesce("root", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "classed", folder)
+    linked = nodes.select("node", "rep").join(few(staged(root.join(counts, "node"), "counts", folder)), "node")
+    linked = staged(linked.withColumnRenamed("root", "class"), "linked", folder)
     # a class's row that stays: the smallest id's, and of several sets with that id the smallest node's
-    heads = joined.groupBy("class").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("head"))
-    facts = joined.join(heads, "class").select("node", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.rep").alias("class_id"), (F.col("head.node") == F.col("node")).alias("head"))
+    heads = staged(linked.groupBy("class").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("head")), "heads", folder)
+    classed = staged(linked.join(few(heads), "class").select("node", "links", F.col("head.rep").alias("class_id"), (F.col("head.node") == F.col("node")).alias("head")), "classed", folder)
+    facts = nodes.select("node", "rep", "first", "copies").join(few(classed), "node", "left")
+    facts = facts.select("node", "copies", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("head").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("head", F.lit(True)).alias("head"))
     out = spread_join(rows.select("doc_id", "node", "row", "text_hash"), staged(facts, "facts", folder), "node", "copies")
-    first = out.where("head AND doc_id <=> class_id").groupBy("node").agg(F.min("row").alias("row"), F.lit(True).alias("first"))
-    out = out.join(first, ["node", "row"], "left")
     return out.select(
         "doc_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        (F.col("node").isNull() | F.coalesce("first", F.lit(False))).alias("kept"),
+        (F.col("node").isNull() | (F.col("head") & (F.col("row") == F.col("first")))).alias("kept"),
         "text_hash",
     )
 

@@ -640,6 +640,32 @@ def test_jaccard_of_a_chain_of_texts(spark):
     assert Counter((r.doc_id, r.n_links, r.class_id) for r in got) == Counter((i, n, int(r)) for (i, _), n, r in zip(texts, links, roots, strict=True))
 
 
+def test_sets_move_a_byte_a_position(spark, docs):
+    places = [i for _, i in jaccard.roots(0.8, 0.995)]
+    table = docs.select("doc_id", "text")
+    for r in jaccard._sets(table, places).where("node IS NOT NULL").collect():
+        assert (len(r.tokens), len(r.heads)) == (jaccard.POSITIONS, 4 * len(places))
+        assert [r.heads[4 * k] for k in range(len(places))] == [r.tokens[i] for i in places]
+
+
+def test_rows_reached_by_ties():
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(0, 3, (60, jaccard.POSITIONS)).astype(np.uint8)
+    tokens[20:40] = tokens[3]  # one close group
+    tokens[40:50, 64:] = tokens[3, 64:]
+    counts, held = (tokens[:, None] == tokens[None]).sum(axis=2), []
+
+    def near(rest_tokens, one, rest, a):
+        held.append(len(rest))
+        assert (jaccard._alike(rest_tokens, one) == counts[a, rest]).all()
+        return jaccard._alike(rest_tokens, one) >= 60
+
+    assert grouping.reached(tokens, near).tolist() == grouping.local_roots(counts >= 60).tolist()
+    held.clear()
+    assert grouping.reached(tokens[20:40], lambda left, one, rest, a: held.append(len(rest)) or jaccard._alike(left, one) >= 60).tolist() == [0] * 20
+    assert sum(held) == 19  # every other row once, not each with each
+
+
 def test_enough_runs():
     assert jaccard.plan_runs(0.8, 0.995, 1) < jaccard.plan_runs(0.8, 0.995, 3) < 20
 
