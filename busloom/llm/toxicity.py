@@ -244,9 +244,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(bias, terms, w, v)
 
 
-def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_TRAINING, entries: int = MAX_ENTRIES) -> tuple[list[np.ndarray], np.ndarray]:
-    """Candidate terms and labels of labelled documents outside the held-out fold, the first by a hash of the id: up to `limit`
-    documents, and as many as have `entries` candidate terms together.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_TRAINING, entries: int = MAX_ENTRIES) -> DataFrame:
+    """Candidate terms (_terms) and labels (_y) of labelled documents outside the held-out fold, the first by a hash of the id: up to `limit`
+    documents, and as many as have `entries` candidate terms together, in that order in one partition.
 
     Several labels of one id count as toxic if one is; several texts of an id give the one of least checksum; equal
     sets of terms count once, as toxic if one is. Null ids and null labels take no part. How many texts have a term is
@@ -285,11 +285,34 @@ def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     rows = once.select("_h", "_id", "_y", "_terms").mapInArrow(narrow, once.select("_h", "_id", "_y", "_terms").schema)
     so_far = F.sum(F.size("_terms")).over(Window.orderBy("_h", "_id"))  # limit rows at most
-    table = rows.withColumn("_n", so_far).where(F.col("_n") <= entries).drop("_n").toArrow()
+    return rows.withColumn("_n", so_far).where(F.col("_n") <= entries).select("_terms", "_y")
+
+
+def _arrays(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     found = [t.values.to_numpy() if len(t) else np.zeros(0, dtype=np.int32) for t in table["_terms"]]
     return found, table["_y"].to_numpy().astype(np.float64)
 
 
+def training(docs: DataFrame, labels: DataFrame, **settings) -> tuple[list[np.ndarray], np.ndarray]:
+    """The terms and labels of sample(), on the driver."""
+    return _arrays(sample(docs, labels, **settings).toArrow())
+
+
+def learnt(docs: DataFrame, labels: DataFrame, **settings) -> Model:
+    """fit() of sample()'s rows, in the task that has put them in order: the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            m = fit(*_arrays(pa.Table.from_batches(held)))
+            yield pa.RecordBatch.from_pydict({"bias": [m.bias], **{k: [np.ascontiguousarray(x).tobytes()] for k, x in (("terms", m.terms.astype(np.int64)), ("weights", m.weights), ("factors", m.factors))}})
+
+    row = sample(docs, labels, **settings).mapInArrow(run, "bias double, terms binary, weights binary, factors binary").toArrow().to_pylist()
+    if not row:
+        return fit([], np.zeros(0))
+    terms, weights, factors = (np.frombuffer(row[0][k], kind) for k, kind in (("terms", np.int64), ("weights", np.float64), ("factors", np.float64)))
+    return Model(row[0]["bias"], terms, weights, factors.reshape(len(terms), FACTORS))
+
+
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """Adds out (not a name that docs has): double, from the whole text; null and empty texts have no terms. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -309,7 +332,6 @@ def op1(spark, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from the labelled ones outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = fit(*training(docs, labels))
-    return scored(docs, model).select(
+    return scored(docs, learnt(docs, labels)).select(
         "doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )

@@ -23,8 +23,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     plain = plainly(docs)
-    model = toxicity.fit(*toxicity.training(plain, labels))
-    return toxicity.scored(plain, model, out="toxicity").where(F.col("toxicity") < 0.5).drop("toxicity").toDF(*docs.columns)
+    return toxicity.scored(plain, toxicity.learnt(plain, labels), out="toxicity").where(F.col("toxicity") < 0.5).drop("toxicity").toDF(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

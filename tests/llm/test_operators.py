@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -98,6 +99,23 @@ def test_toxicity_training_rows(spark):
     assert len(toxicity.training(docs, labels, limit=7)[0]) <= 7
 
 
+def test_toxicity_is_learnt_off_the_driver(spark, no_docs, monkeypatch):
+    docs = spark.createDataFrame([(i, text(i, 40) + (" vile slur" if i % 5 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    there = toxicity.fit(*toxicity.training(docs, labels))
+    fit, driver = toxicity.fit, os.getpid()
+
+    def small(rows, labels):
+        assert os.getpid() != driver or not len(rows), "fitted on the driver"
+        return fit(rows, labels)
+
+    monkeypatch.setattr(toxicity, "fit", small)
+    got = toxicity.learnt(docs, labels)
+    assert got.bias == there.bias and all((getattr(got, k) == getattr(there, k)).all() for k in ("terms", "weights", "factors"))
+    empty = toxicity.learnt(no_docs, labels)
+    assert empty.score(empty.slots(), toxicity.buckets("x")) < 1e-9
+
+
 def test_toxicity_finds_pairs_of_neutral_terms():
     rng = np.random.default_rng(3)
     rows, y = [], []
