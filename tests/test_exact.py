@@ -41,3 +41,10 @@ def test_moments_as_sql(spark):
     for r, a in zip(got, arrays, strict=True):
         frame = pd.DataFrame({"x": pd.array(a, dtype="Float64")})
         assert (r["mean"], r["sd"], r["total"]) == con.sql("SELECT avg(x), stddev_pop(x), sum(x) FROM frame").fetchall()[0]
+
+
+def test_store_groups_unrounded_values(spark, monkeypatch):
+    features = spark.createDataFrame([("v1", "c", 0, 1.0000001), ("v1", "c", 1, 1.0000002), ("v1", "c", 2, 2.0), ("v1", "c", 3, 2.0)], "vehicle string, capture string, widx long, dt_mean_norm double")
+    monkeypatch.setattr(catalogue, "bus", lambda *_: SimpleNamespace(features=features))
+    got = catalogue.queries()["s8_feature_store"](spark, "").collect()
+    assert sorted((r["dt"], r["n"]) for r in got) == [(1.0, 1), (1.0, 1), (2.0, 2)]
