@@ -48,3 +48,10 @@ def test_store_groups_unrounded_values(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "bus", lambda *_: SimpleNamespace(features=features))
     got = catalogue.queries()["s8_feature_store"](spark, "").collect()
     assert sorted((r["dt"], r["n"]) for r in got) == [(1.0, 1), (1.0, 1), (2.0, 2)]
+
+
+def test_checksum_beyond_a_long(spark, monkeypatch):
+    us = 6 * 10**18
+    frames = spark.createDataFrame([("v0", "c0", "dos", i, us, 1, 2, [1, 2, *[-1] * 6], 0, None, None) for i in range(3)], "vehicle string, capture string, family string, seq long, us long, aid int, dlc int, b array<int>, y int, s0 long, s1 long")
+    monkeypatch.setattr(catalogue.src, "event_frames", lambda *_: frames)
+    assert [(int(r["us"]), r["n"]) for r in catalogue.queries()["s1_s3_captures"](spark, "").collect()] == [(3 * us, 3)]
