@@ -177,3 +177,25 @@ def test_boosting_nothing_one_class_and_nulls(spark, points):
         assert model.score(points).where("score < 0.5").count() == 0
     holed = points.withColumn("a", (points.a * 1).cast("double")).selectExpr("nullif(a, 0.5) a", "b", "y", "capture", "widx")
     assert boosting.Boosted("HistGB", ["a", "b"], growth=replace(FAMILIES["HistGB"], rounds=3)).fit(holed, KEY).score(holed).where("score IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("kind", FAMILIES)
+def test_a_block_remembers_the_rows_of_nodes(kind):
+    """Sums over remembered rows are those over all rows, to the last bit, and every job's pool is one block."""
+    from busloom.plans import jobs
+
+    assert boosting.BLOCK_ROWS >= jobs.CAP_TRAIN
+    rng = np.random.default_rng(4)
+    bins, y = rng.integers(0, 9, (600, 4)).astype(np.uint8), (rng.random(600) < 0.3).astype(float)
+    growth, asked = replace(FAMILIES[kind], rounds=3, least_rows=2, least_hessian=0.0), []
+
+    class Both(Local):
+        def histogram(self, tree, nodes, *about):
+            got = super().histogram(tree, nodes, *about)
+            asked.append(len(nodes))
+            assert np.array_equal(got, self.block.histogram(tree, nodes, *about))
+            return got
+
+    models = 11 if growth.symmetric else 1
+    boosting.boost(Both(Block(bins, y, np.ones(600), np.arange(600), 0.0, models)), growth, 9, 4, 1)
+    assert len(asked) > 9 and (growth.symmetric or growth.depth or set(asked) == {1})
