@@ -71,3 +71,36 @@ def test_stacking_and_rank_average(points):
     for model, keys in ((learners.Stacked(("XGBoost", "ExtraTrees"), list("abcd"), learners.Effort(0.1)), ()), (learners.RankAveraged(("XGBoost", "ExtraTrees"), list("abcd"), learners.Effort(0.1)), (["capture", "widx", "y"],))):
         got = model.fit(train, ["capture", "widx"]).score(test, *keys).toPandas()
         assert len(got) == 134 and got.score[got.y == 1].mean() > got.score[got.y == 0].mean() + 0.3
+
+
+def test_forest_is_grown_in_tasks(points):
+    model = learners.learner("RandomForest", list("abcd"), effort=learners.Effort(0.02)).fit(points, ["capture", "widx"])
+    assert isinstance(model, learners.RandomForest) and len(model.trees) == 6
+    assert {r["score"] for r in model.score(points).select(F.col("score").between(0, 1).alias("score")).collect()} == {True}
+
+
+@pytest.mark.parametrize("resampled", [False, True])
+def test_grown_trees(resampled):
+    """Leaves are their rows' weighted shares, none below two rows; of all cuts the root takes the purest one by exhaustive search."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (3, 400)).astype(float)
+    x[2] = 1.0
+    y, w = ((x[0] > 2) & (rng.random(400) < 0.8)).astype(float), np.ones(400)
+    values, ranks = zip(*[np.unique(c, return_inverse=True) for c in x], strict=True)
+    f, cut, left, right, value = learners.grown(np.stack(ranks).astype(np.int32) if resampled else x, y, w, np.random.default_rng(6), 2, 30, values if resampled else None)
+    times = np.random.default_rng(6).poisson(1.0, 400) if resampled else np.ones(400, dtype=int)
+    at = np.zeros(400, dtype=int)
+    while (f[at] >= 0).any():
+        some = np.flatnonzero(f[at] >= 0)
+        at[some] = np.where(x[f[at[some]], some] < cut[at[some]], left[at[some]], right[at[some]])
+    for leaf in np.unique(at[times > 0]):
+        mine = at == leaf
+        assert times[mine].sum() >= 2 and abs(value[leaf] - (times * y)[mine].sum() / times[mine].sum()) < 1e-12
+    assert (f >= 0).sum() > 3 and not (f == 2).any()
+    if resampled:
+
+        def gini(c, t):
+            sides = [x[c] < t, x[c] >= t]
+            return sum((times * y)[s].sum() * (1 - (times * y)[s].sum() / times[s].sum()) for s in sides)
+
+        assert abs(gini(f[0], cut[0]) - min(gini(c, t) for c in (0, 1) for t in (0.5, 1.5, 2.5, 3.5, 4.5))) < 1e-9
