@@ -104,3 +104,9 @@ def test_grown_trees(resampled):
             return sum((times * y)[s].sum() * (1 - (times * y)[s].sum() / times[s].sum()) for s in sides)
 
         assert abs(gini(f[0], cut[0]) - min(gini(c, t) for c in (0, 1) for t in (0.5, 1.5, 2.5, 3.5, 4.5))) < 1e-9
+
+
+def test_rank_average_scores_members_once(points):
+    model = learners.RankAveraged(("ExtraTrees",), list("abcd"), learners.Effort(0.01)).fit(points, ["capture", "widx"])
+    got = model.score(points, ["capture", "widx"])
+    assert got.count() == 400 and "MapInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
